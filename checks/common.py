@@ -45,8 +45,8 @@ class Check:
 
 
 def r6(expr: str) -> str:
-    """Round in SQL; adding zero turns a negative zero into a plain one."""
-    return f"(round({expr}, 6) + 0.0::DOUBLE)"
+    """Round in SQL to six places, halves up, by the same arithmetic as :func:`tidy`."""
+    return f"(floor(({expr}) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE)"
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def tidy(df: DataFrame) -> DataFrame:
     changes = {}
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            changes[f.name] = F.round(F.col(f.name), 6) + F.lit(0.0)
+            changes[f.name] = F.floor(F.col(f.name) * 1000000.0 + 0.5) / F.lit(1000000.0)
         elif isinstance(f.dataType, small):
             changes[f.name] = F.col(f.name).cast("bigint")
     return df.withColumns(changes) if changes else df
