@@ -1 +1,231 @@
-CHECKS = {}
+"""Decomposition, changepoints and clustering."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from checks.common import DAY, LOCATION, QUANTITY, SIGN, Check, flow_check, p_nearest, r6
+from checks.filters import _year_starts
+from weir.operators import changepoint, cluster
+from weir.operators.decompose import daily_series, deseasonalize, with_seasonal
+
+SERIES_SQL = """WITH s AS (SELECT pipeline_name, eff_gas_day, sum(scheduled_quantity) AS v
+  FROM flows GROUP BY ALL)"""
+STL_SQL = f"""{SERIES_SQL},
+t AS (SELECT *, avg(v) OVER (PARTITION BY pipeline_name ORDER BY eff_gas_day
+  ROWS BETWEEN 182 PRECEDING AND 182 FOLLOWING) AS trend FROM s),
+w0 AS (SELECT *, v - trend AS x, avg(v - trend) OVER (PARTITION BY pipeline_name,
+  isodow(eff_gas_day)) AS wr FROM t),
+w AS (SELECT *, wr - avg(wr) OVER (PARTITION BY pipeline_name) AS weekly FROM w0),
+a0 AS (SELECT *, x - weekly AS y, avg(x - weekly) OVER (PARTITION BY pipeline_name,
+  dayofyear(eff_gas_day)) AS ar FROM w),
+a AS (SELECT *, ar - avg(ar) OVER (PARTITION BY pipeline_name) AS annual FROM a0)
+SELECT pipeline_name, eff_gas_day, {r6("v")} AS scheduled_quantity,
+  {r6("v - (weekly + annual)")} AS deseasonalized, {r6("trend")} AS trend,
+  {r6("weekly")} AS seasonal_weekly, {r6("annual")} AS seasonal_annual,
+  {r6("y - annual")} AS residual FROM a"""
+
+
+def _splits(df: DataFrame) -> DataFrame:
+    """Split days from the data: each pipeline's first day of every quarter."""
+    return df.groupBy("pipeline_name", F.year(DAY).alias("y"), F.quarter(DAY).alias("q")).agg(
+        F.min(DAY).alias(DAY)
+    ).drop("y", "q")
+
+
+def changes_at_quarters(df: DataFrame) -> DataFrame:
+    """A changepoint table whose dates come from the calendar, so that SQL can repeat it."""
+    return changepoint.split_stats_at(df, _splits(df), ["pipeline_name"])
+
+
+# Changepoint table of the function above, for the SQL side.
+CHANGES = """d AS (SELECT pipeline_name, eff_gas_day, sum(scheduled_quantity) AS v
+  FROM flows GROUP BY ALL),
+sp AS (SELECT pipeline_name, min(eff_gas_day) AS day FROM flows
+  GROUP BY pipeline_name, year(eff_gas_day), quarter(eff_gas_day)),
+st AS (SELECT sp.pipeline_name, sp.day AS changepoint_date,
+  avg(v) FILTER (WHERE eff_gas_day < sp.day) AS before_mean,
+  avg(v) FILTER (WHERE eff_gas_day >= sp.day) AS after_mean,
+  stddev_pop(v) FILTER (WHERE eff_gas_day < sp.day) AS before_std,
+  stddev_pop(v) FILTER (WHERE eff_gas_day >= sp.day) AS after_std
+  FROM sp JOIN d ON sp.pipeline_name = d.pipeline_name GROUP BY ALL),
+ch AS (SELECT *, abs(after_mean - before_mean) / (abs(before_mean) + 1e-8) AS change_magnitude,
+  abs(after_mean - before_mean) / (sqrt((before_std ** 2 + after_std ** 2) / 2) + 1e-8)
+    AS confidence FROM st)"""
+CHANGE_COLUMNS = ["pipeline_name", DAY, QUANTITY]
+
+
+def _card(df: DataFrame) -> DataFrame:
+    """Event card of the year starts, one row per contributor."""
+    card = changepoint.event_card(_year_starts(df), df, top=3)
+    return card.select("changepoint_date", F.inline("top_contributors"))
+
+
+def _score(df: DataFrame) -> DataFrame:
+    detected = _splits(df).select(F.col(DAY).alias("day")).distinct()
+    known = df.groupBy(F.year(DAY).alias("y")).agg(F.date_add(F.min(DAY), 5).alias("day"))
+    return changepoint.score_detection(detected, known.select("day"))
+
+
+def _detected(**options):
+    return lambda df: changepoint.detect_changepoints(df, **options)
+
+
+def _features_sql(entity: str, other: str) -> str:
+    months = ", ".join(
+        f"""{r6(f"coalesce(avg(v) FILTER (WHERE month(day) = {m}) / greatest(avg(v), 1), 1)")}
+        AS season_m{m:02d}"""
+        for m in range(1, 13)
+    )
+    days = ", ".join(
+        f"""{r6(f"coalesce(avg(v) FILTER (WHERE isodow(day) = {d}) / greatest(avg(v), 1), 1)")}
+        AS dow_{d}"""
+        for d in range(1, 8)
+    )
+    return f"""WITH daily AS (SELECT {entity} AS e, eff_gas_day AS day,
+      sum(scheduled_quantity) AS v,
+      first(rec_del_sign ORDER BY scheduled_quantity, rec_del_sign, {other}) AS sign,
+      first({other} ORDER BY scheduled_quantity, rec_del_sign, {other}) AS partner
+      FROM flows GROUP BY ALL),
+    kept AS (SELECT * FROM daily QUALIFY count(*) OVER (PARTITION BY e) >= 30),
+    moved AS (SELECT *, v - lag(v) OVER w AS diff, sign <> lag(sign) OVER w AS turned FROM kept
+      WINDOW w AS (PARTITION BY e ORDER BY day))
+    SELECT e AS {entity}, count(*) AS n_days, {r6("avg(v)")} AS mean_flow,
+      {r6("stddev_samp(v)")} AS std_flow, {r6("median(v)")} AS median_flow, {months},
+      {r6(p_nearest("abs(diff)", 0.95))} AS ramp_p95, {r6("stddev_samp(diff)")} AS ramp_std,
+      {r6("avg(diff)")} AS ramp_mean, count(*) FILTER (WHERE turned) AS reversals, {days},
+      count(DISTINCT partner) AS n_counterparties,
+      {r6("count(*) FILTER (WHERE turned) / greatest(count(*), 1)")} AS reversal_freq,
+      {r6("1 / greatest(count(DISTINCT partner), 1)")} AS dependency_index
+    FROM moved GROUP BY e"""
+
+
+FEATURE_COLUMNS = ["loc_name", "connecting_entity", DAY, SIGN, QUANTITY]
+SCALED = ["ramp_p95", "ramp_std", "reversal_freq", "season_m01", "dow_7", "dependency_index"]
+
+
+def _scaled(df: DataFrame) -> DataFrame:
+    return cluster.standardized(cluster.build_features(df)).select("loc_name", *SCALED)
+
+
+def _scaled_sql() -> str:
+    features = _features_sql("loc_name", "connecting_entity").replace("1000000.0", "1e12")
+    z = ", ".join(
+        f"""{r6(f'''CASE WHEN stddev_pop({c}) OVER () > 0
+          THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0 END''')} AS {c}"""
+        for c in SCALED
+    )
+    head, tail = features.rsplit("SELECT e AS", 1)
+    return f"{head}, f AS (SELECT e AS{tail}) SELECT loc_name, {z} FROM f"
+
+
+CHECKS: dict[str, Check] = {
+    "seasonal_decomposition": flow_check(
+        "STL-1",
+        CHANGE_COLUMNS,
+        lambda df: deseasonalize(df, series=["pipeline_name"]),
+        STL_SQL,
+    ),
+    "seasonal_component_other_period": flow_check(
+        "STL-2",
+        CHANGE_COLUMNS,
+        lambda df: with_seasonal(
+            daily_series(df, ["pipeline_name"], QUANTITY), QUANTITY, 30, "season", ["pipeline_name"]
+        ),
+        f"""{SERIES_SQL}, k AS (SELECT *, (row_number() OVER (PARTITION BY pipeline_name
+          ORDER BY eff_gas_day) - 1) % 30 AS key FROM s),
+        m AS (SELECT *, avg(v) OVER (PARTITION BY pipeline_name, key) AS raw FROM k)
+        SELECT pipeline_name, eff_gas_day, v AS scheduled_quantity,
+          {r6("raw - avg(raw) OVER (PARTITION BY pipeline_name)")} AS season FROM m""",
+    ),
+    "seasonal_short_series": flow_check(
+        "STL-3",
+        ["loc_name", "connecting_entity", DAY, QUANTITY],
+        lambda df: deseasonalize(df, series=["loc_name", "connecting_entity"])
+        .groupBy("loc_name", "connecting_entity")
+        .agg(
+            F.count(F.lit(1)).alias("days"),
+            F.count_if(F.abs(F.col("deseasonalized") - F.col(QUANTITY)) > 1e-9).alias("changed"),
+        )
+        .where(F.col("days") < 14),
+        """WITH d AS (SELECT DISTINCT loc_name, connecting_entity, eff_gas_day FROM flows)
+        SELECT loc_name, connecting_entity, count(*) AS days, 0::BIGINT AS changed FROM d
+        GROUP BY ALL HAVING count(*) < 14""",
+    ),
+    "changepoints_grouped": flow_check(
+        "CP-1", CHANGE_COLUMNS, _detected(groupby=["pipeline_name"], min_confidence=0.05)
+    ),
+    "changepoints_single_series": flow_check(
+        "CP-1", [DAY, QUANTITY], _detected(penalty="bic", min_confidence=0.0)
+    ),
+    "changepoint_statistics": flow_check(
+        "CP-2",
+        CHANGE_COLUMNS,
+        changes_at_quarters,
+        f"""WITH {CHANGES} SELECT pipeline_name, changepoint_date, {r6("before_mean")}
+          AS before_mean, {r6("after_mean")} AS after_mean, {r6("before_std")} AS before_std,
+          {r6("after_std")} AS after_std, {r6("change_magnitude")} AS change_magnitude,
+          {r6("confidence")} AS confidence FROM ch""",
+    ),
+    "event_card": flow_check(
+        "CP-3",
+        [*LOCATION, DAY, QUANTITY],
+        _card,
+        f"""WITH events AS (SELECT min(eff_gas_day) AS d FROM flows GROUP BY year(eff_gas_day)),
+        t AS (SELECT d AS changepoint_date, pipeline_name, loc_name,
+          sum(CASE WHEN eff_gas_day < d THEN scheduled_quantity ELSE 0 END) AS b,
+          sum(CASE WHEN eff_gas_day >= d THEN scheduled_quantity ELSE 0 END) AS a
+          FROM flows JOIN events ON eff_gas_day BETWEEN d - 30 AND d + 30 GROUP BY ALL)
+        SELECT changepoint_date, row_number() OVER (PARTITION BY changepoint_date
+            ORDER BY abs(a - b) DESC, pipeline_name, loc_name) AS place, pipeline_name, loc_name,
+          {r6("b")} AS before_total, {r6("a")} AS after_total, {r6("a - b")} AS change,
+          {r6("abs(a - b)")} AS abs_change FROM t QUALIFY place <= 3""",
+    ),
+    "changepoint_step": flow_check(
+        "CP-4",
+        CHANGE_COLUMNS,
+        lambda df: changepoint.changepoint_step(
+            df, min_confidence=0.05, groupby=["pipeline_name"]
+        ),
+    ),
+    "changepoints_sensitive": flow_check(
+        "CP-5", CHANGE_COLUMNS, changepoint.sensitive_changepoints
+    ),
+    "changepoint_score": flow_check(
+        "CP-6",
+        CHANGE_COLUMNS,
+        _score,
+        f"""WITH det AS (SELECT DISTINCT min(eff_gas_day) AS day FROM flows
+          GROUP BY pipeline_name, year(eff_gas_day), quarter(eff_gas_day)),
+        known AS (SELECT min(eff_gas_day) + 5 AS day FROM flows GROUP BY year(eff_gas_day)),
+        n AS (SELECT (SELECT count(*) FROM known k WHERE EXISTS
+            (SELECT 1 FROM det WHERE abs(det.day - k.day) <= 7)) AS c,
+          (SELECT count(*) FROM det) AS d, (SELECT count(*) FROM known) AS t)
+        SELECT c AS correct_detections, d AS total_detected, t AS total_true,
+          {r6("c / d")} AS precision, {r6("c / t")} AS recall,
+          {r6("2 * (c / d) * (c / t) / (c / d + c / t)")} AS f1_score FROM n""",
+    ),
+    "cluster_features_locations": flow_check(
+        "CLU-1",
+        FEATURE_COLUMNS,
+        cluster.build_features,
+        _features_sql("loc_name", "connecting_entity"),
+    ),
+    "cluster_features_counterparties": flow_check(
+        "CLU-1",
+        FEATURE_COLUMNS,
+        lambda df: cluster.build_features(df, "counterparty"),
+        _features_sql("connecting_entity", "loc_name"),
+    ),
+    "cluster_features_scaled": flow_check("CLU-2", FEATURE_COLUMNS, _scaled, _scaled_sql()),
+    "cluster_locations": flow_check(
+        "CLU-3 CLU-5", FEATURE_COLUMNS, lambda df: cluster.cluster_entities(df).entities
+    ),
+    "cluster_metrics": flow_check(
+        "CLU-4 CLU-6", FEATURE_COLUMNS, lambda df: cluster.cluster_entities(df, k=4).metrics
+    ),
+    "cluster_summary": flow_check(
+        "CLU-7 QRY-10", FEATURE_COLUMNS, lambda df: cluster.cluster_summary(df, "counterparty")
+    ),
+}

@@ -51,9 +51,19 @@ def nearest_of_list(c: Column, q: float) -> Column:
     return F.when(n > 0, F.try_element_at(values, (nearest_index(n, q) + 1).cast("int")))
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on all keys, so that a null group keeps its row."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys], F.lit(True))
+def median_of_list(c: Column) -> Column:
+    """Mean of the two middle values, for groups known to be small."""
+    values = F.sort_array(F.collect_list(c))
+    n = F.count(c)
+    low = F.try_element_at(values, (F.floor((n - 1) / 2) + 1).cast("int"))
+    high = F.try_element_at(values, (F.floor(n / 2) + 1).cast("int"))
+    return F.when(n > 0, low + (high - low) / 2)
+
+
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Row count of the largest group; a job of its own that shuffles one count per group."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    return counts.agg(F.max("rows")).first()[0] or 0
 
 
 def left_join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

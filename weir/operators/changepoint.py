@@ -95,8 +95,9 @@ def detect_changepoints(
 
     # The windows above already placed every series in one partition; the Python side
     # sees at most one row per calendar day and series.
-    keys = series or [F.lit(0)]
-    found = stats.groupBy(*keys).applyInPandas(breaks_of_series, schema)
+    if not series:
+        stats = stats.withColumn("__all", F.lit(True))
+    found = stats.groupBy(*(series or ["__all"])).applyInPandas(breaks_of_series, schema)
     if min_confidence > 0:
         found = found.where(F.col("confidence") >= min_confidence)
     return found.withColumnRenamed(date_col, "changepoint_date")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -40,6 +41,7 @@ CLUSTER_FEATURES = [
 ]
 NAME_THRESHOLD = 0.5
 RESTARTS = 10
+PARALLEL_FITS = 10
 
 
 def entity_column(entity_type: str) -> str:
@@ -141,6 +143,11 @@ class Clustering:
     metrics: DataFrame  # one row
     silhouette: float
     model: KMeansModel
+    rows: DataFrame  # the persisted feature vectors behind ``entities``
+
+    def release(self) -> None:
+        """Give the feature vectors back; ``entities`` recomputes them when used again."""
+        self.rows.unpersist()
 
 
 def cluster_names(scaled: DataFrame, k: int) -> DataFrame:
@@ -209,10 +216,12 @@ def cluster_entities(
     if n_entities < k:
         rows.unpersist()
         raise ValueError(f"{n_entities} entities are too few for {k} clusters")
-    models = [
-        KMeans(k=k, seed=random_state + i, maxIter=300, tol=1e-4).fit(rows)
-        for i in range(restarts)
-    ]
+    # The restarts are independent, so their small jobs overlap on the cluster.
+    with ThreadPool(min(restarts, PARALLEL_FITS)) as pool:
+        models = pool.map(
+            lambda i: KMeans(k=k, seed=random_state + i, maxIter=300, tol=1e-4).fit(rows),
+            range(restarts),
+        )
     model = min(models, key=lambda m: m.summary.trainingCost)
     assigned = model.transform(rows).withColumnRenamed("prediction", "cluster_id")
     sizes = [size for size in model.summary.clusterSizes if size]
@@ -229,7 +238,7 @@ def cluster_entities(
         "silhouette_sq_euclidean double, n_entities bigint, n_clusters int, n_features int,"
         " min_cluster_size bigint, max_cluster_size bigint",
     )
-    return Clustering(entities, metrics, silhouette, model)
+    return Clustering(entities, metrics, silhouette, model, rows)
 
 
 def cluster_summary(

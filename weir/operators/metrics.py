@@ -15,10 +15,19 @@ from weir.functions.columns import (
     signed_quantity,
     total,
 )
-from weir.functions.order import group_quantiles, left_join_on_keys, order_bucket
+from weir.functions.order import (
+    group_quantiles,
+    largest_group,
+    left_join_on_keys,
+    median_of_list,
+    nearest_of_list,
+    order_bucket,
+)
 
 ROLLUP_KEYS = ["eff_gas_day", "pipeline_name", "state_abb", "category_short"]
 LOCATION = ["pipeline_name", "loc_name"]
+# Rows of one group that a single task may sort and hold (8 bytes a value).
+ROWS_PER_TASK = 1_000_000
 
 
 def daily_rollup(df: DataFrame, keys: Sequence[str] = ROLLUP_KEYS) -> DataFrame:
@@ -81,18 +90,8 @@ def row_changes(df: DataFrame, keys: Sequence[str] = LOCATION) -> DataFrame:
     )
 
 
-def ramp_risk(df: DataFrame) -> DataFrame:
-    """p95 of the absolute row-to-row change / max(median flow, 1) per location.
-
-    A location without changes gets risk 0.
-    """
-    n_days = df.groupBy(*LOCATION).agg(F.count(F.lit(1)).alias("n_days"))
-    deltas = group_quantiles(
-        row_changes(df), LOCATION, "abs_delta", {"p95_abs_delta": 0.95}, weight="times"
-    )
-    flows = group_quantiles(df, LOCATION, "scheduled_quantity", {"median_flow": "median"})
+def _ramp_ratio(joined: DataFrame) -> DataFrame:
     ratio = F.col("p95_abs_delta") / at_least_one(F.col("median_flow"))
-    joined = left_join_on_keys(left_join_on_keys(n_days, deltas, LOCATION), flows, LOCATION)
     return joined.select(
         *LOCATION,
         F.when(F.col("p95_abs_delta").isNull(), 0.0).otherwise(ratio).alias("ramp_risk"),
@@ -102,6 +101,45 @@ def ramp_risk(df: DataFrame) -> DataFrame:
     )
 
 
+def ramp_risk_plain(df: DataFrame) -> DataFrame:
+    """Ramp risk with one shuffle: every location is sorted and summarised in one task."""
+    by_day = Window.partitionBy(*LOCATION).orderBy("eff_gas_day", "scheduled_quantity")
+    quantity = F.col("scheduled_quantity")
+    return _ramp_ratio(
+        df.withColumn("abs_delta", F.abs(quantity - F.lag(quantity).over(by_day)))
+        .groupBy(*LOCATION)
+        .agg(
+            F.count(F.lit(1)).alias("n_days"),
+            nearest_of_list(F.col("abs_delta"), 0.95).alias("p95_abs_delta"),
+            median_of_list(quantity).alias("median_flow"),
+        )
+    )
+
+
+def ramp_risk_split(df: DataFrame) -> DataFrame:
+    """Ramp risk for locations of any size: no task holds a whole location."""
+    n_days = df.groupBy(*LOCATION).agg(F.count(F.lit(1)).alias("n_days"))
+    deltas = group_quantiles(
+        row_changes(df), LOCATION, "abs_delta", {"p95_abs_delta": 0.95}, weight="times"
+    )
+    flows = group_quantiles(df, LOCATION, "scheduled_quantity", {"median_flow": "median"})
+    return _ramp_ratio(
+        left_join_on_keys(left_join_on_keys(n_days, deltas, LOCATION), flows, LOCATION)
+    )
+
+
+def ramp_risk(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """p95 of the absolute row-to-row change / max(median flow, 1) per location.
+
+    A location without changes gets risk 0. One counting job over the two key columns
+    finds the largest location; when it has more than ``rows_per_task`` rows, every
+    location goes the split way.
+    """
+    if largest_group(df, LOCATION) <= rows_per_task:
+        return ramp_risk_plain(df)
+    return ramp_risk_split(df)
+
+
 def reversal_freq(df: DataFrame) -> DataFrame:
     """Share of days on which the net flow with a counterparty changes its sign."""
     keys = ["pipeline_name", "connecting_entity"]
