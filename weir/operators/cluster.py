@@ -42,6 +42,7 @@ CLUSTER_FEATURES = [
 NAME_THRESHOLD = 0.5
 RESTARTS = 10
 PARALLEL_FITS = 10
+ENTITIES_PER_TASK = 50_000
 
 
 def entity_column(entity_type: str) -> str:
@@ -216,10 +217,11 @@ def cluster_entities(
     if n_entities < k:
         rows.unpersist()
         raise ValueError(f"{n_entities} entities are too few for {k} clusters")
-    # The restarts are independent, so their small jobs overlap on the cluster.
+    # One task per block of entities; the restarts are independent, so their jobs overlap.
+    vectors = rows.select("features").coalesce(n_entities // ENTITIES_PER_TASK + 1)
     with ThreadPool(min(restarts, PARALLEL_FITS)) as pool:
         models = pool.map(
-            lambda i: KMeans(k=k, seed=random_state + i, maxIter=300, tol=1e-4).fit(rows),
+            lambda i: KMeans(k=k, seed=random_state + i, maxIter=300, tol=1e-4).fit(vectors),
             range(restarts),
         )
     model = min(models, key=lambda m: m.summary.trainingCost)
