@@ -280,3 +280,34 @@ def test_top_k_breaks_ties_by_group(spark):
 def test_share_of_nothing_is_null(spark):
     df = spark.createDataFrame([(0.0,), (0.0,)], "v double")
     assert [r.s for r in with_share(df, "v", "s").collect()] == [None, None]
+
+
+def test_median_sign_matches_the_median(spark):
+    import random
+
+    import numpy as np
+
+    from weir.functions.order import median_is_positive
+
+    rng = random.Random(11)
+    rows = [(g, rng.choice([-3.0, -1.0, 0.0, 1.0, 2.0, None])) for g in range(60) for _ in range(g % 7)]
+    found = {
+        r.g: r.positive
+        for r in spark.createDataFrame(rows, "g int, v double")
+        .groupBy("g")
+        .agg(median_is_positive(F.col("v")).alias("positive"))
+        .collect()
+    }
+    for g in found:
+        own = [v for k, v in rows if k == g and v is not None]
+        assert found[g] == (bool(own) and float(np.median(own)) > 0), own
+
+
+def test_quantiles_join_by_shuffle_above_the_broadcast_limit(spark, monkeypatch):
+    from weir.functions import order
+
+    df = spark.createDataFrame([(g, float(v)) for g in "abc" for v in range(9)], "g string, v double")
+    usual = rows_of(group_quantiles(df, ["g"], "v", {"q": 0.7}), "g")
+    side = order.counted_side
+    monkeypatch.setattr(order, "counted_side", lambda frame: side(frame, limit=0))
+    assert rows_of(group_quantiles(df, ["g"], "v", {"q": 0.7}), "g") == usual

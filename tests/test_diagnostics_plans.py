@@ -128,10 +128,11 @@ def test_named_questions(spark):
 
 
 def test_multi_analysis_reports_failures(spark):
-    results, errors = named.multi_analysis(table(spark), ["summary", "cluster", "sky"])
+    results, errors = named.multi_analysis(
+        table(spark), ["summary", "cluster", "sky"], pipeline_part="p"
+    )
     assert results["summary"].count() == 2
     assert set(errors) == {"cluster", "sky"}
-    results["input"].unpersist()
 
 
 def test_events_end_to_end(spark):

@@ -75,3 +75,8 @@ def distinct_with_null(c: str) -> Column:
     return F.count_distinct(F.col(c)) + F.coalesce(
         F.max(F.col(c).isNull().cast("bigint")), F.lit(0).cast("bigint")
     )
+
+
+def distinct_of_list(c: str) -> Column:
+    """As :func:`distinct_with_null`, for groups of one row per day: no second shuffle."""
+    return F.size(F.collect_set(c)).cast("bigint") + F.max(F.col(c).isNull().cast("bigint"))

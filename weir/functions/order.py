@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from weir.session import work_dir
 
 LARGEST_DOUBLE = 1.7976931348623157e308
+# Rows of a small table that may be broadcast; above it Spark joins by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def order_bucket(c: Column, steps_per_octave: int = 4096) -> Column:
@@ -66,6 +68,35 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return counts.agg(F.max("rows")).first()[0] or 0
 
 
+def counted_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Checkpoint a small join side; broadcast it only when it has ``limit`` rows or fewer.
+
+    Spark would pick the join before it knows this size, and on a large table that means
+    shuffling every row of the other side. Above the limit the join is a shuffle join, in
+    which adaptive execution splits skewed partitions.
+    """
+    work_dir(df.sparkSession)
+    kept = df.checkpoint()
+    return F.broadcast(kept) if kept.count() <= limit else kept
+
+
+def median_is_positive(c: Column) -> Column:
+    """Whether the interpolated median of a group is above zero, as one plain aggregate.
+
+    The two middle values decide by their sum. Counting the values at or below zero tells
+    on which side each of them lies; only when the middle falls between the two sides do
+    the largest value below and the smallest above matter.
+    """
+    n, low = F.count(c), F.count_if(c <= 0)
+    split = F.max(F.when(c <= 0, c)) + F.min(F.when(c > 0, c)) > 0
+    return (
+        F.when(n == 0, False)
+        .when(low <= F.floor((n - 1) / 2), True)
+        .when(low > F.floor(n / 2), False)
+        .otherwise(split)
+    )
+
+
 def left_join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join on null-safe keys; the right side adds only its other columns."""
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
@@ -90,7 +121,8 @@ def group_quantiles(
     (mean of the two middle values). ``weight`` names a column of repeat counts.
 
     Two passes over the input: the first shuffles bucket counts only, the second only
-    the rows of the buckets that hold a wanted position.
+    the rows of the buckets that hold a wanted position. The first pass runs at once and
+    leaves at most two rows per group and quantile; its size decides how they are joined.
     """
     keys = list(keys)
     amount = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
@@ -121,7 +153,7 @@ def group_quantiles(
     needed = buckets.where(reduce(lambda a, b: a | b, inside)).drop("__in")
 
     joined_keys = [*keys, "__b"]
-    renamed = needed.withColumnsRenamed({k: f"__r_{k}" for k in joined_keys})
+    renamed = counted_side(needed.withColumnsRenamed({k: f"__r_{k}" for k in joined_keys}))
     on = reduce(
         lambda a, b: a & b,
         [

@@ -14,7 +14,7 @@ from weir.functions.columns import (
     receipt_quantity,
     signed_quantity,
 )
-from weir.functions.order import group_quantiles
+from weir.functions.order import median_is_positive
 from weir.functions.predicates import all_of, date_window, name_contains
 
 
@@ -60,6 +60,9 @@ def entities_with_days(daily: DataFrame, entity: str, min_days: int) -> DataFram
 
 def active_locations(df: DataFrame) -> DataFrame:
     """(pipeline, location) pairs whose median quantity is above zero."""
-    keys = ["pipeline_name", "loc_name"]
-    medians = group_quantiles(df, keys, "scheduled_quantity", {"median_quantity": "median"})
-    return medians.where(F.col("median_quantity") > 0).select(*keys)
+    return (
+        df.groupBy("pipeline_name", "loc_name")
+        .agg(median_is_positive(F.col("scheduled_quantity")).alias("active"))
+        .where("active")
+        .drop("active")
+    )

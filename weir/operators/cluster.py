@@ -16,12 +16,13 @@ from weir.functions.columns import (
     MONTH_NAMES,
     WEEKDAY_NAMES,
     at_least_one,
-    distinct_with_null,
+    distinct_of_list,
     iso_weekday,
     total,
 )
-from weir.functions.order import nearest_of_list
+from weir.functions.order import median_of_list, nearest_of_list
 from weir.operators.basic import entities_with_days
+from weir.session import work_dir
 
 ENTITY_COLUMNS = {
     "loc": ("loc_name", "connecting_entity"),
@@ -100,14 +101,14 @@ def build_features(df: DataFrame, entity_type: str = "loc", min_days: int = 30)
         F.count(F.lit(1)).alias("n_days"),
         F.avg(flow).alias("mean_flow"),
         F.stddev_samp(flow).alias("std_flow"),
-        F.median(flow).alias("median_flow"),
+        median_of_list(flow).alias("median_flow"),
         *[slot_ratio("month", m).alias(SEASON[m - 1]) for m in range(1, 13)],
         nearest_of_list(F.abs("flow_diff"), 0.95).alias("ramp_p95"),
         F.stddev_samp("flow_diff").alias("ramp_std"),
         F.avg("flow_diff").alias("ramp_mean"),
         F.count_if("turned").alias("reversals"),
         *[slot_ratio("dow", d).alias(WEEKDAY[d - 1]) for d in range(1, 8)],
-        distinct_with_null("primary_counterparty").alias("n_counterparties"),
+        distinct_of_list("primary_counterparty").alias("n_counterparties"),
     )
     return features.withColumns(
         {
@@ -208,15 +209,13 @@ def cluster_entities(
     """
     entity = entity_column(entity_type)
     assembler = VectorAssembler(inputCols=CLUSTER_FEATURES, outputCol="features")
-    rows = assembler.transform(standardized(build_features(df, entity_type, min_days)))
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    n_entities = rows.count()
-    if n_entities == 0:
-        rows.unpersist()
-        raise ValueError(f"no entity has {min_days} days of data")
-    if n_entities < k:
-        rows.unpersist()
-        raise ValueError(f"{n_entities} entities are too few for {k} clusters")
+    # Saved before scaling, because the moments of all entities are a second reading.
+    work_dir(df.sparkSession)
+    features = build_features(df, entity_type, min_days).checkpoint()
+    n_entities = features.count()
+    if n_entities < max(k, 1):
+        raise ValueError(f"{n_entities} entities with {min_days} days are too few for {k} clusters")
+    rows = assembler.transform(standardized(features)).persist(StorageLevel.MEMORY_AND_DISK)
     # One task per block of entities; the restarts are independent, so their jobs overlap.
     vectors = rows.select("features").coalesce(n_entities // ENTITIES_PER_TASK + 1)
     with ThreadPool(min(restarts, PARALLEL_FITS)) as pool:

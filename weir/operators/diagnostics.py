@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weir.functions.columns import is_weekend, iso_weekday, signed_imbalance_pct, total
@@ -14,7 +14,6 @@ from weir.operators.decompose import daily_series
 from weir.operators.metrics import daily_balance
 from weir.operators.profile import table_shape
 from weir.operators.ranking import (
-    last_days,
     overall,
     percentile_ranks,
     with_share,
@@ -42,39 +41,35 @@ def _or(c: Column, default: float | str) -> Column:
 def daily_z_scores(df: DataFrame, value: str = "scheduled_quantity") -> DataFrame:
     """Daily totals with their trailing 30-day mean and z = (x - mean) / overall std.
 
-    One row per day, so the single ordered window holds no more rows than the calendar.
+    One row per day, so the windows over the whole frame hold no more rows than the
+    calendar. ``age`` is 1 for the last day.
     """
     daily = daily_series(df, [], value).where(F.col("eff_gas_day").isNotNull())
-    spread = overall(daily, F.stddev_samp(value))
-    return with_trailing_mean(daily, [], "eff_gas_day", value, "rolling_mean", ROLLING_DAYS).select(
+    rolling = with_trailing_mean(daily, [], "eff_gas_day", value, "rolling_mean", ROLLING_DAYS)
+    spread = F.stddev_samp(value).over(Window.partitionBy())
+    return rolling.select(
         "eff_gas_day",
         value,
         "rolling_mean",
         F.try_divide(F.col(value) - F.col("rolling_mean"), spread).alias("z_score"),
+        F.row_number().over(Window.orderBy(F.desc("eff_gas_day"))).alias("age"),
     )
 
 
 def seasonal_deviation(df: DataFrame, value: str = "scheduled_quantity") -> DataFrame:
     """Mean z of the last 30 days, nearest p95 of z, trend of the last 7 days, day count."""
-    scored = daily_z_scores(df, value)
-    recent_z = overall(last_days(scored, "eff_gas_day", ROLLING_DAYS), F.avg("z_score"))
-    week = last_days(scored, "eff_gas_day", TREND_DAYS)
-    slope = (F.max_by(value, "eff_gas_day") - F.min_by(value, "eff_gas_day")) / TREND_DAYS
-    margin = TREND_MARGIN * F.avg(value)
-    trend = (
-        F.when(F.count(F.lit(1)) < TREND_DAYS, "stable")
-        .when(slope > margin, "increasing")
-        .when(slope < -margin, "decreasing")
-        .otherwise("stable")
-    )
-    return scored.agg(
-        nearest_of_list(F.col("z_score"), 0.95).alias("p95"),
+    v, age = F.col(value), F.col("age")
+    slope = (
+        F.max(F.when(age == 1, v)) - F.max(F.when(age == TREND_DAYS, v))
+    ) / TREND_DAYS
+    margin = TREND_MARGIN * F.avg(F.when(age <= TREND_DAYS, v))
+    trend = F.when(slope > margin, "increasing").when(slope < -margin, "decreasing")
+    current = F.avg(F.when(age <= ROLLING_DAYS, F.col("z_score")))
+    return daily_z_scores(df, value).agg(
+        _or(F.round(current, 2), 0.0).alias("z_score_current"),
+        _or(F.round(nearest_of_list(F.col("z_score"), 0.95), 2), 0.0).alias("z_score_p95"),
+        _or(trend, "stable").alias("trend_direction"),
         F.count(F.lit(1)).alias("data_points"),
-    ).select(
-        _or(F.round(recent_z, 2), 0.0).alias("z_score_current"),
-        _or(F.round("p95", 2), 0.0).alias("z_score_p95"),
-        _or(overall(week, trend), "stable").alias("trend_direction"),
-        "data_points",
     )
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +26,7 @@ from weir.operators.metrics import (
     signed_imbalance_summary,
 )
 from weir.operators.ranking import rank_columns, sort_rows, top_k
+from weir.sources.sinks import materialize
 
 QUANTITY = "scheduled_quantity"
 DELIVERY, RECEIPT = -1, 1
@@ -176,19 +176,20 @@ def multi_analysis(
     names: Sequence[str],
     filters: Sequence[Mapping[str, Any]] = (),
     pipeline_part: str | None = None,
-    persist: bool = True,
+    keep_input: bool = False,
 ) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """Run several analyses on one filtered table: (results by name, errors by name).
 
-    The filtered rows are kept while several analyses share them; call ``unpersist`` on
-    the frame of the key ``"input"`` when done.
+    Every analysis reads the columns it needs through the same pushed-down filters. Set
+    ``keep_input`` when the input is costly to make again: it is then written once to the
+    work folder and read from there.
     """
     rows = filter_rows(df, filters)
     if pipeline_part:
         rows = pipelines_like(rows, pipeline_part)
-    if persist and len(names) > 1:
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    results, errors = {"input": rows}, {}
+    if keep_input:
+        rows = materialize(rows)
+    results, errors = {}, {}
     for name in names:
         try:
             if name not in ANALYSES:

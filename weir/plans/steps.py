@@ -10,7 +10,6 @@ import json
 from collections.abc import Callable, Mapping
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from weir.functions.predicates import check_filter
@@ -99,6 +98,8 @@ STEPS: dict[str, Callable[[DataFrame, Params], DataFrame]] = {
     "changepoint": _changepoint,
     "save_artifact": _save,
 }
+# Steps that are run again for each reader.
+CHEAP = ("filter", "limit", "save_artifact")
 REQUIRED = {
     "resample": ("freq", "on"),
     "limit": ("n",),
@@ -148,8 +149,9 @@ def run_steps(
 
     A node is ``{"id", "op", "params"}``, an edge ``{"src", "dst"}``; a node has exactly
     one input. Saving steps run even when nothing reads them. ``keep`` decides what
-    happens to a result that several steps read: ``auto`` persists it, ``all`` also writes
-    every step as parquet in the work folder, ``never`` leaves everything to Spark.
+    happens to a result that several steps read: ``auto`` writes it to the work folder when
+    it took more than filters to make (a pushed-down filter is cheaper to run again),
+    ``all`` writes every step, ``never`` leaves everything to Spark.
     """
     if keep not in ("auto", "all", "never"):
         raise ValueError("keep is 'auto', 'all' or 'never'")
@@ -182,10 +184,9 @@ def run_steps(
         df = STEPS[node["op"]](
             result_of(source[name], (*waiting, name)), node.get("params", {})
         )
-        if keep == "all":
+        shared = len(readers.get(name, [])) > 1 and node["op"] not in CHEAP
+        if keep == "all" or (keep == "auto" and shared):
             df = materialize(df)
-        elif keep == "auto" and len(readers.get(name, [])) > 1:
-            df = df.persist(StorageLevel.MEMORY_AND_DISK)
         results[name] = df
         return df
 
