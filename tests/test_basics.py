@@ -303,11 +303,39 @@ def test_median_sign_matches_the_median(spark):
         assert found[g] == (bool(own) and float(np.median(own)) > 0), own
 
 
-def test_quantiles_join_by_shuffle_above_the_broadcast_limit(spark, monkeypatch):
-    from weir.functions import order
-
-    df = spark.createDataFrame([(g, float(v)) for g in "abc" for v in range(9)], "g string, v double")
-    usual = rows_of(group_quantiles(df, ["g"], "v", {"q": 0.7}), "g")
-    side = order.counted_side
-    monkeypatch.setattr(order, "counted_side", lambda frame: side(frame, limit=0))
-    assert rows_of(group_quantiles(df, ["g"], "v", {"q": 0.7}), "g") == usual
+def test_quantiles_split_and_shuffle_joined(spark):
+    """Tiny limits force the finer passes and the shuffle join; the result stays the same."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(g, 1e9 + rng.random() * 10 ** -(g * 2)) for g in range(4) for _ in range(200)]
+    rows += [(9, 5.0)] * 50
+    df = spark.createDataFrame(rows, "g int, v double")
+    wanted = {"mid": "median", "q": 0.7}
+    usual = rows_of(group_quantiles(df, ["g"], "v", wanted), "g")
+    tight = group_quantiles(df, ["g"], "v", wanted, rows_per_task=1, broadcast_rows=0)
+    assert rows_of(tight, "g") == usual
+    for row in usual:
+        own = sorted(v for g, v in rows if g == row["g"])
+        assert row["q"] == own[int((len(own) - 1) * 0.7 + 0.5)]
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("method", ["average", "min", "max", "dense"])
+def test_ranks_are_the_same_when_split(spark, method, descending):
+    from weir.operators.ranking import with_rank
+
+    df = spark.range(300).select("id", ((F.col("id") * 7) % 41 - 20.5).alias("v"))
+    usual = with_rank(df, "v", method, descending, "r")
+    split = with_rank(df, "v", method, descending, "r", rows_per_task=1)
+    assert rows_of(split, "id") == rows_of(usual, "id")
+
+
+def test_previous_row_crosses_partitions(spark):
+    from weir.functions.order import with_previous_row
+
+    df = spark.range(500).select((F.col("id") * 3).alias("k"))
+    found = with_previous_row(df, ["k"], ["k"]).select("k", "previous.k").toDF("k", "p")
+    pairs = sorted((r.k, r.p) for r in found.collect())
+    assert pairs[0] == (0, None)
+    assert all(p == k - 3 for k, p in pairs[1:])

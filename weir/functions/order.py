@@ -1,10 +1,13 @@
-"""Order statistics and ranks that survive one huge group.
+"""Order statistics, ranks and neighbours that survive one huge group.
 
-A plain window or ``percentile`` sends a whole group to one task. Here every value
-falls into an *order bucket*: a number that never decreases when the value grows.
-Counting per (group, bucket) shrinks on the map side to a bounded table, a running
-sum over that table tells which bucket holds a wanted position, and only the rows
-of that bucket are looked at again.
+A plain window or ``percentile`` sends a whole group to one task. Two other ways are used:
+
+* Quantiles: every value falls into an *order bucket*, a number that never decreases when
+  the value grows. Counts per (group, bucket) shrink on the map side to a bounded table; a
+  running sum over it tells which bucket holds a wanted position, and only the rows of
+  that bucket are looked at again.
+* Ranks and neighbours: one range sort spreads the rows evenly, each sorted partition is
+  worked on alone, and one summary row per partition carries sums or last rows onward.
 """
 
 from __future__ import annotations
@@ -15,14 +18,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weir.session import work_dir
+from weir.session import read_twice, work_dir
 
 LARGEST_DOUBLE = 1.7976931348623157e308
+# Bucket widths, each 4096 times finer than the one before. A double has 52 bits after its
+# leading one, so a bucket of the finest width holds at most 2 ** 16 different values.
+STEPS_PER_OCTAVE = (1 << 12, 1 << 24, 1 << 36)
+# Rows of one group that a single task may sort and hold.
+ROWS_PER_TASK = 1_000_000
 # Rows of a small table that may be broadcast; above it Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
-def order_bucket(c: Column, steps_per_octave: int = 4096) -> Column:
+def order_bucket(c: Column, steps_per_octave: int = STEPS_PER_OCTAVE[0]) -> Column:
     """Monotone bucket number of a numeric column; null stays null.
 
     Magnitudes are split at powers of two and every octave into equal steps, so the
@@ -68,18 +76,6 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return counts.agg(F.max("rows")).first()[0] or 0
 
 
-def counted_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Checkpoint a small join side; broadcast it only when it has ``limit`` rows or fewer.
-
-    Spark would pick the join before it knows this size, and on a large table that means
-    shuffling every row of the other side. Above the limit the join is a shuffle join, in
-    which adaptive execution splits skewed partitions.
-    """
-    work_dir(df.sparkSession)
-    kept = df.checkpoint()
-    return F.broadcast(kept) if kept.count() <= limit else kept
-
-
 def median_is_positive(c: Column) -> Column:
     """Whether the interpolated median of a group is above zero, as one plain aggregate.
 
@@ -114,30 +110,32 @@ def group_quantiles(
     value: str,
     wanted: Mapping[str, float | str],
     weight: str | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Exact quantiles of ``value`` per group, one row per group with a non-null value.
 
     ``wanted`` maps an output name to a fraction (nearest rank) or to ``"median"``
     (mean of the two middle values). ``weight`` names a column of repeat counts.
 
-    Two passes over the input: the first shuffles bucket counts only, the second only
-    the rows of the buckets that hold a wanted position. The first pass runs at once and
-    leaves at most two rows per group and quantile; its size decides how they are joined.
+    The first pass runs at once. It shuffles bucket counts only and leaves at most two
+    buckets per group and quantile. Buckets that still hold too many different values are
+    split by another such pass with finer buckets. The last pass, which is lazy, shuffles
+    only the rows of the buckets that are left.
+
+    The bucket table is broadcast when it has ``broadcast_rows`` rows or fewer: Spark would
+    pick the join before it knows this size, and would shuffle every row of the table.
+    Above that it is a shuffle join, in which adaptive execution splits hot partitions.
     """
     keys = list(keys)
+    work_dir(df.sparkSession)
     amount = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     rows = df.where(F.col(value).isNotNull()).select(
         *keys, F.col(value).alias("__v"), amount.alias("__w")
     )
-    rows = rows.where(F.col("__w") > 0).withColumn("__b", order_bucket(F.col("__v")))
-
-    running = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (
-        rows.groupBy(*keys, "__b")
-        .agg(F.sum("__w").alias("__in"))
-        .withColumn("__before", F.coalesce(F.sum("__in").over(running), F.lit(0)))
-        .withColumn("__n", F.sum("__in").over(Window.partitionBy(*keys)))
-    )
+    if weight:
+        rows = rows.where(F.col("__w") > 0)
+    rows = read_twice(rows)
     n = F.col("__n")
     positions: dict[str, Column] = {}
     for name, q in wanted.items():
@@ -146,74 +144,153 @@ def group_quantiles(
             positions[f"__hi_{name}"] = F.ceil((n - 1) / 2)
         else:
             positions[f"__at_{name}"] = nearest_index(n, q)
-    inside = [
-        (p >= F.col("__before")) & (p < F.col("__before") + F.col("__in"))
-        for p in positions.values()
-    ]
-    needed = buckets.where(reduce(lambda a, b: a | b, inside)).drop("__in")
 
-    joined_keys = [*keys, "__b"]
-    renamed = counted_side(needed.withColumnsRenamed({k: f"__r_{k}" for k in joined_keys}))
-    on = reduce(
-        lambda a, b: a & b,
-        [
-            F.col(k).eqNullSafe(F.col(f"__r_{k}")) if k != "__b" else F.col(k) == F.col(f"__r_{k}")
-            for k in joined_keys
-        ],
-    )
-    within = (
-        Window.partitionBy(*joined_keys)
-        .orderBy("__v")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    def holds(start: Column, count: Column) -> Column:
+        tests = [(p >= start) & (p < start + count) for p in positions.values()]
+        return reduce(lambda a, b: a | b, tests)
+
+    needed: DataFrame | None = None
+    for level, steps in enumerate(STEPS_PER_OCTAVE):
+        finer = rows.withColumn("__b", order_bucket(F.col("__v"), steps))
+        if needed is None:
+            inside, base = keys, F.lit(0)
+            source = finer
+        else:
+            inside, base = [*keys, "__p"], F.col("__before")
+            source = _rows_of_buckets(finer, needed, keys, STEPS_PER_OCTAVE[level - 1])
+        carried = [] if needed is None else ["__p", "__before", "__n"]
+        running = Window.partitionBy(*inside).orderBy("__b")
+        ahead = F.sum("__in").over(running.rowsBetween(Window.unboundedPreceding, -1))
+        counts = (
+            source.groupBy(*keys, *carried, "__b")
+            .agg(
+                F.sum("__w").alias("__in"),
+                (F.min("__v") < F.max("__v")).alias("__mixed"),
+            )
+            .withColumn("__start", base + F.coalesce(ahead, F.lit(0)))
+        )
+        if needed is None:
+            counts = counts.withColumn("__n", F.sum("__in").over(Window.partitionBy(*keys)))
+        found = (
+            counts.where(holds(F.col("__start"), F.col("__in")))
+            .select(
+                *[F.col(k).alias(f"__r_{k}") for k in keys],
+                F.col("__b").alias("__p"),
+                F.col("__start").alias("__before"),
+                "__n",
+                "__in",
+                "__mixed",
+            )
+            .checkpoint()
+        )
+        size, most = found.agg(
+            F.count(F.lit(1)), F.coalesce(F.max(F.when(F.col("__mixed"), F.col("__in"))), F.lit(0))
+        ).first()
+        needed = found.drop("__in", "__mixed")
+        if size <= broadcast_rows:
+            needed = F.broadcast(needed)
+        if most <= rows_per_task:
+            break
+
+    within = Window.partitionBy(*keys, "__p").orderBy("__v")
+    through = F.sum("__c").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     picked = (
-        rows.join(renamed, on)
-        .groupBy(*joined_keys, "__before", "__n", "__v")
+        _rows_of_buckets(rows, needed, keys, steps)
+        .groupBy(*keys, "__p", "__before", "__n", "__v")
         .agg(F.sum("__w").alias("__c"))
-        .withColumn("__end", F.col("__before") + F.sum("__c").over(within))
+        .withColumn("__end", F.col("__before") + through)
     )
-    hits = {
-        name: F.max(
-            F.when((p >= F.col("__end") - F.col("__c")) & (p < F.col("__end")), F.col("__v"))
-        )
+    start, end = F.col("__end") - F.col("__c"), F.col("__end")
+    hits = [
+        F.max(F.when((p >= start) & (p < end), F.col("__v"))).alias(name)
         for name, p in positions.items()
-    }
-    result = picked.groupBy(*keys).agg(*[c.alias(name) for name, c in hits.items()])
+    ]
     final = []
     for name, q in wanted.items():
         if q == "median":
-            middle = F.col(f"__lo_{name}") + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}")) / 2
-            final.append(middle.alias(name))
+            low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
+            final.append((low + (high - low) / 2).alias(name))
         else:
             final.append(F.col(f"__at_{name}").alias(name))
-    return result.select(*keys, *final)
+    return picked.groupBy(*keys).agg(*hits).select(*keys, *final)
 
 
-def with_row_position(
-    df: DataFrame, order: Sequence[Column | str], name: str = "position"
+def _rows_of_buckets(
+    rows: DataFrame, needed: DataFrame, keys: Sequence[str], steps: int
 ) -> DataFrame:
-    """Number the rows 0, 1, 2, ... in the given order without a one-task window.
+    """The rows that lie in a needed bucket of the given width, with the bucket's counts."""
+    same = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    same.append(F.col("__at") == F.col("__p"))
+    return (
+        rows.withColumn("__at", order_bucket(F.col("__v"), steps))
+        .join(needed, reduce(lambda a, b: a & b, same))
+        .drop("__at", *[f"__r_{k}" for k in keys])
+    )
+
+
+def sorted_slots(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """Range-sort the rows and tell each its sorted partition and its place in there.
 
-    The rows are range-sorted, each sorted partition counts its own rows, and the
-    counts of the partitions before it give the offset. The numbered rows are
-    checkpointed so that a lost executor cannot shift a partition boundary.
+    Adds ``__slot`` and ``__index``; rows of a lower slot come before those of a higher one.
+    The result is checkpointed, so that a lost executor cannot shift a partition boundary
+    between two readings. The sort samples the data: partitions are even whatever the keys.
     """
     work_dir(df.sparkSession)
-    numbered = (
-        df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()).checkpoint()
+    number = F.monotonically_increasing_id()
+    return (
+        df.orderBy(*order)
+        .withColumn("__id", number)
+        .withColumn("__slot", F.shiftright("__id", 33))
+        .withColumn("__index", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+        .drop("__id")
+        .checkpoint()
     )
-    slot = F.shiftright("__id", 33).alias("__slot")
+
+
+def slot_offsets(placed: DataFrame, **totals: Column) -> DataFrame:
+    """For every slot the sums over all slots before it.
+
+    One row per sort partition, so its size is set by the session and not by the data.
+    """
     earlier = Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per sort partition: bounded by the partition count of the session.
-    offsets = (
-        numbered.groupBy(slot)
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .select("__slot", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__offset"))
+    per_slot = placed.groupBy("__slot").agg(*[c.alias(name) for name, c in totals.items()])
+    return F.broadcast(
+        per_slot.select(
+            "__slot",
+            *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(name) for name in totals],
+        )
+    )
+
+
+def with_row_position(
+    df: DataFrame, order: Sequence[Column | str], name: str = "position"
+) -> DataFrame:
+    """Number the rows 0, 1, 2, ... in the given order without a one-task window."""
+    placed = sorted_slots(df, order)
+    return (
+        placed.join(slot_offsets(placed, __offset=F.count(F.lit(1))), "__slot")
+        .withColumn(name, F.col("__offset") + F.col("__index"))
+        .drop("__slot", "__offset", "__index")
+    )
+
+
+def with_previous_row(
+    df: DataFrame, order: Sequence[str], columns: Sequence[str], name: str = "previous"
+) -> DataFrame:
+    """Put the given columns of the row before (in the global order) next to every row.
+
+    Inside a sorted partition this is a lag; the first row of a partition takes the last
+    row of the partition before it.
+    """
+    placed = sorted_slots(df, order).withColumn("__row", F.struct(*columns))
+    in_slot = Window.partitionBy("__slot").orderBy("__index")
+    last_rows = placed.groupBy("__slot").agg(F.max_by("__row", "__index").alias("__row"))
+    before = last_rows.select(
+        "__slot", F.lag("__row").over(Window.orderBy("__slot")).alias("__carried")
     )
-    index = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    previous = F.coalesce(F.lag("__row").over(in_slot), F.col("__carried"))
     return (
-        numbered.withColumn("__slot", slot)
-        .join(F.broadcast(offsets), "__slot")
-        .withColumn(name, F.col("__offset") + index)
-        .drop("__slot", "__offset", "__id")
+        placed.join(F.broadcast(before), "__slot")
+        .withColumn(name, previous)
+        .drop("__slot", "__index", "__row", "__carried")
     )

@@ -13,6 +13,7 @@ from weir.functions import segments
 from weir.functions.columns import total
 from weir.functions.order import left_join_on_keys
 from weir.operators.decompose import daily_series
+from weir.session import read_twice
 
 STAT_COLUMNS = (
     "before_mean",
@@ -215,6 +216,7 @@ def event_card(
     Contributors come from the whole table; ``match`` limits them to the event's group.
     """
     match = list(match)
+    changepoints = read_twice(changepoints)
     fields = [
         "place",
         "pipeline_name",

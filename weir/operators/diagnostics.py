@@ -19,6 +19,7 @@ from weir.operators.ranking import (
     with_share,
     with_trailing_mean,
 )
+from weir.session import read_twice
 
 ROLLING_DAYS = 30
 TREND_DAYS = 7
@@ -273,6 +274,7 @@ def cross_correlations(changes: DataFrame) -> DataFrame:
 
 def changepoint_evidence(changes: DataFrame) -> DataFrame:
     """Everything about a changepoint table that its columns allow, in one row."""
+    changes = read_twice(changes)
     have = set(changes.columns)
     parts: dict[str, DataFrame] = {"stats": table_shape(changes)}
     optional: list[tuple[str, set[str], Callable[[DataFrame], DataFrame]]] = [

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,18 +17,17 @@ from weir.functions.columns import (
     total,
 )
 from weir.functions.order import (
+    ROWS_PER_TASK,
     group_quantiles,
     largest_group,
     left_join_on_keys,
     median_of_list,
     nearest_of_list,
-    order_bucket,
+    with_previous_row,
 )
 
 ROLLUP_KEYS = ["eff_gas_day", "pipeline_name", "state_abb", "category_short"]
 LOCATION = ["pipeline_name", "loc_name"]
-# Rows of one group that a single task may sort and hold (8 bytes a value).
-ROWS_PER_TASK = 1_000_000
 
 
 def daily_rollup(df: DataFrame, keys: Sequence[str] = ROLLUP_KEYS) -> DataFrame:
@@ -46,47 +46,26 @@ def daily_rollup(df: DataFrame, keys: Sequence[str] = ROLLUP_KEYS) -> DataFrame:
 def row_changes(df: DataFrame, keys: Sequence[str] = LOCATION) -> DataFrame:
     """Absolute change between neighbouring rows of a key, as (keys, abs_delta, times).
 
-    Rows are ordered by (day, quantity). Equal rows are merged with a count first. Each
-    (key, day, quantity bucket) is then a segment of its own, sorted alone, and only the
-    last value of every segment travels to the segment after it: a key that holds a
-    large part of the table is worked on by as many tasks as it has segments.
+    Rows are ordered by (day, quantity). Equal rows are merged with a count first; the
+    merged rows are range-sorted over all keys, so a key that holds a large part of the
+    table is spread over many tasks.
     """
     keys = list(keys)
-    segment = [*keys, "__day", "__b"]
-    lowest = F.lit(-(1 << 62)).cast("bigint")
-    runs = (
-        df.select(
-            *keys,
-            F.col("eff_gas_day").alias("__day"),
-            F.col("scheduled_quantity").alias("__q"),
-            F.coalesce(order_bucket(F.col("scheduled_quantity"), 16), lowest).alias("__b"),
-        )
-        .groupBy(*segment, "__q")
-        .agg(F.count(F.lit(1)).alias("__times"))
-    )
-    inside = Window.partitionBy(*segment).orderBy("__q")
-    along = Window.partitionBy(*keys).orderBy("__day", "__b")
-    ends = (
-        runs.groupBy(*segment)
-        .agg(F.max("__q").alias("__end"))
-        .withColumn("__prev_end", F.lag("__end").over(along))
-        .drop("__end")
-    )
-    ordered = runs.withColumn("__prev", F.lag("__q").over(inside)).withColumn(
-        "__first", F.row_number().over(inside) == 1
-    )
-    previous = F.when(F.col("__first"), F.col("__prev_end")).otherwise(F.col("__prev"))
-    step = F.struct(
-        F.abs(F.col("__q") - previous).alias("abs_delta"), F.lit(1).cast("bigint").alias("times")
+    row = [*keys, "eff_gas_day", "scheduled_quantity"]
+    runs = df.groupBy(*row).agg(F.count(F.lit(1)).alias("repeats"))
+    paired = with_previous_row(runs, row, [*keys, "scheduled_quantity"])
+    same_key = reduce(
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"previous.{k}")) for k in keys]
     )
+    quantity = F.col("scheduled_quantity")
+    delta = F.when(same_key, F.abs(quantity - F.col("previous.scheduled_quantity")))
+    step = F.struct(delta.alias("abs_delta"), F.lit(1).cast("bigint").alias("times"))
     repeats = F.struct(
-        F.when(F.col("__q").isNotNull(), F.lit(0.0)).alias("abs_delta"),
-        (F.col("__times") - 1).alias("times"),
+        F.when(quantity.isNotNull(), F.lit(0.0)).alias("abs_delta"),
+        (F.col("repeats") - 1).alias("times"),
     )
-    return (
-        left_join_on_keys(ordered, ends, segment)
-        .select(*keys, F.inline(F.array(step, repeats)))
-        .where((F.col("times") > 0) & F.col("abs_delta").isNotNull())
+    return paired.select(*keys, F.inline(F.array(step, repeats))).where(
+        (F.col("times") > 0) & F.col("abs_delta").isNotNull()
     )
 
 

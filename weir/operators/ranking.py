@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from weir.functions.order import order_bucket, with_row_position
+from weir.functions.order import ROWS_PER_TASK, slot_offsets, sorted_slots, with_row_position
 from weir.operators.aggregate import aggregate, metric_name
+from weir.session import read_twice, work_dir
 
 RANK_METHODS = ("average", "min", "max", "dense", "first")
 STEP_METHODS = ("ordinal", "dense", "min", "max")
@@ -26,61 +26,41 @@ def _total_order(df: DataFrame, by: Sequence[str], descending: bool) -> list[Col
     return [_directed(c, descending) for c in by] + [F.col(c).asc_nulls_last() for c in rest]
 
 
-def _value_bucket(df: DataFrame, column: str) -> Column | None:
-    """Order bucket of a numeric or date column; None for other types."""
-    dtype = df.schema[column].dataType
-    if isinstance(dtype, T.NumericType):
-        return order_bucket(F.col(column))
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(column).cast("bigint")
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_date(F.col(column).cast("date")).cast("bigint")
-    return None
-
-
-def rank_table(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
+def rank_table(
+    df: DataFrame, column: str, descending: bool = False, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
     """(value, below, ties, dense) for every distinct non-null value.
 
-    ``below`` counts the rows that rank ahead of the value. The distinct values are
-    spread over order buckets; only the bucket totals meet in one task, and their
-    number is fixed by the bucket width. Text values are numbered by a range sort.
+    ``below`` counts the rows that rank ahead of the value. Equal values are merged first.
+    When few are left, one task numbers them and the table is broadcast; otherwise they
+    are range-sorted and every sorted partition is numbered by itself.
     """
+    work_dir(df.sparkSession)
     values = (
         df.where(F.col(column).isNotNull())
-        .groupBy(column)
+        .groupBy(F.col(column).alias("__value"))
         .agg(F.count(F.lit(1)).alias("__ties"))
+        .checkpoint()
     )
-    bucket = _value_bucket(df, column)
-    if bucket is None:
-        bucket_number = with_row_position(
-            values, [F.col(column).desc() if descending else F.col(column)], "__b"
+    if values.count() <= rows_per_task:
+        order = Window.orderBy(_directed("__value", descending))
+        ahead = F.sum("__ties").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        below, dense = F.coalesce(ahead, F.lit(0)), F.row_number().over(order)
+        return F.broadcast(
+            values.withColumns({"__below": below, "__dense": dense.cast("bigint")})
         )
-        # Neighbouring distinct values share a block, so the blocks stay few and small.
-        values = bucket_number.withColumn("__b", F.expr("__b div 65536"))
-    else:
-        values = values.withColumn("__b", -bucket if descending else bucket)
-    order = F.col(column).desc() if descending else F.col(column).asc()
-    in_bucket = Window.partitionBy("__b").orderBy(order)
-    ahead = in_bucket.rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        values.groupBy("__b")
-        .agg(F.sum("__ties").alias("__rows"), F.count(F.lit(1)).alias("__values"))
-        .select(
-            F.col("__b").alias("__ob"),
-            F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__rows_before"),
-            F.coalesce(F.sum("__values").over(before), F.lit(0)).alias("__values_before"),
-        )
-    )
+    placed = sorted_slots(values, [_directed("__value", descending)])
+    offsets = slot_offsets(placed, __rows=F.sum("__ties"), __values=F.count(F.lit(1)))
+    in_slot = Window.partitionBy("__slot").orderBy("__index")
+    ahead = F.sum("__ties").over(in_slot.rowsBetween(Window.unboundedPreceding, -1))
     return (
-        values.withColumn("__ahead", F.coalesce(F.sum("__ties").over(ahead), F.lit(0)))
-        .withColumn("__nth", F.row_number().over(in_bucket))
-        .join(offsets, F.col("__b") == F.col("__ob"))
+        placed.withColumn("__ahead", F.coalesce(ahead, F.lit(0)))
+        .join(offsets, "__slot")
         .select(
-            F.col(column).alias("__value"),
-            (F.col("__rows_before") + F.col("__ahead")).alias("__below"),
+            "__value",
             "__ties",
-            (F.col("__values_before") + F.col("__nth")).alias("__dense"),
+            (F.col("__rows") + F.col("__ahead")).alias("__below"),
+            (F.col("__values") + F.col("__index") + 1).alias("__dense"),
         )
     )
 
@@ -96,16 +76,24 @@ def _rank_value(method: str) -> Column:
 
 
 def with_rank(
-    df: DataFrame, column: str, method: str, descending: bool, name: str
+    df: DataFrame,
+    column: str,
+    method: str,
+    descending: bool,
+    name: str,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add one rank column; null values get a null rank."""
     if method in ("first", "ordinal"):
         placed = with_row_position(df, _total_order(df, [column], descending), "__p")
         rank = F.when(F.col(column).isNotNull(), F.col("__p") + 1)
         return placed.withColumn(name, rank).drop("__p")
-    ranks = rank_table(df, column, descending).withColumn(name, _rank_value(method))
-    return df.join(ranks.select("__value", name), F.col(column) == F.col("__value"), "left").drop(
-        "__value"
+    df = read_twice(df)
+    ranks = rank_table(df, column, descending, rows_per_task)
+    return (
+        df.join(ranks, F.col(column) == F.col("__value"), "left")
+        .withColumn(name, _rank_value(method))
+        .drop("__value", "__ties", "__below", "__dense")
     )
 
 
@@ -117,7 +105,7 @@ def rank_columns(
         raise ValueError("rank needs at least one column")
     if method not in RANK_METHODS:
         raise ValueError(f"unsupported rank method {method!r}; choose from {RANK_METHODS}")
-    result = df
+    result = read_twice(df)
     for column in by:
         result = with_rank(result, column, method, descending, f"rank_{column}")
     return result.orderBy(*_total_order(df, by, descending))
@@ -263,8 +251,8 @@ def with_share(df: DataFrame, col: str, name: str) -> DataFrame:
 
 def percentile_ranks(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Average rank / rows * 100 for each ``{column: output name}``."""
-    rows = overall(df, F.count(F.lit(1)))
-    result = df
+    result = read_twice(df)
+    rows = overall(result, F.count(F.lit(1)))
     for column, name in columns.items():
         result = with_rank(result, column, "average", False, name)
         result = result.withColumn(name, F.col(name) / rows * 100)

@@ -74,13 +74,15 @@ def average_by_state(df: DataFrame, limit: int | None = None) -> DataFrame:
     return sort_rows(means, [f"avg_{QUANTITY}"], descending=True, limit=limit)
 
 
-def pipeline_changepoints(df: DataFrame, pipeline: str) -> DataFrame:
+def pipeline_changepoints(
+    df: DataFrame, pipeline: str, min_confidence: float = 0.7
+) -> DataFrame:
     """Changepoints of one pipeline as a single series."""
-    return detect_changepoints(_of(df, pipeline), None)
+    return detect_changepoints(_of(df, pipeline), None, min_confidence=min_confidence)
 
 
-def all_pipeline_changepoints(df: DataFrame) -> DataFrame:
-    return detect_changepoints(df, ["pipeline_name"])
+def all_pipeline_changepoints(df: DataFrame, min_confidence: float = 0.7) -> DataFrame:
+    return detect_changepoints(df, ["pipeline_name"], min_confidence=min_confidence)
 
 
 def clusters_of(df: DataFrame, entity_type: str = "loc", k: int = 6) -> DataFrame:
