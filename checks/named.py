@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.common import DAY, LOCATION, QUANTITY, SIGN, Check, flow_check, r6
-from checks.series import FEATURE_COLUMNS
+from checks.series import FEATURE_COLUMNS, FOUND, BY_PIPELINE, TOGETHER, breaks_sql, detected_sql
 from checks.windows import RANK_SQL
 from weir.plans import named
 from weir.plans.steps import run_steps
@@ -152,6 +152,48 @@ def _regime_steps(df: DataFrame) -> DataFrame:
     return run_steps(spec, {"raw": df})
 
 
+OF_ASIA = TOGETHER.replace("GROUP BY", "WHERE pipeline_name = 'ASIA' GROUP BY")
+SINCE_1999 = BY_PIPELINE.replace("GROUP BY", "WHERE eff_gas_day >= DATE '1999-01-01' GROUP BY")
+# Deseasonalised daily totals of one year per pipeline.
+DESEASONALIZED = f"""WITH s AS (SELECT pipeline_name, eff_gas_day, sum(scheduled_quantity) AS v
+  FROM flows WHERE {IN_2000} GROUP BY ALL),
+t AS (SELECT *, v - avg(v) OVER (PARTITION BY pipeline_name ORDER BY eff_gas_day
+  ROWS BETWEEN 182 PRECEDING AND 182 FOLLOWING) AS x FROM s),
+w0 AS (SELECT *, avg(x) OVER (PARTITION BY pipeline_name, isodow(eff_gas_day)) AS wr FROM t),
+w AS (SELECT *, wr - avg(wr) OVER (PARTITION BY pipeline_name) AS weekly FROM w0),
+a0 AS (SELECT *, avg(x - weekly) OVER (PARTITION BY pipeline_name, dayofyear(eff_gas_day)) AS ar
+  FROM w)
+SELECT pipeline_name AS g, eff_gas_day AS day,
+  v - (weekly + (ar - avg(ar) OVER (PARTITION BY pipeline_name))) AS v FROM a0"""
+REGIME_SQL = f"""WITH {breaks_sql(DESEASONALIZED, 7, 1.0, 0.1, "pipeline_name")}
+SELECT pipeline_name, changepoint_date, {FOUND},
+  {r6(RANK_SQL["average"].format(c="found.change_magnitude", d="DESC"))} AS rank_change_magnitude
+FROM found ORDER BY found.change_magnitude DESC LIMIT 10"""
+EVENTS_SQL = f"""WITH {breaks_sql(SINCE_1999, 10, 10.0, 0.01, "pipeline_name")},
+top AS (SELECT * FROM found ORDER BY confidence DESC LIMIT 10),
+t AS (SELECT changepoint_date AS at_day, f.pipeline_name, f.loc_name,
+    sum(CASE WHEN eff_gas_day < at_day THEN scheduled_quantity ELSE 0 END) AS b,
+    sum(CASE WHEN eff_gas_day >= at_day THEN scheduled_quantity ELSE 0 END) AS a
+  FROM flows f JOIN (SELECT DISTINCT changepoint_date FROM top)
+    ON eff_gas_day BETWEEN changepoint_date - 30 AND changepoint_date + 30 GROUP BY ALL),
+best_five AS (SELECT *, row_number() OVER (PARTITION BY at_day
+    ORDER BY abs(a - b) DESC, pipeline_name, loc_name) AS place FROM t QUALIFY place <= 5)
+SELECT top.pipeline_name AS event_pipeline, changepoint_date, {r6("confidence")} AS confidence,
+  place, best_five.pipeline_name, loc_name, {r6("b")} AS before_total, {r6("a")} AS after_total,
+  {r6("a - b")} AS change, {r6("abs(a - b)")} AS abs_change
+FROM top JOIN best_five ON at_day = changepoint_date"""
+
+
+def _events_with_contributors(df: DataFrame) -> DataFrame:
+    events = named.change_events(df, since="1999-01-01", min_confidence=0.01)
+    return events.select(
+        F.col("pipeline_name").alias("event_pipeline"),
+        "changepoint_date",
+        "confidence",
+        F.inline("top_contributors"),
+    )
+
+
 CHECKS: dict[str, Check] = {
     "deliveries_on_day": flow_check(
         "QRY-1",
@@ -201,9 +243,18 @@ CHECKS: dict[str, Check] = {
         FROM flows GROUP BY ALL""",
     ),
     "changepoints_of_one": flow_check(
-        "QRY-8", AT_PIPELINE, lambda df: named.pipeline_changepoints(df, "ASIA")
+        "QRY-8",
+        AT_PIPELINE,
+        lambda df: named.pipeline_changepoints(df, "ASIA", 0.04),
+        f"""WITH {breaks_sql(OF_ASIA, 10, 10.0, 0.04, None)}
+        SELECT changepoint_date, {FOUND} FROM found""",
+    ),
+    "changepoints_of_all": flow_check(
+        "QRY-9",
+        AT_PIPELINE,
+        lambda df: named.all_pipeline_changepoints(df, 0.03),
+        detected_sql(10, 10.0, 0.03),
     ),
-    "changepoints_of_all": flow_check("QRY-9", AT_PIPELINE, named.all_pipeline_changepoints),
     "clusters_of_locations": flow_check("QRY-10", FEATURE_COLUMNS, named.clusters_of),
     "simple_aggregation": flow_check(
         "QRY-11",
@@ -212,7 +263,7 @@ CHECKS: dict[str, Check] = {
         f"""SELECT pipeline_name, loc_name, {r6("avg(scheduled_quantity)")}
         AS avg_scheduled_quantity FROM flows GROUP BY ALL ORDER BY ALL LIMIT 40""",
     ),
-    "regime_shifts": flow_check("QRY-12", AT_PIPELINE, _regime),
+    "regime_shifts": flow_check("QRY-12", AT_PIPELINE, _regime, REGIME_SQL),
     "top_ranked_groups": flow_check(
         "QRY-13",
         ["category_short", "state_abb", QUANTITY],
@@ -282,12 +333,8 @@ CHECKS: dict[str, Check] = {
     "change_events": flow_check(
         "QRY-21 SRT-6",
         [*LOCATION, DAY, QUANTITY],
-        lambda df: named.change_events(df, since="1999-01-01", min_confidence=0.1).select(
-            "pipeline_name",
-            "changepoint_date",
-            "confidence",
-            F.size("top_contributors").alias("contributors"),
-        ),
+        _events_with_contributors,
+        EVENTS_SQL,
     ),
     "steps_branching": flow_check(
         "PIP-1 PIP-3 SNK-2",
@@ -302,5 +349,5 @@ CHECKS: dict[str, Check] = {
         ORDER BY sum_scheduled_quantity DESC, loc_name, p95_scheduled_quantity
         LIMIT 15 OFFSET 5""",
     ),
-    "steps_regime_shifts": flow_check("QRY-12 PIP-1", AT_PIPELINE, _regime_steps),
+    "steps_regime_shifts": flow_check("QRY-12 PIP-1", AT_PIPELINE, _regime_steps, REGIME_SQL),
 }

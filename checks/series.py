@@ -72,6 +72,77 @@ def _detected(**options):
     return lambda df: changepoint.detect_changepoints(df, **options)
 
 
+def breaks_sql(
+    daily: str, min_size: int, penalty: float | str, min_confidence: float, group: str | None
+) -> str:
+    """Changepoint table in SQL, unrounded: CTEs ending in ``found``.
+
+    ``daily`` is a query with the columns g, day, v. The recursion ``best`` walks over the
+    allowed end points and keeps, per series, the least cost and the last break of each;
+    ``walk`` follows the last breaks back from the end.
+    """
+    pen = "2 * spread * ln(n)" if penalty == "bic" else f"{penalty}::DOUBLE"
+    end = "e.ends[r.k + 1]"
+    gap = f"(e.s1[{end} + 1] - e.s1[r.pos[j] + 1])"
+    cost = f"""r.f[j] + greatest(e.s2[{end} + 1] - e.s2[r.pos[j] + 1]
+      - {gap} ** 2 / ({end} - r.pos[j]), 0.0::DOUBLE)"""
+    name = f"g AS {group}, " if group else ""
+    return f"""daily AS ({daily}),
+    placed AS (SELECT *, v - avg(v) OVER (PARTITION BY g) AS y,
+      row_number() OVER (PARTITION BY g ORDER BY day) AS i FROM daily),
+    sums AS (SELECT *, sum(y) OVER w AS s1, sum(y * y) OVER w AS s2 FROM placed
+      WINDOW w AS (PARTITION BY g ORDER BY i)),
+    lists AS (SELECT g, count(*) AS n, var_pop(v) AS spread, list(s1 ORDER BY i) AS s1,
+      list(s2 ORDER BY i) AS s2 FROM sums GROUP BY g HAVING count(*) >= 2 * {min_size}),
+    e AS MATERIALIZED (SELECT g, {pen} AS pen, [0.0::DOUBLE] || s1 AS s1,
+      [0.0::DOUBLE] || s2 AS s2,
+      list_filter(range(5, n, 5), lambda x: x >= {min_size}) || [n] AS ends FROM lists),
+    best AS MATERIALIZED (WITH RECURSIVE r AS (
+      SELECT g, 0::BIGINT AS k, [0::BIGINT] AS pos, [0.0::DOUBLE] AS f, [0::BIGINT] AS prev
+      FROM e
+      UNION ALL
+      SELECT g, k + 1, pos || [b], f || [t.c + pen], prev || [t.p] FROM (
+        SELECT r.g, r.k, r.pos, r.f, r.prev, e.pen, {end} AS b,
+          list_min(list_transform(range(1, len(r.pos) + 1), lambda j:
+            CASE WHEN {end} - r.pos[j] >= {min_size}
+              THEN {{'c': {cost}, 'p': r.pos[j]}} END)) AS t
+        FROM r JOIN e ON r.g = e.g WHERE r.k < len(e.ends)))
+      SELECT g, pos, prev FROM r
+      QUALIFY row_number() OVER (PARTITION BY g ORDER BY k DESC) = 1),
+    walk AS (WITH RECURSIVE w AS (
+      SELECT g, pos, prev, prev[len(prev)] AS brk FROM best
+      UNION ALL
+      SELECT g, pos, prev, prev[list_position(pos, brk)] FROM w WHERE brk > 0)
+      SELECT g, brk FROM w WHERE brk > 0),
+    halves AS (SELECT w.g, w.brk, min(day) FILTER (WHERE i > brk) AS changepoint_date,
+      avg(v) FILTER (WHERE i <= brk) AS before_mean, avg(v) FILTER (WHERE i > brk) AS after_mean,
+      stddev_pop(v) FILTER (WHERE i <= brk) AS before_std,
+      stddev_pop(v) FILTER (WHERE i > brk) AS after_std
+      FROM walk w JOIN placed p ON w.g = p.g GROUP BY ALL),
+    measured AS (SELECT {name}changepoint_date, before_mean, after_mean, before_std, after_std,
+      abs(after_mean - before_mean) / (abs(before_mean) + 1e-8) AS change_magnitude,
+      abs(after_mean - before_mean) / (sqrt((before_std ** 2 + after_std ** 2) / 2) + 1e-8)
+        AS confidence FROM halves),
+    found AS (SELECT * FROM measured
+      WHERE {min_confidence} <= 0 OR confidence >= {min_confidence})"""
+
+
+FOUND = ", ".join(f"{r6(c)} AS {c}" for c in changepoint.STAT_COLUMNS)
+BY_PIPELINE = """SELECT pipeline_name AS g, eff_gas_day AS day, sum(scheduled_quantity) AS v
+  FROM flows GROUP BY ALL"""
+TOGETHER = """SELECT 'all' AS g, eff_gas_day AS day, sum(scheduled_quantity) AS v
+  FROM flows GROUP BY ALL"""
+
+
+def detected_sql(
+    min_size: int, penalty: float | str, min_confidence: float, grouped: bool = True
+) -> str:
+    group = "pipeline_name" if grouped else None
+    daily = BY_PIPELINE if grouped else TOGETHER
+    return f"""WITH {breaks_sql(daily, min_size, penalty, min_confidence, group)}
+    SELECT {"pipeline_name, " if grouped else ""}changepoint_date, {FOUND} FROM found"""
+
+
 def _features_sql(entity: str, other: str) -> str:
     months = ", ".join(
         f"""{r6(f"coalesce(avg(v) FILTER (WHERE month(day) = {m}) / greatest(avg(v), 1), 1)")}
@@ -154,10 +225,24 @@ CHECKS: dict[str, Check] = {
         GROUP BY ALL HAVING count(*) < 14""",
     ),
     "changepoints_grouped": flow_check(
-        "CP-1", CHANGE_COLUMNS, _detected(groupby=["pipeline_name"], min_confidence=0.05)
+        "CP-1",
+        CHANGE_COLUMNS,
+        _detected(groupby=["pipeline_name"], min_confidence=0.05),
+        detected_sql(10, 10.0, 0.05),
     ),
     "changepoints_single_series": flow_check(
-        "CP-1", [DAY, QUANTITY], _detected(penalty="bic", min_confidence=0.0)
+        "CP-1",
+        [DAY, QUANTITY],
+        _detected(penalty=4000.0, min_confidence=0.0),
+        detected_sql(10, 4000.0, 0.0, grouped=False),
+    ),
+    "changepoints_bic": flow_check(
+        "CP-1",
+        ["loc_name", DAY, QUANTITY],
+        _detected(groupby=["loc_name"], penalty="bic", min_confidence=0.0),
+        f"""WITH {breaks_sql("""SELECT loc_name AS g, eff_gas_day AS day,
+          sum(scheduled_quantity) AS v FROM flows GROUP BY ALL""", 10, "bic", 0.0, "loc_name")}
+        SELECT loc_name, changepoint_date, {FOUND} FROM found""",
     ),
     "changepoint_statistics": flow_check(
         "CP-2",
@@ -188,9 +273,13 @@ CHECKS: dict[str, Check] = {
         lambda df: changepoint.changepoint_step(
             df, min_confidence=0.05, groupby=["pipeline_name"]
         ),
+        detected_sql(7, 10.0, 0.05),
     ),
     "changepoints_sensitive": flow_check(
-        "CP-5", CHANGE_COLUMNS, changepoint.sensitive_changepoints
+        "CP-5",
+        CHANGE_COLUMNS,
+        changepoint.sensitive_changepoints,
+        detected_sql(3, 0.5, 0.3),
     ),
     "changepoint_score": flow_check(
         "CP-6",
