@@ -74,24 +74,38 @@ def seasonal_deviation(df: DataFrame, value: str = "scheduled_quantity") -> Data
     )
 
 
-def peer_table(df: DataFrame, scope: str = "state") -> DataFrame:
-    """Totals and means per peer with their percentile ranks."""
-    group = PEER_COLUMNS.get(scope, "state_abb")
-    peers = df.groupBy(group).agg(
+def _peers(df: DataFrame, scope: str) -> DataFrame:
+    return df.groupBy(PEER_COLUMNS.get(scope, "state_abb")).agg(
         total(F.col("scheduled_quantity")).alias("total_volume"),
         F.avg("scheduled_quantity").alias("avg_volume"),
     )
+
+
+def peer_table(df: DataFrame, scope: str = "state") -> DataFrame:
+    """Totals and means per peer with their percentile ranks."""
     return percentile_ranks(
-        peers, {"total_volume": "total_percentile", "avg_volume": "avg_percentile"}
+        _peers(df, scope),
+        {"total_volume": "total_percentile", "avg_volume": "avg_percentile"},
     )
 
 
 def peer_contrast(df: DataFrame, scope: str = "state") -> DataFrame:
-    """Mean percentiles over all peers, and how many there are; 50 without peers."""
-    return peer_table(df, scope).agg(
-        _or(F.round(F.avg("total_percentile"), 1), 50.0).alias("percentile_total"),
-        _or(F.round(F.avg("avg_percentile"), 1), 50.0).alias("percentile_avg"),
-        F.count(F.lit(1)).alias("peer_count"),
+    """Mean percentiles over all peers, and how many there are; 50 without peers.
+
+    Average ranks of m values always have the mean (m + 1) / 2, so counting is enough;
+    :func:`peer_table` has the percentile of every peer.
+    """
+    n = F.count(F.lit(1))
+
+    def mean_percentile(c: str) -> Column:
+        ranked = F.count(c)
+        percentile = F.try_divide((ranked + 1) / 2, F.when(ranked > 0, n)) * 100
+        return _or(F.round(percentile, 1), 50.0)
+
+    return _peers(df, scope).agg(
+        mean_percentile("total_volume").alias("percentile_total"),
+        mean_percentile("avg_volume").alias("percentile_avg"),
+        n.alias("peer_count"),
         F.lit(scope).alias("scope"),
     )
 

@@ -66,29 +66,30 @@ def step_stats(df: DataFrame) -> DataFrame:
     ).select("row_count", F.lit(len(df.columns)).cast("bigint").alias("column_count"), nulls.alias("null_counts"))
 
 
-def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column_name, mean, std, min, max, count); an empty column gives 0.0 and count 0."""
+def _moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, mean, std, min, max, count) of numeric columns from one aggregation."""
+    names = ("mean", "std", "min", "max")
+    functions = (F.avg, F.stddev_samp, F.min, F.max)
     exprs = []
     for c in columns:
         v = F.col(c).cast("double")
-        for name, agg in (
-            ("mean", F.avg(v)),
-            ("std", F.stddev_samp(v)),
-            ("min", F.min(v)),
-            ("max", F.max(v)),
-        ):
-            exprs.append(F.coalesce(agg, F.lit(0.0)).alias(f"{name}|{c}"))
+        exprs += [f(v).alias(f"{name}|{c}") for name, f in zip(names, functions)]
         exprs.append(F.count(v).alias(f"count|{c}"))
     entries = [
         F.struct(
             F.lit(c).alias("column_name"),
-            *[F.col(f"`{n}|{c}`").alias(n) for n in ("mean", "std", "min", "max", "count")],
+            *[F.col(f"`{name}|{c}`").alias(name) for name in (*names, "count")],
         )
         for c in columns
     ]
     return df.agg(*exprs).select(F.inline(F.array(*entries)))
 
 
+def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, mean, std, min, max, count); an empty column gives 0.0 and count 0."""
+    return _moments(df, columns).fillna(0.0, ["mean", "std", "min", "max"])
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_name, unique_count), null counted as a value.
 
@@ -107,17 +108,21 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], columns, "column_name", "value"
     )
-    simple = long.groupBy("column_name").agg(
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
     quantiles = group_quantiles(
         long, ["column_name"], "value", {"median": "median", "q25": 0.25, "q75": 0.75}
     )
-    return simple.join(quantiles, "column_name", "left").join(
-        distinct_counts(df, columns), "column_name", "left"
+    # A double tells all values of the narrower types apart; wider ones compare as text.
+    narrow = (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType)
+    if all(isinstance(df.schema[c].dataType, narrow) for c in columns):
+        values = long.groupBy("column_name", "value").agg(F.lit(1))
+        unique = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"))
+    else:
+        unique = distinct_counts(df, columns)
+    return (
+        _moments(df, columns)
+        .drop("count")
+        .join(quantiles, "column_name", "left")
+        .join(unique, "column_name", "left")
     )
 
 

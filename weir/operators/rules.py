@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weir.functions.columns import (
@@ -16,6 +16,7 @@ from weir.functions.columns import (
     receipt_quantity,
     total,
 )
+from weir.functions.order import median_is_positive
 from weir.operators.basic import active_locations, scope
 from weir.sources.flows import FLOW_SCHEMA
 
@@ -45,20 +46,30 @@ def _no_rows(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     )
 
 
+def _geo_is_missing(df: DataFrame) -> Column:
+    active = F.col("scheduled_quantity") > 0
+    if has_columns(df, "latitude", "longitude"):
+        return active & (F.col("latitude").isNull() | F.col("longitude").isNull())
+    return active
+
+
+def _category_is_wrong() -> Column:
+    return F.col("connecting_pipeline").isNotNull() & (
+        F.lower("category_short") != "interconnect"
+    )
+
+
 def missing_geo(df: DataFrame) -> DataFrame:
     """R-001: latitude or longitude null while the quantity is positive.
 
     An absent coordinate column counts as null on every row.
     """
     wanted = ["pipeline_name", "loc_name", "scheduled_quantity", "eff_gas_day"]
-    active = F.col("scheduled_quantity") > 0
-    if has_columns(df, "latitude", "longitude"):
-        active = active & (F.col("latitude").isNull() | F.col("longitude").isNull())
     coordinates = [
         F.col(c) if c in df.columns else F.lit(None).cast("double").alias(c)
         for c in ("latitude", "longitude")
     ]
-    return df.where(active).select(*keep_present(df, wanted), *coordinates)
+    return df.where(_geo_is_missing(df)).select(*keep_present(df, wanted), *coordinates)
 
 
 def locations_in_many_states(
@@ -66,16 +77,21 @@ def locations_in_many_states(
 ) -> DataFrame:
     """R-002: location name seen in more than one state, with its states and one example.
 
-    Rows are first reduced to one per (location, state): the list of states is built
-    from that, never from raw rows.
+    Rows are first reduced to one per (location, state, pipeline) with its first day, by a
+    plain hash aggregation: states and example are built from that, never from raw rows.
     """
     extra = keep_present(df, ["pipeline_name", "eff_gas_day"])
     if not has_columns(df, loc_col, state_col):
         return _no_rows(df, [loc_col, "n_states", "states", *extra])
-    example = F.min(F.struct(*extra)).alias("example") if extra else F.lit(None).alias("example")
-    per_state = df.groupBy(loc_col, state_col).agg(example)
+    first_day = F.min("eff_gas_day") if "eff_gas_day" in extra else F.count(F.lit(1))
+    reduced = df.groupBy(loc_col, state_col, *[c for c in extra if c == "pipeline_name"]).agg(
+        first_day.alias("eff_gas_day")
+    )
+    example = F.min(F.struct(*extra)) if extra else F.lit(None)
     result = (
-        per_state.groupBy(loc_col)
+        reduced.groupBy(loc_col, state_col)
+        .agg(example.alias("example"))
+        .groupBy(loc_col)
         .agg(
             F.count(F.lit(1)).alias("n_states"),
             F.sort_array(F.collect_list(state_col)).alias("states"),
@@ -88,22 +104,30 @@ def locations_in_many_states(
     )
 
 
+def _zero_day_columns() -> dict[str, Column]:
+    day = F.when(F.col("scheduled_quantity") == 0, F.col("eff_gas_day"))
+    return {
+        "zero_days": F.count(day),
+        "first_zero_date": F.min(day),
+        "last_zero_date": F.max(day),
+        "active": median_is_positive(F.col("scheduled_quantity")),
+    }
+
+
 def zero_quantity_days(df: DataFrame, min_days: int = ZERO_STREAK_DAYS) -> DataFrame:
-    """R-003 as counted: locations with a positive median and ``min_days`` zero rows or more."""
+    """R-003 as counted: locations with a positive median and ``min_days`` zero rows or more.
+
+    Zero days and the sign of the median come from one aggregation.
+    """
     columns = ["zero_days", "first_zero_date", "last_zero_date"]
     if not has_columns(df, *LOCATION, "scheduled_quantity", "eff_gas_day"):
         return _no_rows(df, [*LOCATION, *columns])
-    zeros = (
-        df.where(F.col("scheduled_quantity") == 0)
-        .groupBy(*LOCATION)
-        .agg(
-            F.count("eff_gas_day").alias("zero_days"),
-            F.min("eff_gas_day").alias("first_zero_date"),
-            F.max("eff_gas_day").alias("last_zero_date"),
-        )
-        .where(F.col("zero_days") >= min_days)
+    return (
+        df.groupBy(*LOCATION)
+        .agg(*[c.alias(name) for name, c in _zero_day_columns().items()])
+        .where(F.col("active") & (F.col("zero_days") >= min_days))
+        .drop("active")
     )
-    return _only_active(zeros, df)
 
 
 def zero_quantity_streaks(df: DataFrame, min_days: int = ZERO_STREAK_DAYS) -> DataFrame:
@@ -114,14 +138,14 @@ def zero_quantity_streaks(df: DataFrame, min_days: int = ZERO_STREAK_DAYS) -> Da
     columns = ["streak_start", "streak_end", "streak_days"]
     if not has_columns(df, *LOCATION, "scheduled_quantity", "eff_gas_day"):
         return _no_rows(df, [*LOCATION, *columns])
-    zero_days = (
+    all_zero = (
         df.groupBy(*LOCATION, "eff_gas_day")
         .agg(F.max(F.coalesce(F.abs("scheduled_quantity"), F.lit(1.0))).alias("most"))
         .where((F.col("most") == 0) & F.col("eff_gas_day").isNotNull())
     )
     by_day = Window.partitionBy(*LOCATION).orderBy("eff_gas_day")
     streaks = (
-        zero_days.withColumn("run", F.date_sub("eff_gas_day", F.row_number().over(by_day)))
+        all_zero.withColumn("run", F.date_sub("eff_gas_day", F.row_number().over(by_day)))
         .groupBy(*LOCATION, "run")
         .agg(
             F.min("eff_gas_day").alias("streak_start"),
@@ -131,12 +155,8 @@ def zero_quantity_streaks(df: DataFrame, min_days: int = ZERO_STREAK_DAYS) -> Da
         .where(F.col("streak_days") >= min_days)
         .drop("run")
     )
-    return _only_active(streaks, df)
-
-
-def _only_active(flagged: DataFrame, df: DataFrame) -> DataFrame:
     active = active_locations(df).toDF("__pipeline", "__loc")
-    return flagged.join(
+    return streaks.join(
         active,
         F.col("pipeline_name").eqNullSafe(F.col("__pipeline"))
         & F.col("loc_name").eqNullSafe(F.col("__loc")),
@@ -177,11 +197,8 @@ def schema_mismatch(df: DataFrame) -> DataFrame:
     columns = ["connecting_pipeline", "category_short"]
     if not has_columns(df, *columns):
         return _no_rows(df, columns)
-    wrong = F.col("connecting_pipeline").isNotNull() & (
-        F.lower("category_short") != "interconnect"
-    )
     extra = keep_present(df, ["pipeline_name", "loc_name", "eff_gas_day"])
-    return df.where(wrong).select(*columns, *extra)
+    return df.where(_category_is_wrong()).select(*columns, *extra)
 
 
 def gas_day_gaps(df: DataFrame, min_days: int = MIN_COVERED_DAYS) -> DataFrame:
@@ -225,15 +242,42 @@ RULES: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 
 def violation_counts(df: DataFrame, pipeline: str | None = None, since: Any = None) -> DataFrame:
-    """(rule_id, violations) of all six rules on the scoped rows."""
+    """(rule_id, violations) of all six rules on the scoped rows.
+
+    Rules that read the same rows in the same grouping share one scan: the two row rules,
+    and the two location rules.
+    """
     scoped = scope(df, pipeline, since)
-    counts = [
-        rule(scoped)
-        .agg(F.count(F.lit(1)).alias("violations"))
-        .select(F.lit(rule_id).alias("rule_id"), "violations")
-        for rule_id, rule in RULES.items()
+    nothing = F.lit(0).cast("bigint")
+    has_category = has_columns(scoped, "connecting_pipeline", "category_short")
+    parts = [
+        scoped.agg(
+            F.count_if(_geo_is_missing(scoped)).alias("R-001"),
+            (F.count_if(_category_is_wrong()) if has_category else nothing).alias("R-005"),
+        )
     ]
-    return reduce(DataFrame.unionByName, counts)
+    if has_columns(scoped, *LOCATION, "scheduled_quantity", "eff_gas_day"):
+        locations = scoped.groupBy(*LOCATION).agg(
+            *[c.alias(name) for name, c in _zero_day_columns().items()],
+            F.count("eff_gas_day").alias("rows"),
+            F.sum("scheduled_quantity").alias("quantity"),
+        )
+        parts.append(
+            locations.agg(
+                F.count_if(F.col("active") & (F.col("zero_days") >= ZERO_STREAK_DAYS)).alias(
+                    "R-003"
+                ),
+                F.count_if((F.col("quantity") > 0) & (F.col("rows") < MIN_COVERED_DAYS)).alias(
+                    "R-006"
+                ),
+            )
+        )
+    else:
+        parts.append(scoped.agg(nothing.alias("R-003"), nothing.alias("R-006")))
+    for rule_id in ("R-002", "R-004"):
+        parts.append(RULES[rule_id](scoped).agg(F.count(F.lit(1)).alias(rule_id)))
+    long = [part.unpivot([], part.columns, "rule_id", "violations") for part in parts]
+    return reduce(DataFrame.unionByName, long)
 
 
 def run_rules(
