@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from checks.common import DAY, LOCATION, QUANTITY, SIGN, Check, flow_check, p_nearest, r6, table_check
 from weir.functions.columns import distinct_with_null
+from weir.functions.order import bucket_quantiles
 from weir.operators import aggregate as agg
 from weir.operators.resample import monthly_trend, resample, resample_grouped
 
@@ -141,6 +142,15 @@ CHECKS: dict[str, Check] = {
         f"""SELECT l_returnflag, {r6(p_nearest("l_extendedprice", 0.95))} AS p95_l_extendedprice
         FROM lineitem GROUP BY ALL""",
     ),
+    "aggregate_p95_by_buckets": table_check(
+        "AGG-7",
+        "lineitem",
+        lambda df: bucket_quantiles(
+            df, ["l_returnflag"], "l_extendedprice", {"p95": 0.95, "p50": "median"}, None, 500
+        ),
+        f"""SELECT l_returnflag, {r6(p_nearest("l_extendedprice", 0.95))} AS p95,
+        {r6("median(l_extendedprice)")} AS p50 FROM lineitem GROUP BY ALL""",
+    ),
     "aggregate_median": table_check(
         "AGG-8",
         "customer",

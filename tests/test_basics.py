@@ -8,7 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import day, flows, one, rows_of
-from weir.functions.order import group_quantiles, order_bucket, with_row_position
+from weir.functions.order import (
+    bucket_quantiles,
+    group_quantiles,
+    order_bucket,
+    with_row_position,
+)
 from weir.functions.predicates import check_filter, date_window, predicate
 from weir.operators.aggregate import aggregate, correlation_pairs, most_common
 from weir.operators.ranking import (
@@ -118,10 +123,18 @@ def test_aggregate_of_nothing(spark):
     assert b["std_v"] is None and b["p95_v"] == 2.0
 
 
-def test_null_group_keeps_its_quantile(spark):
+@pytest.mark.parametrize("rows_per_task", [1, 10**6])
+def test_null_group_keeps_its_quantile(spark, rows_per_task):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("b", 2.0)], "g string, v double")
-    found = {r["g"]: r["p50_v"] for r in rows_of(aggregate(df, ["g"], [{"col": "v", "fn": "p50"}]))}
-    assert found == {None: 2.0, "b": 2.0}
+    middle = aggregate(df, ["g"], [{"col": "v", "fn": "p50"}], rows_per_task=rows_per_task)
+    assert {r["g"]: r["p50_v"] for r in rows_of(middle)} == {None: 2.0, "b": 2.0}
+
+
+def test_dates_may_be_given_as_text(spark):
+    df = flows(spark, *[{"eff_gas_day": day(i)} for i in range(4)])
+    assert df.where(predicate("eff_gas_day", "in", ["2022-01-01", "2022-01-03"])).count() == 2
+    assert df.where(predicate("eff_gas_day", "=", "2022-01-02")).count() == 1
+    assert df.where(predicate("eff_gas_day", ">", "2022-01-02")).count() == 2
 
 
 def test_unknown_function_raises(spark):
@@ -130,8 +143,9 @@ def test_unknown_function_raises(spark):
         aggregate(df, [], [{"col": "id", "fn": "mode"}])
 
 
+@pytest.mark.parametrize("rows_per_task", [1, 10**6])
 @pytest.mark.parametrize("partitions", ["1", "7"])
-def test_quantiles_agree_with_sorting_whatever_the_partitioning(spark, partitions):
+def test_quantiles_agree_with_sorting_whatever_the_partitioning(spark, partitions, rows_per_task):
     import numpy as np
 
     rng = np.random.default_rng(3)
@@ -143,7 +157,7 @@ def test_quantiles_agree_with_sorting_whatever_the_partitioning(spark, partition
     try:
         wanted = {"q10": 0.1, "q95": 0.95, "mid": "median"}
         found = group_quantiles(
-            spark.createDataFrame(rows, "g string, v double"), ["g"], "v", wanted
+            spark.createDataFrame(rows, "g string, v double"), ["g"], "v", wanted, rows_per_task
         )
         for row in rows_of(found, "g"):
             own = sorted(v for g, v in rows if g == row["g"])
@@ -157,7 +171,7 @@ def test_quantiles_agree_with_sorting_whatever_the_partitioning(spark, partition
 
 def test_weighted_quantiles_count_repeats(spark):
     df = spark.createDataFrame([(1.0, 5), (2.0, 1), (9.0, 0), (3.0, 4)], "v double, w int")
-    row = one(group_quantiles(df, [], "v", {"mid": "median", "top": 1.0}, weight="w"))
+    row = one(bucket_quantiles(df, [], "v", {"mid": "median", "top": 1.0}, weight="w"))
     assert row == {"mid": 1.5, "top": 3.0}
 
 
@@ -313,7 +327,8 @@ def test_quantiles_split_and_shuffle_joined(spark):
     df = spark.createDataFrame(rows, "g int, v double")
     wanted = {"mid": "median", "q": 0.7}
     usual = rows_of(group_quantiles(df, ["g"], "v", wanted), "g")
-    tight = group_quantiles(df, ["g"], "v", wanted, rows_per_task=1, broadcast_rows=0)
+    assert rows_of(bucket_quantiles(df, ["g"], "v", wanted), "g") == usual
+    tight = bucket_quantiles(df, ["g"], "v", wanted, rows_per_task=1, broadcast_rows=0)
     assert rows_of(tight, "g") == usual
     for row in usual:
         own = sorted(v for g, v in rows if g == row["g"])

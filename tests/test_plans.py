@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import day, flows
-from weir.functions.order import group_quantiles
+from weir.functions.order import bucket_quantiles
 from weir.operators import changepoint, cluster, decompose, metrics, rules
-from weir.operators.aggregate import most_common
+from weir.operators.aggregate import aggregate, most_common
 from weir.plans import named
 from weir.sources.flows import read_flows
 
@@ -44,12 +44,14 @@ def test_one_shuffle_for_plain_metrics(table):
     assert shuffles(metrics.daily_rollup(table)) == 1
     assert shuffles(metrics.ramp_risk_plain(table)) == 1
     assert shuffles(metrics.pipeline_summary(table)) == 1
+    p95 = [{"col": "scheduled_quantity", "fn": "p95"}, {"col": "scheduled_quantity", "fn": "sum"}]
+    assert shuffles(aggregate(table, ["loc_name"], p95)) == 1
     assert shuffles(rules.zero_quantity_days(table)) == 1
     assert shuffles(rules.missing_geo(table)) == 0
 
 
 def test_quantiles_do_not_shuffle_the_table(table):
-    plan = plan_of(group_quantiles(table, ["loc_name"], "scheduled_quantity", {"q": 0.95}))
+    plan = plan_of(bucket_quantiles(table, ["loc_name"], "scheduled_quantity", {"q": 0.95}))
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     # The table side of the join reads only what it needs.
     assert "ReadSchema: struct<loc_name:string,scheduled_quantity:double>" in plan

@@ -104,7 +104,33 @@ def left_join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) ->
     return left.join(renamed, on, "left").drop(*[f"__r_{k}" for k in keys])
 
 
+def quantile_of_list(c: Column, q: float | str) -> Column:
+    """Quantile as a plain aggregate, for groups counted or known to be small."""
+    return median_of_list(c) if q == "median" else nearest_of_list(c, q)
+
+
 def group_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    wanted: Mapping[str, float | str],
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """Exact quantiles of ``value`` per group, one row per group with a non-null value.
+
+    ``wanted`` maps an output name to a fraction (nearest rank) or to ``"median"`` (mean of
+    the two middle values). A counting job over the key columns finds the largest group:
+    when a task can hold it, each group is sorted in one task (one shuffle), otherwise all
+    groups go through :func:`bucket_quantiles`.
+    """
+    rows = read_twice(df.where(F.col(value).isNotNull()).select(*keys, value))
+    if largest_group(rows, keys) > rows_per_task:
+        return bucket_quantiles(rows, keys, value, wanted)
+    exprs = [quantile_of_list(F.col(value), q).alias(name) for name, q in wanted.items()]
+    return rows.groupBy(*keys).agg(*exprs)
+
+
+def bucket_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
@@ -113,10 +139,9 @@ def group_quantiles(
     rows_per_task: int = ROWS_PER_TASK,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Exact quantiles of ``value`` per group, one row per group with a non-null value.
+    """As :func:`group_quantiles`, for groups of any size.
 
-    ``wanted`` maps an output name to a fraction (nearest rank) or to ``"median"``
-    (mean of the two middle values). ``weight`` names a column of repeat counts.
+    ``weight`` names a column of repeat counts.
 
     The first pass runs at once. It shuffles bucket counts only and leaves at most two
     buckets per group and quantile. Buckets that still hold too many different values are

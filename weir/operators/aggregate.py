@@ -8,7 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weir.functions.columns import total
-from weir.functions.order import group_quantiles, left_join_on_keys
+from weir.functions.order import (
+    ROWS_PER_TASK,
+    bucket_quantiles,
+    largest_group,
+    left_join_on_keys,
+    quantile_of_list,
+)
+from weir.session import read_twice
 
 # Other names for the same function.
 ALIASES = {"mean": "avg", "median": "p50"}
@@ -42,17 +49,24 @@ def aggregate(
     groupby: Sequence[str],
     metrics: Sequence[Mapping[str, str]],
     approximate: bool = False,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """``groupBy(groupby).agg(metrics)``; an empty ``groupby`` gives one row.
 
-    p95 is the nearest-rank value and p50 the interpolated median, both exact and
-    computed by bucket counts, so no group has to fit in one task.
-    ``approximate=True`` folds both into the same single aggregation as a sketch.
+    p95 is the nearest-rank value and p50 the interpolated median, both exact. They join
+    the same single aggregation when a task can hold the largest group (a counting job
+    tells); otherwise they come from bucket counts, for which no group has to fit anywhere.
+    ``approximate=True`` uses a sketch instead.
     """
     if not metrics:
         raise ValueError("aggregate needs at least one metric")
+    groupby = list(groupby)
     names = [metric_name(m["col"], m["fn"]) for m in metrics]
     fns = [ALIASES.get(m["fn"].lower(), m["fn"].lower()) for m in metrics]
+    exact = not approximate and any(fn in QUANTILES for fn in fns)
+    if exact:
+        df = read_twice(df)
+    in_one_task = exact and largest_group(df, groupby) <= rows_per_task
     exprs, wanted = [], {}
     for metric, name, fn in zip(metrics, names, fns):
         if fn not in QUANTILES:
@@ -60,15 +74,16 @@ def aggregate(
         elif approximate:
             q = 0.5 if fn == "p50" else QUANTILES[fn]
             exprs.append(F.percentile_approx(metric["col"], q, 10000).alias(name))
+        elif in_one_task:
+            exprs.append(quantile_of_list(F.col(metric["col"]), QUANTILES[fn]).alias(name))
         else:
             wanted.setdefault(metric["col"], {})[name] = QUANTILES[fn]
 
-    groupby = list(groupby)
     if wanted and not exprs:
         exprs.append(F.count(F.lit(1)).alias("__rows"))
     result = df.groupBy(*groupby).agg(*exprs)
     for col, quantiles in wanted.items():
-        result = left_join_on_keys(result, group_quantiles(df, groupby, col, quantiles), groupby)
+        result = left_join_on_keys(result, bucket_quantiles(df, groupby, col, quantiles), groupby)
     return result.select(*groupby, *dict.fromkeys(names))
 
 

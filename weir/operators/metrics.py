@@ -18,7 +18,7 @@ from weir.functions.columns import (
 )
 from weir.functions.order import (
     ROWS_PER_TASK,
-    group_quantiles,
+    bucket_quantiles,
     largest_group,
     left_join_on_keys,
     median_of_list,
@@ -98,10 +98,10 @@ def ramp_risk_plain(df: DataFrame) -> DataFrame:
 def ramp_risk_split(df: DataFrame) -> DataFrame:
     """Ramp risk for locations of any size: no task holds a whole location."""
     n_days = df.groupBy(*LOCATION).agg(F.count(F.lit(1)).alias("n_days"))
-    deltas = group_quantiles(
+    deltas = bucket_quantiles(
         row_changes(df), LOCATION, "abs_delta", {"p95_abs_delta": 0.95}, weight="times"
     )
-    flows = group_quantiles(df, LOCATION, "scheduled_quantity", {"median_flow": "median"})
+    flows = bucket_quantiles(df, LOCATION, "scheduled_quantity", {"median_flow": "median"})
     return _ramp_ratio(
         left_join_on_keys(left_join_on_keys(n_days, deltas, LOCATION), flows, LOCATION)
     )
