@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+PRUNE_EVERY = 8
+
 
 def best_breaks(
     values: np.ndarray, min_size: int, penalty: float | str, jump: int = 5
@@ -23,28 +25,36 @@ def best_breaks(
     s1 = np.concatenate(([0.0], np.cumsum(y)))
     s2 = np.concatenate(([0.0], np.cumsum(y * y)))
     grid = [e for e in range(jump, n, jump) if e >= min_size]
+    # Columns of the open starts: position, least cost up to it, prefix sums at it, and the
+    # first end point at which it was beaten.
+    room = len(grid) + 1
+    at, cost, c1, c2 = np.zeros(room), np.zeros(room), np.zeros(room), np.zeros(room)
+    beaten = np.full(room, n + 1)
     best = np.zeros(n + 1)
     came_from = np.zeros(n + 1, dtype=int)
-    starts = np.array([0])
-    usable_from = 0
-    hopeless_at: list[tuple[int, np.ndarray]] = []
-    for end in [*grid, n]:
+    used, opened = 1, 0
+    for step, end in enumerate([*grid, n]):
         # A grid point can start a segment once that segment would be long enough.
-        while usable_from < len(grid) and grid[usable_from] <= end - min_size:
-            starts = np.append(starts, grid[usable_from])
-            usable_from += 1
+        while opened < len(grid) and grid[opened] <= end - min_size:
+            start = grid[opened]
+            at[used], cost[used], c1[used], c2[used] = start, best[start], s1[start], s2[start]
+            beaten[used] = n + 1
+            used, opened = used + 1, opened + 1
         # A start beaten at a point can go once segments may begin at that point.
-        while hopeless_at and hopeless_at[0][0] <= end - min_size:
-            starts = np.setdiff1d(starts, hopeless_at.pop(0)[1], assume_unique=True)
-        gap = s1[end] - s1[starts]
-        error = np.maximum(s2[end] - s2[starts] - gap * gap / (end - starts), 0.0)
-        reached = best[starts] + error
-        pick = int(np.argmin(reached))
+        if step % PRUNE_EVERY == 0:
+            keep = np.flatnonzero(beaten[:used] > end - min_size)
+            if len(keep) < used:
+                for column in (at, cost, c1, c2, beaten):
+                    column[: len(keep)] = column[keep]
+                used = len(keep)
+        gap = s1[end] - c1[:used]
+        error = s2[end] - c2[:used] - gap * gap / (end - at[:used])
+        reached = cost[:used] + np.maximum(error, 0.0)
+        pick = int(reached.argmin())
         best[end] = reached[pick] + per_break
-        came_from[end] = starts[pick]
-        beaten = starts[reached > best[end]]
-        if len(beaten):
-            hopeless_at.append((end, beaten))
+        came_from[end] = at[pick]
+        lost = reached > best[end]
+        beaten[:used][lost & (beaten[:used] > end)] = end
     breaks = []
     at = int(came_from[n])
     while at > 0:
