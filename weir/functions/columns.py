@@ -31,7 +31,8 @@ def is_weekend(day: str | Column) -> Column:
 
 
 def month_label(month: str | Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, MONTH_NAMES)), F.col(month) if isinstance(month, str) else month)
+    month = F.col(month) if isinstance(month, str) else month
+    return F.element_at(F.array(*map(F.lit, MONTH_NAMES)), month)
 
 
 def weekday_label(iso_day: str | Column) -> Column:

@@ -61,9 +61,10 @@ def table_shape(df: DataFrame) -> DataFrame:
 def step_stats(df: DataFrame) -> DataFrame:
     """Row count, column count and the null count of every column as one map."""
     nulls = F.create_map(*[x for c in df.columns for x in (F.lit(c), F.col(f"__null_{c}"))])
+    width = F.lit(len(df.columns)).cast("bigint")
     return df.agg(
         F.count(F.lit(1)).alias("row_count"), *[_null_total(c) for c in df.columns]
-    ).select("row_count", F.lit(len(df.columns)).cast("bigint").alias("column_count"), nulls.alias("null_counts"))
+    ).select("row_count", width.alias("column_count"), nulls.alias("null_counts"))
 
 
 def _moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -61,7 +61,8 @@ def work_path(spark: SparkSession, name: str) -> str:
 # Plan nodes and calls whose second run may differ from the first, if only in the last
 # digit of a sum whose parts arrived in another order.
 _UNSTEADY = re.compile(
-    r"^[\s:+\-!']*(Aggregate|Window|Deduplicate|Sample|GlobalLimit|LocalLimit|\w+InPandas|\w+InArrow)\b"
+    r"^[\s:+\-!']*(Aggregate|Window|Deduplicate|Sample|GlobalLimit|LocalLimit"
+    r"|\w+InPandas|\w+InArrow)\b"
     r"|\b(rand|randn|uuid|monotonically_increasing_id)\(",
     re.MULTILINE,
 )

@@ -112,7 +112,9 @@ def flows_from_star(
         "loc_name": F.col("s_name"),
         "state_abb": F.col("n_name"),
         "connecting_entity": F.col("cn_name"),
-        "connecting_pipeline": F.when(F.col("l_returnflag") == "N", None).otherwise(F.col("p_brand")),
+        "connecting_pipeline": F.when(F.col("l_returnflag") == "N", None).otherwise(
+            F.col("p_brand")
+        ),
         "category_short": F.when(urgent, "Interconnect")
         .when(medium, "LDC")
         .otherwise("Industrial"),
