@@ -31,7 +31,10 @@ def in_fold(row_id: Column, folds: int, k: int) -> Column:
 
 
 def map_rows(
-    df: DataFrame, schema: str | StructType, start: Callable[[], Callable[[list[tuple]], list[tuple]]]
+    df: DataFrame,
+    schema: str | StructType,
+    start: Callable[[], Callable[[list[tuple]], list[tuple]]],
+    at_once: int = ROWS_AT_ONCE,
 ) -> DataFrame:
     """Pass the rows through Python, some hundred at a time, in the partitions they are in.
 
@@ -44,8 +47,8 @@ def map_rows(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows_of = start()
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once)
                 found = rows_of(list(zip(*[c.to_pylist() for c in part.columns])))
                 if found:
                     columns = [pa.array(c, f.type) for c, f in zip(zip(*found), out)]

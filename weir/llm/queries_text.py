@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weir.llm import byte_bpe
-from weir.llm.common import table
+from weir.llm import byte_bpe, language
+from weir.llm.common import in_fold, table
 
 
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -13,5 +14,14 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, folder, "documents"))
 
 
-QUERIES = {"op9_byte_bpe": op9_byte_bpe}
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every text, learned from the rows outside the held-out fold."""
+    docs = table(spark, folder, "documents")
+    held_out = in_fold(F.col("doc_id"), 3, 1)
+    model = language.fit(docs, allowed=F.col("doc_id").isNotNull() & ~held_out)
+    found = language.predict(docs, model, with_spans=False)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_spans")
+
+
+QUERIES = {"op5_language_id": op5_language_id, "op9_byte_bpe": op9_byte_bpe}
 ORACLE_SQL: dict[str, str] = {}
