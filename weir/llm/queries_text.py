@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm import byte_bpe, language
+from weir.llm import byte_bpe, language, toxicity
 from weir.llm.common import in_fold, table
 
 
@@ -14,6 +14,15 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, folder, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every text, learned from the labels outside the held-out fold."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = in_fold(F.col("doc_id"), 5, 0)
+    model = toxicity.fit(docs, labels, allowed=F.col("doc_id").isNotNull() & ~held_out)
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every text, learned from the rows outside the held-out fold."""
     docs = table(spark, folder, "documents")
@@ -23,5 +32,9 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_spans")
 
 
-QUERIES = {"op5_language_id": op5_language_id, "op9_byte_bpe": op9_byte_bpe}
+QUERIES = {
+    "op3_toxicity": op3_toxicity,
+    "op5_language_id": op5_language_id,
+    "op9_byte_bpe": op9_byte_bpe,
+}
 ORACLE_SQL: dict[str, str] = {}
