@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import queries_text
+from weir.llm import queries_tables, queries_text
 
-MODULES = (queries_text,)
+MODULES = (queries_text, queries_tables)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in MODULES:
