@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm import vector_search
+from weir.llm import html_text, vector_search
 from weir.llm.common import table
 
 
@@ -32,5 +32,10 @@ WITH v AS (
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM o WHERE n <= 20
 """
 
-QUERIES = {"op7_exact_topk": op7_exact_topk}
+def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, folder, "pages"))
+
+
+QUERIES = {"op7_exact_topk": op7_exact_topk, "op10_html_text": op10_html_text}
 ORACLE_SQL = {"op7_exact_topk": OP7_SQL}
