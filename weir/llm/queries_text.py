@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm import byte_bpe, language, toxicity
+from weir.llm import byte_bpe, language, packing, toxicity
 from weir.llm.common import in_fold, table
 
 
@@ -23,6 +23,11 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens, in the order of a Hilbert curve."""
+    return packing.pack(table(spark, folder, "documents"), with_ids=False)
+
+
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every text, learned from the rows outside the held-out fold."""
     docs = table(spark, folder, "documents")
@@ -34,6 +39,7 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op3_toxicity": op3_toxicity,
+    "op4_packing": op4_packing,
     "op5_language_id": op5_language_id,
     "op9_byte_bpe": op9_byte_bpe,
 }
