@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,31 @@ def map_rows(
     return df.mapInArrow(work, kind)
 
 
+def text_function(
+    schema: str,
+    start: Callable[[], Callable[[list], list[tuple]]],
+    at_once: int = ROWS_AT_ONCE,
+):
+    """A column function of texts whose values are structs of ``schema``.
+
+    ``start`` is called once per task and returns a function from a list of texts (or nulls)
+    to a list of tuples.
+    """
+    kind = _parse_datatype_string(schema)
+    names = kind.fieldNames()
+
+    def work(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        rows_of = start()
+        for texts in batches:
+            found = []
+            for at in range(0, len(texts), at_once):
+                part = texts.iloc[at : at + at_once]
+                found += rows_of([x if isinstance(x, str) else None for x in part])
+            yield pd.DataFrame(found, columns=names)
+
+    return F.pandas_udf(work, kind, F.PandasUDFType.SCALAR_ITER)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write a frame below the shared work folder and read it back.
 

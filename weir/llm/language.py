@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.common import map_rows, saved
+from weir.llm.common import map_rows, saved, text_function
 
 UNKNOWN = "und"
 SWITCH = 9.0
@@ -238,57 +238,69 @@ def model_of(counts: dict[str, Counter]) -> Model | None:
     return Model(languages, rows, logs.astype(np.float32), scripts)
 
 
-def predict(
-    df: DataFrame,
-    model: Model | None,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    with_spans: bool = True,
-) -> DataFrame:
-    """(id, lang_pred, score, n_spans[, spans]) per row.
+def labeller(df: DataFrame, model: Model | None, with_spans: bool = False):
+    """A column function of texts: struct (lang_pred, score, n_spans[, spans]).
 
     ``score`` is the share of letters that Viterbi labels with the predicted language.
     ``spans`` lists (start, end, lang) in code points of the text, one per run of words with
     the same label.
     """
-    kind = df.select(id_col).dtypes[0][1]
     spans = ", spans array<struct<start: int, end: int, lang: string>>" if with_spans else ""
-    schema = f"{id_col} {kind}, lang_pred string, score double, n_spans int{spans}"
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def start():
         scorer = Scorer(shared.value) if shared.value else None
 
         def label(batch):
-            texts = [lowered(text or "") if scorer else "" for _, text in batch]
+            texts = [lowered(text or "") if scorer else "" for text in batch]
             words = [WORD.findall(text) for text in texts]
-            scores = []
-            for found in words:
-                numbers = scorer.numbers(found) if found else None
-                scores.append(scorer.all[numbers] if found else np.zeros((0, 1), np.float32))
             some = [i for i, found in enumerate(words) if found]
-            labels = dict(zip(some, viterbi([scores[i] for i in some])))
+            # Rows of the score table are taken at once: it may start anew with the next text.
+            scores = [scorer.all[scorer.numbers(words[i])] for i in some]
+            labels = dict(zip(some, viterbi(scores)))
             out = []
-            for i, (row_id, _) in enumerate(batch):
+            for i, text in enumerate(texts):
                 if not words[i]:
-                    out.append((row_id, UNKNOWN, 0.0, 0, *([[]] if with_spans else [])))
+                    out.append((UNKNOWN, 0.0, 0, *([[]] if with_spans else [])))
                     continue
                 got = labels[i]
                 letters = np.fromiter(map(len, words[i]), np.int64, len(got))
                 held = np.bincount(got, letters, len(scorer.model.languages))
                 first = np.flatnonzero(np.diff(got.astype(np.int16), prepend=-1))
                 winner = int(held.argmax())
-                row = [row_id, scorer.model.languages[winner], held[winner] / held.sum(), len(first)]
+                row = [scorer.model.languages[winner], float(held[winner] / held.sum()), len(first)]
                 if with_spans:
-                    places = [m.span() for m in WORD.finditer(texts[i])]
-                    ends = [*first[1:], len(got)]
+                    places = [m.span() for m in WORD.finditer(text)]
+                    names = scorer.model.languages
                     row.append([
-                        (places[a][0], places[b - 1][1], scorer.model.languages[got[a]])
-                        for a, b in zip(first, ends)
+                        {"start": places[a][0], "end": places[b - 1][1], "lang": names[got[a]]}
+                        for a, b in zip(first, [*first[1:], len(got)])
                     ])
                 out.append(tuple(row))
             return out
 
         return label
 
-    return map_rows(df.select(id_col, text_col), schema, start, at_once=1024)
+    schema = f"lang_pred string, score double, n_spans int{spans}"
+    return text_function(schema, start, at_once=1024)
+
+
+def predict(
+    df: DataFrame,
+    model: Model | None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    with_spans: bool = True,
+) -> DataFrame:
+    """(id, lang_pred, score, n_spans[, spans]) per row, see :func:`labeller`."""
+    label = labeller(df, model, with_spans)
+    return df.select(id_col, label(F.col(text_col)).alias("__found")).select(id_col, "__found.*")
+
+
+def keep_known(
+    df: DataFrame, model: Model | None, text_col: str = "text", least_score: float = 0.5
+) -> DataFrame:
+    """The rows whose text has a language that labels at least this share of its letters."""
+    found = labeller(df, model)(F.col(text_col))
+    # Null texts are und, so nothing is null here.
+    return df.where((found["lang_pred"] != UNKNOWN) & (found["score"] >= least_score))

@@ -265,7 +265,7 @@ def pack(
 
     schema = (
         f"{id_col} {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint,"
-        " sequence_id bigint, offset bigint" + (", ids array<bigint>" if with_ids else "")
+        " sequence_id bigint, offset bigint" + (", ids array<int>" if with_ids else "")
     )
     joined = docs.select("__row", id_col, "__n", "__ids").join(starts, "__row")
     return map_rows(joined.select(id_col, "__n", "__ids", "__start"), schema, start, at_once=64)

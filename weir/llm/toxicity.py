@@ -28,7 +28,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.common import map_rows, saved
+from weir.llm.common import map_rows, saved, text_function
 
 # About so many labelled rows of each class are used, chosen by a hash of the id.
 TOXIC_ROWS, OTHER_ROWS = 6_000, 12_000
@@ -137,17 +137,16 @@ class Model:
     share: float
 
 
-def features(df: DataFrame, lexicon: dict[str, float], keep: list[str], text_col: str) -> DataFrame:
-    """The columns to keep and the feature row of every text."""
+def featured(df: DataFrame, lexicon: dict[str, float], text_col: str) -> DataFrame:
+    """The frame with a vector ``__features`` of every text."""
     shared = df.sparkSession.sparkContext.broadcast(lexicon)
-    kinds = dict(df.dtypes)
 
     def start():
         reader = Reader(shared.value)
-        return lambda rows: [(*r[:-1], reader.features(r[-1])) for r in rows]
+        return lambda texts: [(reader.features(text),) for text in texts]
 
-    schema = "".join(f"{c} {kinds[c]}, " for c in keep) + "features array<double>"
-    return map_rows(df.select(*keep, text_col), schema, start)
+    row = text_function("row array<double>", start)(F.col(text_col))
+    return df.withColumn("__row", row).withColumn("__features", array_to_vector("__row.row")).drop("__row")
 
 
 def labelled_sample(
@@ -224,45 +223,57 @@ def fit(
     share = seen.get(1, 0) / max(sum(seen.values()), 1)
     lexicon = learn_lexicon(sample.where(F.col("part") < LEXICON_TENTHS))
     rest = saved(
-        features(
-            sample.where(F.col("part") >= LEXICON_TENTHS), lexicon, ["label", "part"], "text"
-        ).select(
-            F.col("label").cast("double").alias("label"), "part",
-            array_to_vector("features").alias("features"),
+        featured(sample.where(F.col("part") >= LEXICON_TENTHS), lexicon, "text").select(
+            F.col("label").cast("double").alias("label"), "part", "__features"
         ),
         "toxicity-features",
-    ).coalesce(4)
+    ).coalesce(4)
     for_trees = rest.where(F.col("part") < LEXICON_TENTHS + TREE_TENTHS)
     if for_trees.select("label").distinct().count() < 2:
         return Model(lexicon, None, None, share)
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7).fit(for_trees)
+    learner = GBTClassifier(
+        featuresCol="__features", predictionCol="__class", seed=7,
+        maxIter=TREES, maxDepth=DEPTH, stepSize=STEP,
+    )
+    learner.setRawPredictionCol("__margin").setProbabilityCol("__odds")
+    trees = learner.fit(for_trees)
     held = rest.where(F.col("part") >= LEXICON_TENTHS + TREE_TENTHS)
-    held = held.select("label", "features")
+    held = held.select("label", "__features")
     if held.select("label").distinct().count() < 2:
         return Model(lexicon, trees, None, share)
-    raw = trees.transform(held).select("label", vector_to_array("probability")[1].alias("raw"))
-    curve = IsotonicRegression(featuresCol="raw", predictionCol="score").fit(raw)
+    raw = trees.transform(held).select("label", vector_to_array("__odds")[1].alias("__raw"))
+    curve = IsotonicRegression(featuresCol="__raw", predictionCol="__step").fit(raw)
     return Model(lexicon, trees, curve, share)
 
 
-def score(
-    df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(id, score, predicted) for every row; predicted is 1 from a score of 0.5 on.
+def with_score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The frame with a column ``__score`` of every text.
 
     The calibrated value is a step curve; a hundredth of the trees' own probability is mixed
     in, so that texts on one step keep their order.
     """
     if model.trees is None:
-        found = df.select(id_col, F.lit(model.share).alias("score"))
-    else:
-        rows = features(df, model.lexicon, [id_col], text_col)
-        found = model.trees.transform(rows.withColumn("features", array_to_vector("features")))
-        found = found.select(id_col, vector_to_array("probability")[1].alias("raw"))
-        if model.curve is None:
-            found = found.withColumnRenamed("raw", "score")
-        else:
-            mixed = 0.99 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
-            found = model.curve.transform(found)
-            found = found.select(id_col, (mixed + 0.01 * F.col("raw")).alias("score"))
-    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        return df.withColumn("__score", F.lit(model.share))
+    found = model.trees.transform(featured(df, model.lexicon, text_col))
+    raw = vector_to_array("__odds")[1]
+    if model.curve is None:
+        return found.select(*[f"`{c}`" for c in df.columns], raw.alias("__score"))
+    found = model.curve.transform(found.withColumn("__raw", raw))
+    step = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("__step")))
+    score = 0.99 * step + 0.01 * F.col("__raw")
+    return found.select(*[f"`{c}`" for c in df.columns], score.alias("__score"))
+
+
+def score(
+    df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(id, score, predicted) for every row; predicted is 1 from a score of 0.5 on."""
+    found = with_score(df.select(id_col, text_col), model, text_col)
+    return found.select(
+        id_col, F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def drop_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows that score under 0.5."""
+    return with_score(df, model, text_col).where(F.col("__score") < 0.5).drop("__score")
