@@ -6,14 +6,13 @@ path and splits its documents by their values, and so on. Documents as similar a
 stay together along some path with good odds, others part soon. ``TREES`` independent trees
 lift the recall of what one tree may miss. Small nodes are compared exhaustively.
 
-A node whose documents are all clearly alike one of them (its pivot, by tokens) is one group
-and need not be split; so large groups of near copies end early. Candidate pairs are those
-whose tokens agree often enough, 4.5 standard errors below the threshold, and each is
-confirmed on the full sets:
-
-1. each document is confirmed against the most similar pivot that it met;
-2. what this links is one component; the other candidates, in small nodes and against pivots,
-   are compared only across components, and confirmed;
+Candidate pairs are those whose tokens agree often enough, 4.5 standard errors below the
+threshold, and each is confirmed on the full sets:
+
+1. each document is confirmed against the most similar pivot (smallest document of a root
+   node) that it met; this links large groups of near copies to one another;
+2. nodes whose documents are in one component are done, the others are split until they are
+   small, and compared across components only;
 3. the components of all links are the result.
 
 Equal sets are one document from the start, so copies cost nothing. Nothing is capped: a node
@@ -40,8 +39,8 @@ from weir.llm.components import components
 SHINGLE = 5
 PERCENT = 75
 TREES, TOKENS = 16, 128
-SMALL_NODE = 64
-LEVELS = 24
+SMALL_NODE = 512
+LEVELS = 16
 # Members that are sent to one copy of a document to be compared with it.
 MEMBERS = 64
 ERRORS = 4.5
@@ -134,60 +133,33 @@ def least_agreement(percent: int, errors: float) -> float:
     return p + errors * float(np.sqrt(p * (1 - p) / TOKENS))
 
 
-def split(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes of one level: (met pivots, rows of small nodes, rows of nodes to be split).
-
-    ``rows`` is (node, rep, label, sketch). A node of one document, or whose documents have one
-    label, is done. The others get their smallest document as pivot, and the documents that
-    are clearly like it take its label.
-    """
-    measure = F.pandas_udf(agreement, "double")
-    sizes = saved(
+def mixed_nodes(rows: DataFrame, level: int) -> DataFrame:
+    """Size of every node whose documents are in several components (node, rep, root, ...)."""
+    return saved(
         rows.groupBy("node")
         .agg(
-            F.count(F.lit(1)).alias("size"), F.min("rep").alias("pivot"),
-            F.min("label").alias("low"), F.max("label").alias("high"),
+            F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")
         )
-        .where("low < high"),
+        .where("low < high")
+        .select("node", "size"),
         f"nodes-{level}",
     )
-    live = saved(rows.join(sizes.select("node", "size", "pivot"), "node"), f"rows-{level}")
-    pivots = saved(
-        live.where("rep = pivot").select(
-            "node", F.col("sketch").alias("its"), F.col("label").alias("its_label")
-        ).dropDuplicates(["node"]),
-        f"pivots-{level}",
-    )
-    met = saved(
-        live.join(pivots, "node").withColumn("like", measure("sketch", "its")), f"met-{level}"
-    )
-    sure = F.col("like") >= least_agreement(PERCENT, 3.0)
-    met = met.withColumn("label", F.when(sure, F.col("its_label")).otherwise(F.col("label")))
-    near = met.where((F.col("rep") != F.col("pivot")) & (F.col("like") >= least_agreement(PERCENT, -ERRORS)))
-    large = met.where(F.col("size") > SMALL_NODE)
-    open_nodes = saved(
-        large.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        .where("low < high").select("node"),
-        f"open-{level}",
-    )
-    return (
-        near.select("rep", "pivot", "like"),
-        met.where(F.col("size") <= SMALL_NODE).select("node", "rep", "size"),
-        large.join(open_nodes, "node").select("node", "rep", "size", "label", "sketch"),
-    )
 
 
 def children(rows: DataFrame) -> DataFrame:
-    """Rows of the next level: each node chooses one or two tokens by a hash of its path."""
+    """Rows of the next level: each node chooses one or two tokens by a hash of its path.
+
+    Four tokens in three nodes: documents at the threshold share one child on average.
+    """
     node = F.col("node")
 
     def chosen(i: int) -> Column:
         place = F.pmod(F.xxhash64(node, F.lit(i)), F.lit(TOKENS)).cast("int")
         return F.xxhash64(node, place, F.substring("sketch", place + 1, F.lit(1)))
 
-    both = F.when(F.pmod(F.xxhash64(node, F.lit("two")), F.lit(2)) == 0, chosen(1))
+    second = F.when(F.pmod(F.xxhash64(node, F.lit("second")), F.lit(3)) == 0, chosen(1))
     return rows.select(
-        F.explode(F.array_compact(F.array(chosen(0), both))).alias("node"), "rep", "label", "sketch"
+        F.explode(F.array_compact(F.array(chosen(0), second))).alias("node"), "rep", "root", "sketch"
     )
 
 
@@ -314,49 +286,53 @@ def near_duplicates(
         "reps",
     )
 
-    roots = reps.select("rep", F.posexplode("first").alias("tree", "value")).select(
+    trees = reps.select("rep", F.posexplode("first").alias("tree", "value")).select(
         F.xxhash64("tree", "value").alias("node"), "rep"
     )
-    # Most nodes hold one document; they go before the sketches come along.
+    # Most nodes hold one document; they go first.
     shared = saved(
-        roots.groupBy("node").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
-        .where("low < high").select("node"),
+        trees.groupBy("node").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last"))
+        .where("pivot < last").select("node", "pivot"),
         "shared",
     )
-    level = roots.join(shared, "node").join(reps.select("rep", "sketch"), "rep")
-    level = level.select("node", "rep", F.col("rep").alias("label"), "sketch")
-    near, small = [], []
-    for depth in range(LEVELS):
-        met, leaves, rest = split(level, depth)
-        near.append(met)
-        small.append(leaves)
-        if rest.isEmpty():
-            break
-        level = children(rest)
-    else:
-        small.append(rest.select("node", "rep", "size"))
-
-    candidates = near[0]
-    for more in near[1:]:
-        candidates = candidates.unionByName(more)
-    candidates = saved(candidates.distinct(), "candidates")
+    level = saved(trees.join(shared, "node"), "roots-met")
+
+    sketches = reps.select("rep", "sketch").dropDuplicates(["rep"])
+    its = sketches.select(F.col("rep").alias("pivot"), F.col("sketch").alias("its"))
+    measure = F.pandas_udf(agreement, "double")
+    least = least_agreement(PERCENT, -ERRORS)
+    met = level.where("rep <> pivot").select("rep", "pivot").distinct()
+    met = met.join(sketches, "rep").join(its, "pivot").withColumn("like", measure("sketch", "its"))
+    candidates = saved(met.where(F.col("like") >= least).select("rep", "pivot", "like"), "candidates")
     best = candidates.groupBy("rep").agg(F.max_by("pivot", F.struct("like", -F.col("pivot"))).alias("pivot"))
     first = saved(
         confirm(best.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), df, id_col, text_col, size),
         "links-pivots",
     )
-    labels = components(first)
-    known = labels.select(F.col("x").alias("rep"), "root")
+    known = components(first).select(F.col("x").alias("rep"), "root")
 
     def rooted(frame: DataFrame, column: str, name: str) -> DataFrame:
         found = known.select(F.col("rep").alias(column), F.col("root").alias(name))
         return frame.join(found, column, "left").withColumn(name, F.coalesce(name, column))
 
+    level = saved(rooted(level.select("node", "rep"), "rep", "root"), "level-0")
+    small = []
+    for depth in range(LEVELS):
+        sizes = mixed_nodes(level, depth)
+        level = level.join(sizes, "node")
+        if depth == 0:
+            level = level.join(sketches, "rep")
+        level = saved(level.select("node", "rep", "size", "root", "sketch"), f"mixed-{depth}")
+        small.append(level.where(F.col("size") <= SMALL_NODE))
+        large = level.where(F.col("size") > SMALL_NODE)
+        if large.isEmpty():
+            break
+        level = children(large)
+        if depth == LEVELS - 1:
+            small.append(large)
     leaves = small[0]
     for more in small[1:]:
         leaves = leaves.unionByName(more)
-    leaves = rooted(leaves, "rep", "root").join(reps.select("rep", "sketch"), "rep")
-    least = least_agreement(PERCENT, -ERRORS)
     across = rooted(rooted(candidates, "rep", "ra"), "pivot", "rb").where("ra <> rb")
     rest = pairs_in_nodes(leaves, least).unionByName(
         across.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
