@@ -13,7 +13,8 @@ def op2_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every text and of its edited form, and how alike they are."""
 
     def written(prints: str) -> Column:
-        one = F.transform(prints, lambda x: F.concat(x["hash"], F.lit("@"), x["position"]))
+        hashes = F.transform(f"{prints}.hashes", lambda h: F.lpad(F.lower(F.hex(h)), 15, "0"))
+        one = F.zip_with(hashes, f"{prints}.positions", lambda h, p: F.concat(h, F.lit("@"), p))
         return F.array_join(one, " ")
 
     found = winnowing.edited_likeness(table(spark, folder, "documents"))
@@ -38,14 +39,14 @@ WITH d AS (
   SELECT t, regexp_extract_all(t, '[^ \t\n\x0B\f\r]{1,8}') AS u FROM t
 ), h AS (
   SELECT t, CASE WHEN len(u) = 0 THEN [] ELSE list_transform(range(greatest(len(u) - 3, 0) + 1),
-    lambda i: substr(md5(array_to_string(list_slice(u, i + 1, i + 3), ' ')), 1, 16)
+    lambda i: substr(md5(array_to_string(list_slice(u, i + 1, i + 3), ' ')), 1, 15)
               || lpad(CAST(999999999 - i AS VARCHAR), 9, '0')) END AS h FROM u
 ), m AS (
   SELECT t, CASE WHEN len(h) = 0 THEN [] ELSE list_transform(range(greatest(len(h) - 6, 0) + 1),
     lambda i: list_min(list_slice(h, i + 1, i + 6))) END AS m FROM h
 ), p AS (
   SELECT t, list_sort(list_transform(list_distinct(m), lambda x:
-    struct_pack(at := 999999999 - CAST(substr(x, 17) AS BIGINT), h := substr(x, 1, 16)))) AS p FROM m
+    struct_pack(at := 999999999 - CAST(substr(x, 16) AS BIGINT), h := substr(x, 1, 15)))) AS p FROM m
 ), f AS (
   SELECT t, list_distinct(list_transform(p, lambda x: x.h)) AS hs,
     array_to_string(list_transform(p, lambda x: x.h || '@' || CAST(x.at AS VARCHAR)), ' ') AS f FROM p

@@ -36,31 +36,40 @@ def upto(n: Column) -> Column:
 
 
 def fingerprint(text: Column, k: int = K, w: int = W, unit: int = UNIT) -> Column:
-    """array<struct<hash: string, position: int>>: kept hashes in the order of the text."""
+    """struct<hashes: array<bigint>, positions: array<int>>: what is kept, in text order."""
     units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"{SPACE}{{1,{unit}}}"), F.lit(0))
 
     def hashes(u: Column) -> Column:
         def gram(i: Column) -> Column:
-            joined = F.array_join(F.slice(u, i + 1, F.lit(k)), " ")
-            # The position is negative, so the smallest struct is the rightmost of equal hashes.
-            return F.struct(F.substring(F.md5(joined), 1, 16).alias("h"), (-i).alias("at"))
+            # Units beyond the end of a short text are null, which concat_ws leaves out.
+            joined = F.concat_ws(" ", *[F.get(u, i + j) for j in range(k)])
+            return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("bigint")
 
-        none = F.array().cast("array<struct<h: string, at: int>>")
+        none = F.array().cast("array<bigint>")
         return F.when(F.size(u) > 0, F.transform(upto(F.size(u) - k), gram)).otherwise(none)
 
     def winnow(h: Column) -> Column:
         least = F.transform(
             F.when(F.size(h) > 0, upto(F.size(h) - w)).otherwise(F.array().cast("array<int>")),
-            lambda i: F.array_min(F.slice(h, i + 1, F.lit(w))),
+            lambda i: F.least(*[F.get(h, i + j) for j in range(w)]),
         )
+
+        def rightmost(smallest: Column, i: Column) -> Column:
+            place = F.when(F.get(h, i + (w - 1)) == smallest, i + (w - 1))
+            for j in range(w - 2, 0, -1):
+                place = place.when(F.get(h, i + j) == smallest, i + j)
+            return place.otherwise(i)
+
+        # The places never go back, so equal ones follow one another.
         changed = bound(
-            least,
-            lambda m: F.filter(
-                m, lambda x, i: (i == 0) | (x["at"] != m[F.greatest(i - 1, F.lit(0))]["at"])
-            ),
+            F.transform(least, rightmost),
+            lambda p: F.filter(p, lambda x, i: (i == 0) | (x != F.get(p, i - 1))),
         )
-        return F.transform(
-            changed, lambda x: F.struct(x["h"].alias("hash"), (-x["at"]).alias("position"))
+        return bound(
+            changed,
+            lambda p: F.struct(
+                F.transform(p, lambda x: F.get(h, x)).alias("hashes"), p.alias("positions")
+            ),
         )
 
     return bound(bound(units, hashes), winnow)
@@ -118,7 +127,7 @@ def edited_likeness(
         .withColumn("edited_prints", fingerprint(F.col("edited_text"), k, w))
         .select(
             id_col, n.cast("bigint").alias("n_chars"), "edited_text", "prints", "edited_prints",
-            likeness(F.col("prints.hash"), F.col("edited_prints.hash")).alias("near_edited"),
-            likeness(F.col("prints.hash"), F.col("next.prints.hash")).alias("near_next"),
+            likeness(F.col("prints.hashes"), F.col("edited_prints.hashes")).alias("near_edited"),
+            likeness(F.col("prints.hashes"), F.col("next.prints.hashes")).alias("near_next"),
         )
     )
