@@ -260,11 +260,36 @@ CHECKS: dict[str, Check] = {
     ),
     "resample_day_first": flow_check(
         "RSM-2",
+        [DAY, QUANTITY, "loc_name", "state_abb"],
+        lambda df: resample(df.select(DAY, QUANTITY, "loc_name", "state_abb"), "1d"),
+        f"""SELECT eff_gas_day, {r6("scheduled_quantity")} AS scheduled_quantity, loc_name, state_abb
+        FROM flows QUALIFY row_number() OVER (PARTITION BY eff_gas_day
+          ORDER BY scheduled_quantity NULLS FIRST, loc_name NULLS FIRST, state_abb NULLS FIRST) = 1""",
+    ),
+    "resample_week_last": flow_check(
+        "RSM-1",
         [DAY, QUANTITY, "loc_name"],
-        lambda df: resample(df, "1d"),
-        f"""SELECT eff_gas_day, {r6("min(scheduled_quantity)")} AS scheduled_quantity,
-        min(loc_name) AS loc_name FROM flows GROUP BY ALL""",
+        lambda df: resample(
+            df.select(DAY, QUANTITY, "loc_name"), "1w", DAY, {"loc_name": "last", QUANTITY: "last"}
+        ),
+        f"""SELECT CAST(date_trunc('week', eff_gas_day) AS DATE) AS eff_gas_day,
+        {r6("scheduled_quantity")} AS scheduled_quantity, loc_name
+        FROM flows QUALIFY row_number() OVER (PARTITION BY date_trunc('week', eff_gas_day)
+          ORDER BY eff_gas_day DESC, scheduled_quantity DESC NULLS LAST, loc_name DESC NULLS LAST) = 1""",
     ),
+    **{
+        f"resample_null_times_{freq}": table_check(
+            "RSM-1",
+            "events",
+            lambda df, freq=freq: resample(
+                df.select(F.when(F.col("value") > 10, F.col("ts")).alias("ts"), "value"),
+                freq, "ts", {"value": "count"},
+            ),
+            f"""SELECT date_trunc('{unit}', CASE WHEN value > 10 THEN ts END)::TIMESTAMP AS ts,
+            count(*) AS value_count FROM events GROUP BY ALL""",
+        )
+        for freq, unit in (("1h", "hour"), ("1d", "day"))
+    },
     "resample_unsorted_input": flow_check(
         "RSM-3",
         [DAY, QUANTITY],

@@ -32,11 +32,14 @@ from weir.operators.metrics import daily_rollup
 from weir.session import work_path
 from weir.sources.flows import flows_from_star, normalize_flows, read_flows
 from weir.sources.sinks import (
+    export_results,
     load_dictionary,
     materialize,
     plot_data,
     read_daily_rollup,
+    read_saved,
     save_artifact,
+    saved_counts,
     write_daily_rollup,
     write_dictionary,
     write_frame,
@@ -116,6 +119,32 @@ def _saved(format: str):
     return run
 
 
+def _saved_rows(format: str):
+    """The rows of a saved result, read back."""
+
+    def run(df: DataFrame) -> DataFrame:
+        totals = df.groupBy("state_abb").agg(F.count(F.lit(1)).alias("n"), F.max(DAY).alias("last"))
+        folder = work_path(df.sparkSession, "artifact")
+        save_artifact(totals, folder, "totals", format)
+        return read_saved(df.sparkSession, f"{folder}/totals", totals.schema, format)
+
+    return run
+
+
+def _exported(df: DataFrame) -> DataFrame:
+    """Metadata and rows of an exported answer."""
+    path = work_path(df.sparkSession, "answer")
+    totals = df.groupBy("state_abb").agg(F.count(F.lit(1)).alias("n"))
+    about = export_results(totals, path, "How many?", "Rows per state", {"op": "count"}, "run-1")
+    rows = df.sparkSession.read.schema(totals.schema).json(path)
+    return rows.crossJoin(F.broadcast(about)).withColumn("columns", F.array_join("columns", ","))
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    found = saved_counts(materialize(df.select("loc_name", "connecting_pipeline")))
+    return found.select("rows", F.col("nulls.connecting_pipeline").alias("missing"))
+
+
 def _passed_through(df: DataFrame) -> DataFrame:
     totals = df.groupBy("state_abb").agg(F.sum(QUANTITY).alias("sum_scheduled_quantity"))
     return write_frame(totals, work_path(df.sparkSession, "artifact"), "csv")
@@ -338,6 +367,30 @@ CHECKS: dict[str, Check] = {
         """SELECT 'json' AS output_format, count(DISTINCT state_abb) AS rows,
         2::BIGINT AS columns, 'state_abb,sum_scheduled_quantity' AS names FROM flows""",
     ),
+    **{
+        f"saved_rows_{format}": flow_check(
+            "SNK-1",
+            ["state_abb", DAY],
+            _saved_rows(format),
+            "SELECT state_abb, count(*) AS n, max(eff_gas_day) AS last FROM flows GROUP BY ALL",
+        )
+        for format in ("parquet", "csv", "json")
+    },
+    "exported_answer": flow_check(
+        "SNK-5",
+        ["state_abb"],
+        _exported,
+        """SELECT state_abb, count(*) AS n, 'run-1' AS run_id, 'How many?' AS question,
+        'Rows per state' AS description, '{"op": "count"}' AS plan,
+        count(*) OVER () AS rows_returned, 'state_abb,n' AS columns FROM flows GROUP BY state_abb""",
+    ),
+    "saved_step_counts": flow_check(
+        "SNK-3",
+        ["loc_name", "connecting_pipeline"],
+        _counted,
+        """SELECT count(*) AS rows, count(*) FILTER (WHERE connecting_pipeline IS NULL) AS missing
+        FROM flows""",
+    ),
     "saved_pass_through": flow_check(
         "SNK-2",
         ["state_abb", QUANTITY],

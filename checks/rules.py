@@ -22,6 +22,8 @@ ALL = [
     "longitude",
     QUANTITY,
 ]
+# A date, five texts, a tinyint and three doubles.
+ALL_WIDTH = 4 + 5 * 20 + 1 + 3 * 8
 
 
 def _parts_as_locations(df: DataFrame) -> DataFrame:
@@ -140,6 +142,7 @@ def _step_stats(df: DataFrame) -> DataFrame:
     return profile.step_stats(df).select(
         "row_count",
         "column_count",
+        "estimated_bytes",
         *[nulls[c].alias(f"nulls_{c}") for c in FLOW_TEXT],
     )
 
@@ -239,7 +242,8 @@ CHECKS: dict[str, Check] = {
         "PRF-2 DIA-16",
         ALL,
         profile.table_shape,
-        "SELECT count(*) AS row_count, 10::BIGINT AS column_count FROM flows",
+        f"""SELECT count(*) AS row_count, {len(ALL)}::BIGINT AS column_count,
+        count(*) * {ALL_WIDTH} AS estimated_bytes FROM flows""",
     ),
     "profile_nulls": flow_check(
         "PRF-3", FLOW_TEXT, lambda df: profile.null_profile(df).drop("data_type"), NULLS_SQL
@@ -266,6 +270,7 @@ CHECKS: dict[str, Check] = {
         FLOW_TEXT,
         _step_stats,
         f"""SELECT count(*) AS row_count, {len(FLOW_TEXT)}::BIGINT AS column_count,
+        count(*) * {20 * len(FLOW_TEXT)} AS estimated_bytes,
         {", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS nulls_{c}" for c in FLOW_TEXT)}
         FROM flows""",
     ),

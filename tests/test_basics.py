@@ -354,3 +354,19 @@ def test_previous_row_crosses_partitions(spark):
     pairs = sorted((r.k, r.p) for r in found.collect())
     assert pairs[0] == (0, None)
     assert all(p == k - 3 for k, p in pairs[1:])
+
+
+def test_first_and_last_come_from_one_row(spark):
+    df = spark.createDataFrame([("b", 1.0, 9), ("a", 5.0, 3), ("c", None, 1)], "k string, v double, n int")
+    df = df.withColumn("t", F.to_date(F.lit("2022-01-01"))).select("t", "v", "k", "n")
+    assert rows_of(resample(df, "1d", "t"))[0] | {"t": 0} == {"t": 0, "v": None, "k": "c", "n": 1}
+    last = rows_of(resample(df, "1d", "t", {"n": "last", "k": "last", "v": "sum"}))[0]
+    assert last | {"t": 0} == {"t": 0, "n": 3, "k": "a", "v": 6.0}
+
+
+def test_null_times_are_a_bucket_at_every_frequency(spark):
+    df = spark.createDataFrame([("2022-01-01 00:30:00", 1), (None, 2)], "t string, v int")
+    df = df.withColumn("t", F.col("t").cast("timestamp"))
+    for freq in ("15min", "1h", "1d", "3d", "1w", "1mo"):
+        found = rows_of(resample(df, freq, "t", {"v": "sum"}))
+        assert sorted((r["t"] is None, r["v"]) for r in found) == [(False, 1), (True, 2)], freq

@@ -153,20 +153,21 @@ def test_events_end_to_end(spark):
 
 SPEC = {
     "nodes": [
-        {"id": "f", "op": "filter", "params": {"column": "pipeline_name", "op": "=", "value": "P1"}},
+        {"id": "one_pipeline", "op": "filter", "params": {"column": "pipeline_name", "op": "=", "value": "P1"}},
         {
-            "id": "a",
+            "id": "per_state",
             "op": "aggregate",
-            "params": {
-                "groupby": ["state_abb"],
-                "metrics": [{"col": "scheduled_quantity", "fn": "sum"}],
-            },
+            "params": {"groupby": ["state_abb"], "metrics": [{"col": "scheduled_quantity", "fn": "max"}]},
         },
-        {"id": "l", "op": "limit", "params": {"n": 5}},
+        {"id": "head", "op": "limit", "params": {"n": 3}},
+    ],
+    "edges": [
+        {"src": "raw", "dst": "one_pipeline"},
+        {"src": "one_pipeline", "dst": "per_state"},
+        {"src": "per_state", "dst": "head"},
     ],
-    "edges": [{"src": "raw", "dst": "f"}, {"src": "f", "dst": "a"}, {"src": "a", "dst": "l"}],
     "inputs": ["raw"],
-    "outputs": ["l"],
+    "outputs": ["head"],
 }
 
 
@@ -177,8 +178,53 @@ def test_steps_from_a_file(spark, tmp_path, keep):
     row = one(run_steps(load_steps(str(path)), {"raw": table(spark)}, keep))
     assert row == {
         "state_abb": "TX",
-        "sum_scheduled_quantity": sum(100.0 + i for i in range(0, 40, 2)),
+        "max_scheduled_quantity": 138.0,
+    }
+
+
+@pytest.mark.parametrize("keep", ["auto", "all", "never"])
+def test_a_saved_rank_keeps_its_order(spark, monkeypatch, tmp_path, keep):
+    """Two readers of a rank over more sort partitions than tasks, none of them merged."""
+    spec = {
+        "nodes": [
+            {"id": "places", "op": "rank", "params": {"by": ["v"], "descending": True}},
+            {"id": "copy", "op": "save_artifact", "params": {"path": str(tmp_path / "copy"), "format": "csv"}},
+            {"id": "best", "op": "limit", "params": {"n": 4}},
+            {"id": "later", "op": "limit", "params": {"n": 3, "offset": 500}},
+        ],
+        "edges": [
+            {"src": "raw", "dst": "places"}, {"src": "places", "dst": "copy"},
+            {"src": "copy", "dst": "best"}, {"src": "places", "dst": "later"},
+        ],
+        "outputs": ["best"],
+    }
+    settings = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        raw = spark.range(0, 3000, 1, 9).selectExpr("id AS k", "(id * 7919) % 3000 AS v")
+        best = [r.v for r in run_steps(spec, {"raw": raw}, keep).collect()]
+        later = [r.v for r in run_steps(spec | {"outputs": ["later"]}, {"raw": raw}, keep).collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert best == [2999, 2998, 2997, 2996] and later == [2499, 2498, 2497]
+
+
+def test_evidence_is_written_when_nothing_reads_it(spark, tmp_path):
+    path = str(tmp_path / "evidence")
+    spec = {
+        "nodes": [
+            {"id": "about", "op": "evidence_collect", "params": {"metrics": ["basic", "strings"], "path": path}},
+            {"id": "rows", "op": "limit", "params": {"n": 2}},
+        ],
+        "edges": [{"src": "raw", "dst": "about"}, {"src": "raw", "dst": "rows"}],
+        "outputs": ["rows"],
     }
+    assert run_steps(spec, {"raw": table(spark)}).count() == 2
+    found = rows_of(spark.read.parquet(path).where("name = 'row_count'"))
+    assert [r["value"] for r in found] == [float(table(spark).count())]
 
 
 def changed(**parts):
@@ -188,10 +234,10 @@ def changed(**parts):
 @pytest.mark.parametrize(
     "spec",
     [
-        changed(edges=[{"src": "l", "dst": "f"}, *SPEC["edges"][1:]]),
+        changed(edges=[{"src": "head", "dst": "one_pipeline"}, *SPEC["edges"][1:]]),
         changed(edges=SPEC["edges"][1:]),
-        changed(edges=[*SPEC["edges"], {"src": "raw", "dst": "l"}]),
-        changed(edges=[*SPEC["edges"], {"src": "gone", "dst": "l"}]),
+        changed(edges=[*SPEC["edges"], {"src": "raw", "dst": "head"}]),
+        changed(edges=[*SPEC["edges"], {"src": "gone", "dst": "head"}]),
         changed(outputs=["gone"]),
         changed(nodes=[*SPEC["nodes"], SPEC["nodes"][0]]),
     ],
@@ -213,6 +259,7 @@ def test_broken_step_lists(spark, spec):
         ("limit", {"n": 3, "offset": -2}),
         ("rank", {"by": []}),
         ("rank", {"by": ["a"], "method": "best"}),
+        ("evidence_collect", {"metrics": ["charm"]}),
         ("resample", {"freq": "daily", "on": "d"}),
         ("evidence_collect", {"sample_size": 0}),
         ("changepoint", {}),
@@ -246,8 +293,10 @@ def test_unknown_format(spark, tmp_path):
 def test_export_and_dictionary(spark, tmp_path):
     from weir.operators.profile import data_dictionary
 
-    sinks.export_results(spark.range(2), str(tmp_path / "answer"), "how many?")
-    assert {r.question for r in spark.read.json(str(tmp_path / "answer")).collect()} == {"how many?"}
+    about = one(sinks.export_results(spark.range(2), str(tmp_path / "answer"), "how many?", plan={"n": 2}))
+    assert (about["question"], about["rows_returned"], about["columns"]) == ("how many?", 2, ["id"])
+    assert json.loads(about["plan"]) == {"n": 2} and about["run_id"]
+    assert spark.read.json(str(tmp_path / "answer")).count() == 2
     dictionary = data_dictionary(table(spark))
     sinks.write_dictionary(dictionary, str(tmp_path / "dictionary"))
     again = sinks.load_dictionary(spark, str(tmp_path / "dictionary"))

@@ -188,7 +188,7 @@ def test_profile_parts(spark):
         [(1, "aa"), (2, "aa"), (3, None), (None, "b")], "n int, s string"
     )
     parts = profile.profile(df, [*profile.QUALITY_METRICS, "charm"], 2, ["n"])
-    assert one(parts["basic"]) == {"row_count": 4, "column_count": 2}
+    assert one(parts["basic"]) == {"row_count": 4, "column_count": 2, "estimated_bytes": 96}
     numbers = one(parts["numeric"])
     assert (numbers["median"], numbers["q25"], numbers["unique_count"]) == (2.0, 2.0, 4)
     text = one(parts["strings"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,12 @@ from weir.functions.order import group_quantiles
 from weir.operators.aggregate import most_common, value_counts
 from weir.operators.ranking import sample_rows
 
+# Bytes of the fixed-width types.
+WIDTHS = {
+    T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4,
+    T.DateType: 4, T.LongType: 8, T.DoubleType: 8, T.TimestampType: 8, T.TimestampNTZType: 8,
+}
+EVIDENCE = ("basic", "nulls", "numeric", "strings")
 QUALITY_METRICS = ("data_quality_score", "completeness", "uniqueness")
 
 
@@ -51,20 +58,32 @@ def data_dictionary(df: DataFrame) -> DataFrame:
     return null_profile(df).select("column_name", "data_type", rate.alias("null_rate"), "n_rows")
 
 
+def row_width(schema: T.StructType) -> int:
+    """Rough bytes of a row: the width of fixed types, 20 for each column of another type."""
+    return sum(WIDTHS.get(type(f.dataType), 20) for f in schema.fields)
+
+
 def table_shape(df: DataFrame) -> DataFrame:
-    """(row_count, column_count)."""
-    return df.agg(F.count(F.lit(1)).alias("row_count")).withColumn(
-        "column_count", F.lit(len(df.columns)).cast("bigint")
+    """(row_count, column_count, estimated_bytes); the bytes are rows times :func:`row_width`."""
+    return df.agg(F.count(F.lit(1)).alias("row_count")).select(
+        "row_count",
+        F.lit(len(df.columns)).cast("bigint").alias("column_count"),
+        (F.col("row_count") * row_width(df.schema)).alias("estimated_bytes"),
     )
 
 
 def step_stats(df: DataFrame) -> DataFrame:
-    """Row count, column count and the null count of every column as one map."""
+    """Row count, column count, estimated bytes and the null count of every column as one map."""
     nulls = F.create_map(*[x for c in df.columns for x in (F.lit(c), F.col(f"__null_{c}"))])
     width = F.lit(len(df.columns)).cast("bigint")
     return df.agg(
         F.count(F.lit(1)).alias("row_count"), *[_null_total(c) for c in df.columns]
-    ).select("row_count", width.alias("column_count"), nulls.alias("null_counts"))
+    ).select(
+        "row_count",
+        width.alias("column_count"),
+        (F.col("row_count") * row_width(df.schema)).alias("estimated_bytes"),
+        nulls.alias("null_counts"),
+    )
 
 
 def _moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -190,3 +209,30 @@ def profile(
     if metrics:
         parts["scores"] = quality_scores(df, metrics)
     return parts
+
+
+def evidence(df: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """(part, column_name, name, value): the wanted parts of a profile as one table of numbers.
+
+    A part without a fitting column gives no rows. The column name is null for ``basic``.
+    """
+    found = []
+    for part in dict.fromkeys(parts):
+        if part == "basic":
+            table = table_shape(df).withColumn("column_name", F.lit(None).cast("string"))
+        elif part == "nulls":
+            table = null_profile(df).drop("data_type", "n_rows")
+        elif part == "numeric" and numeric_columns(df):
+            table = numeric_profile(df)
+        elif part == "strings" and string_columns(df):
+            table = string_profile(df).drop("most_common")
+        else:
+            continue
+        names = [c for c in table.columns if c != "column_name"]
+        table = table.select("column_name", *[F.col(c).cast("double").alias(c) for c in names])
+        long = table.unpivot(["column_name"], names, "name", "value")
+        found.append(long.select(F.lit(part).alias("part"), "column_name", "name", "value"))
+    if not found:
+        schema = "part string, column_name string, name string, value double"
+        return df.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, found)

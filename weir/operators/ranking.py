@@ -111,6 +111,17 @@ def rank_columns(
     return result.orderBy(*_total_order(df, by, descending))
 
 
+def rank_order(df: DataFrame, by: str | Sequence[str], descending: bool) -> list[Column]:
+    """The order in which :func:`rank_columns` leaves the rows of ``df``."""
+    by = [by] if isinstance(by, str) else list(by)
+    return _total_order(df, by, descending)
+
+
+def rank_step_order(df: DataFrame) -> list[Column]:
+    """The order in which :func:`rank_step` leaves the rows of ``df``."""
+    return [F.col("rank").asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in df.columns]]
+
+
 def rank_step(
     df: DataFrame,
     by: str | Sequence[str],
@@ -131,8 +142,7 @@ def rank_step(
         ranked = placed.withColumn("rank", F.col("__p") + 1).drop("__p")
     else:
         ranked = with_rank(df, by[0], method, descending, "rank")
-    rest = [F.col(c).asc_nulls_last() for c in df.columns]
-    return ranked.orderBy(F.col("rank").asc_nulls_last(), *rest)
+    return ranked.orderBy(*rank_step_order(df))
 
 
 def sort_rows(
@@ -179,10 +189,37 @@ def top_k(
     k: int = 10,
     descending: bool = True,
 ) -> DataFrame:
-    """Aggregate, add the average rank of the metric, keep the first k groups."""
+    """Aggregate, add the average rank of the metric, keep the first k groups.
+
+    The first k groups and those tied with the last of them are enough to rank the k: a top-n
+    finds the k-th value, a filter the groups up to it. Nulls rank last and have no rank.
+    """
     check_limit(k)
-    totals = aggregate(df, groupby, [{"col": col, "fn": fn}])
-    return rank_columns(totals, [metric_name(col, fn)], descending=descending).limit(k)
+    name = metric_name(col, fn)
+    totals = read_twice(aggregate(df, groupby, [{"col": col, "fn": fn}]))
+    value = F.col(name)
+    order = _total_order(totals, [name], descending)
+    # A handful of rows whatever the number of groups.
+    first = totals.orderBy(*order).limit(k).select(value.alias("__value"))
+    ends = first.agg((F.min if descending else F.max)("__value").alias("__last"))
+    beyond = value >= F.col("__last") if descending else value <= F.col("__last")
+    ties = (
+        totals.join(F.broadcast(ends), F.coalesce(beyond, F.lit(False)))
+        .groupBy(value.alias("__value"))
+        .agg(F.count(F.lit(1)).alias("__ties"))
+    )
+    # One row per distinct value among the first k groups: k at most.
+    window = Window.orderBy(_directed("__value", descending))
+    ahead = F.sum("__ties").over(window.rowsBetween(Window.unboundedPreceding, -1))
+    ranks = F.broadcast(ties.withColumn("__below", F.coalesce(ahead, F.lit(0))))
+    return (
+        totals.orderBy(*order)
+        .limit(k)
+        .join(ranks, value == F.col("__value"), "left")
+        .withColumn(f"rank_{name}", _rank_value("average"))
+        .drop("__value", "__ties", "__below")
+        .orderBy(*order)
+    )
 
 
 def sample_rows(

@@ -25,6 +25,7 @@ UNITS = {
     "q": "quarter",
     "y": "year",
 }
+SECONDS = {"second": 1, "minute": 60, "hour": 3600}
 CALENDAR_MONTHS = {"month": 1, "quarter": 3, "year": 12}
 FIRST_MONDAY = "1970-01-05"
 
@@ -39,14 +40,16 @@ def parse_freq(freq: str) -> tuple[int, str]:
 def time_bucket(df: DataFrame, on: str, freq: str) -> Column:
     """Start of the bucket that holds ``on``, with the type of ``on``.
 
-    Days count from 1970-01-01, weeks start on Monday, months count from January 1970.
+    Days count from 1970-01-01, weeks start on Monday, months count from January 1970. Null
+    times are a bucket of their own at every frequency.
     """
     n, unit = parse_freq(freq)
     dtype = df.schema[on].dataType
     c = F.col(on)
     if unit in ("second", "minute", "hour"):
-        start = F.window(c.cast("timestamp") if isinstance(dtype, T.DateType) else c, f"{n} {unit}")
-        return start["start"].cast(dtype)
+        width = F.lit(n * SECONDS[unit])
+        passed = F.unix_seconds(c.cast("timestamp"))
+        return F.timestamp_seconds(passed - F.pmod(passed, width)).cast(dtype)
     if unit in CALENDAR_MONTHS:
         months = n * CALENDAR_MONTHS[unit]
         index = (F.year(c) - 1970) * 12 + F.month(c) - 1
@@ -60,18 +63,15 @@ def time_bucket(df: DataFrame, on: str, freq: str) -> Column:
     return F.date_add(origin_day, passed - F.pmod(passed, F.lit(days))).cast(dtype)
 
 
-def _resample_metric(on: str, col: str, fn: str) -> Column:
+def _resample_metric(col: str, fn: str) -> Column:
     c = F.col(col)
-    order = F.struct(F.col(on), c)
     simple = {"sum": total, "mean": F.avg, "min": F.min, "max": F.max}
     if fn in simple:
         return simple[fn](c).alias(col)
     if fn == "count":
         return F.count(F.lit(1)).alias(f"{col}_count")
-    if fn == "first":
-        return F.min_by(c, order).alias(col)
-    if fn == "last":
-        return F.max_by(c, order).alias(col)
+    if fn in ("first", "last"):
+        return F.col(f"__{fn}")[col].alias(col)
     raise ValueError(f"unsupported resample function {fn!r}")
 
 
@@ -83,13 +83,27 @@ def resample(
 ) -> DataFrame:
     """One row per non-empty bucket.
 
-    Functions: sum, mean, count (named ``<col>_count``), min, max, first, last; first
-    and last go by (``on``, value). Without ``agg`` every other column gives its first.
+    Functions: sum, mean, count (named ``<col>_count``), min, max, first, last. All first
+    values of a bucket come from one row, the smallest by (``on``, then the other columns in
+    table order, nulls first), and all last values from the greatest. Without ``agg`` every
+    other column gives its first.
     """
     if agg is None:
         agg = {c: "first" for c in df.columns if c != on}
     kept = df.withColumn("__at", F.col(on)).withColumn(on, time_bucket(df, on, freq))
-    return kept.groupBy(on).agg(*[_resample_metric("__at", c, fn) for c, fn in agg.items()])
+    row = F.struct("__at", *[c for c in df.columns if c != on])
+    ends = {"first": F.min(row).alias("__first"), "last": F.max(row).alias("__last")}
+    metrics, picked = [], []
+    for i, (c, fn) in enumerate(agg.items()):
+        metric = _resample_metric(c, fn)
+        if fn in ends:
+            picked.append(metric)
+        else:
+            name = f"{c}_count" if fn == "count" else c
+            metrics.append(metric.alias(f"__m{i}"))
+            picked.append(F.col(f"__m{i}").alias(name))
+    used = [end for fn, end in ends.items() if fn in agg.values()]
+    return kept.groupBy(on).agg(*metrics, *used).select(on, *picked)
 
 
 def resample_grouped(

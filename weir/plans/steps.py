@@ -1,7 +1,11 @@
 """Lists of steps over DataFrames, as dicts or JSON files.
 
 Every step is one operator call with one input; Spark sees the whole chain as a single
-lazy plan.
+lazy plan, apart from steps that are saved.
+
+A saved frame has no order of its own: its files are read in any order and split anew. So
+every step tells in which order its rows are, and a saved step is sorted again by it where
+it is read. Spark turns that sort and a following limit into one top-n.
 """
 
 from __future__ import annotations
@@ -10,18 +14,24 @@ import json
 from collections.abc import Callable, Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from weir.functions.predicates import check_filter
 from weir.operators.aggregate import METRIC_FNS, aggregate, aggregate_one
 from weir.operators.basic import filter_rows
 from weir.operators.changepoint import changepoint_step
 from weir.operators.decompose import deseasonalize
+from weir.operators.profile import EVIDENCE, evidence
 from weir.operators.ranking import (
     RANK_METHODS,
+    STEP_METHODS,
     check_limit,
     limit_rows,
     rank_columns,
+    rank_order,
+    rank_step,
+    rank_step_order,
     sample_rows,
 )
 from weir.operators.resample import parse_freq, resample, resample_grouped
@@ -56,14 +66,36 @@ def _limit(df: DataFrame, p: Params) -> DataFrame:
     return limit_rows(df, p["n"], p.get("offset", 0))
 
 
+def _ordinal(p: Params) -> bool:
+    return p.get("method") == "ordinal"
+
+
 def _rank(df: DataFrame, p: Params) -> DataFrame:
+    if _ordinal(p):
+        return rank_step(df, p["by"], p.get("descending", True))
     return rank_columns(df, p["by"], p.get("method", "average"), p.get("descending", False))
 
 
-def _sample(df: DataFrame, p: Params) -> DataFrame:
+def _rank_order(df: DataFrame, p: Params) -> list[Column]:
+    """Order of what the rank step makes of ``df``."""
+    if _ordinal(p):
+        return rank_step_order(df)
+    return rank_order(df, p["by"], p.get("descending", False))
+
+
+def _evidence(df: DataFrame, p: Params) -> DataFrame:
+    """Rows of the input, or with ``metrics`` (basic, nulls, numeric, strings) its profile.
+
+    The profile is one table of (part, column, name, value). With a ``path`` the evidence is
+    written there, also when no step reads it.
+    """
     if p.get("columns"):
         df = df.select(*p["columns"])
-    return sample_rows(df, p.get("sample_size", 100), p.get("method", "random"))
+    if p.get("metrics"):
+        found = evidence(df, p["metrics"])
+    else:
+        found = sample_rows(df, p.get("sample_size", 100), p.get("method", "random"))
+    return write_frame(found, p["path"], p.get("format", "parquet")) if p.get("path") else found
 
 
 def _deseasonalize(df: DataFrame, p: Params) -> DataFrame:
@@ -93,11 +125,15 @@ STEPS: dict[str, Callable[[DataFrame, Params], DataFrame]] = {
     "resample": _resample,
     "limit": _limit,
     "rank": _rank,
-    "evidence_collect": _sample,
+    "evidence_collect": _evidence,
     "stl_deseasonalize": _deseasonalize,
     "changepoint": _changepoint,
     "save_artifact": _save,
 }
+# Steps that leave the rows in the order they came in.
+KEEP_ORDER = ("filter", "limit", "save_artifact")
+# Steps whose rows have no order, so that a limit has to choose one.
+UNORDERED = ("aggregate", "resample", "changepoint", "stl_deseasonalize")
 # Steps that are run again for each reader.
 CHEAP = ("filter", "limit", "save_artifact")
 REQUIRED = {
@@ -132,10 +168,13 @@ def check_step(op: str, p: Params) -> None:
         parse_freq(p["freq"])
     elif op == "limit":
         check_limit(p["n"], p.get("offset", 0))
-    elif op == "rank" and p.get("method", "average") not in RANK_METHODS:
+    elif op == "rank" and p.get("method", "average") not in (*RANK_METHODS, *STEP_METHODS):
         raise ValueError(f"unsupported rank method {p['method']!r}")
-    elif op == "evidence_collect" and p.get("sample_size", 100) < 1:
-        raise ValueError("sample_size is 1 or more")
+    elif op == "evidence_collect":
+        if p.get("sample_size", 100) < 1:
+            raise ValueError("sample_size is 1 or more")
+        if set(p.get("metrics") or ()) - set(EVIDENCE):
+            raise ValueError(f"evidence metrics are {sorted(EVIDENCE)}")
     elif op == "stl_deseasonalize" and not (p.get("column") or p.get("on")):
         raise ValueError("stl_deseasonalize needs a column")
     elif op == "save_artifact" and p.get("format", "parquet") not in FORMATS:
@@ -172,6 +211,8 @@ def run_steps(
         source[dst] = src
         readers.setdefault(src, []).append(dst)
     results: dict[str, DataFrame] = dict(inputs)
+    # Order of each result; None where there is none, missing for the inputs.
+    orders: dict[str, list[Column] | None] = {}
 
     def result_of(name: str, waiting: tuple[str, ...] = ()) -> DataFrame:
         if name in waiting:
@@ -180,13 +221,24 @@ def run_steps(
             return results[name]
         if name not in source:
             raise ValueError(f"step {name!r} has no input")
-        node = nodes[name]
-        df = STEPS[node["op"]](
-            result_of(source[name], (*waiting, name)), node.get("params", {})
-        )
-        shared = len(readers.get(name, [])) > 1 and node["op"] not in CHEAP
+        op, params = nodes[name]["op"], nodes[name].get("params", {})
+        before = result_of(source[name], (*waiting, name))
+        if op == "rank":
+            orders[name] = _rank_order(before, params)
+        elif op in KEEP_ORDER and source[name] in orders:
+            orders[name] = orders[source[name]]
+        elif op in UNORDERED:
+            orders[name] = None
+        if op == "limit" and name in orders and orders[name] is None:
+            orders[name] = [F.col(c).asc_nulls_last() for c in before.columns]
+            before = before.orderBy(*orders[name])
+        df = STEPS[op](before, params)
+        shared = len(readers.get(name, [])) > 1 and op not in CHEAP
+        stored = op == "save_artifact"
         if keep == "all" or (keep == "auto" and shared):
-            df = materialize(df)
+            df, stored = materialize(df), True
+        if stored and orders.get(name):
+            df = df.orderBy(*orders[name])
         results[name] = df
         return df
 
@@ -194,7 +246,9 @@ def run_steps(
     if outputs[0] not in nodes:
         raise ValueError(f"unknown output {outputs[0]!r}")
     for name, node in nodes.items():
-        if node["op"] == "save_artifact":
+        if node["op"] == "save_artifact" or (
+            node["op"] == "evidence_collect" and node.get("params", {}).get("path")
+        ):
             result_of(name)
     return result_of(outputs[0])
 

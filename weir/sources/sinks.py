@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Mapping
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,14 +21,24 @@ PLOT_COLUMNS = 5
 def write_frame(
     df: DataFrame, path: str, format: str = "parquet", overwrite: bool = True
 ) -> DataFrame:
-    """Write and pass the input on; without ``overwrite`` an existing folder is an error."""
+    """Write and hand on what was saved; without ``overwrite`` an existing folder is an error.
+
+    The input is worked out once. Parquet is read back from its own files; for CSV and JSON,
+    which lose types and nulls, a Parquet copy in the work folder is made first and handed on.
+    The rows come back in no particular order.
+    """
     if format not in FORMATS:
         raise ValueError(f"unknown format {format!r}; choose from {FORMATS}")
-    writer = df.write.mode("overwrite" if overwrite else "errorifexists")
+    mode = "overwrite" if overwrite else "errorifexists"
+    if format == "parquet":
+        df.write.mode(mode).parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = materialize(df)
+    writer = kept.write.mode(mode)
     if format == "csv":
         writer = writer.option("header", "true")
     writer.format(format).save(path)
-    return df
+    return kept
 
 
 def read_saved(spark: SparkSession, path: str, schema: T.StructType, format: str) -> DataFrame:
@@ -78,12 +91,22 @@ def save_artifact(
 
 
 def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write a step result as zstd parquet in the shared work folder and read it back."""
+    """Write a step result as zstd parquet in the shared work folder and read it back.
+
+    The rows come back in no particular order. :func:`saved_counts` counts them.
+    """
     path = path or work_path(df.sparkSession, "step")
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def saved_counts(saved: DataFrame) -> DataFrame:
+    """One row for a saved step: ``rows`` and ``nulls``, the null count of every column."""
+    nulls = [x for c in saved.columns for x in (F.lit(c), F.count_if(F.col(c).isNull()))]
+    counts = F.create_map(*nulls) if nulls else F.create_map().cast("map<string, bigint>")
+    return saved.agg(F.count(F.lit(1)).alias("rows"), counts.alias("nulls"))
+
+
 def write_daily_rollup(rollup: DataFrame, path: str, date_col: str = "eff_gas_day") -> str:
     """Write the daily rollup in year folders, so that a date filter skips whole years.
 
@@ -107,14 +130,30 @@ def read_daily_rollup(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def export_results(df: DataFrame, path: str, question: str, description: str = "") -> str:
-    """Result rows as JSON lines plus the question they answer."""
-    (
-        df.withColumns({"question": F.lit(question), "description": F.lit(description)})
-        .write.mode("overwrite")
-        .json(path)
+def export_results(
+    df: DataFrame,
+    path: str,
+    question: str,
+    description: str = "",
+    plan: Mapping[str, object] | None = None,
+    run_id: str | None = None,
+) -> DataFrame:
+    """Result rows as JSON lines in ``path``, and one metadata row beside them.
+
+    The metadata (also written, to ``<path>_metadata``): run id, question, description, the
+    plan as JSON text, number and names of columns, and number of rows returned. The rows are
+    counted in the saved data.
+    """
+    saved = write_frame(df, path, "json")
+    metadata = saved.agg(F.count(F.lit(1)).alias("rows_returned")).select(
+        F.lit(run_id or uuid.uuid4().hex).alias("run_id"),
+        F.lit(question).alias("question"),
+        F.lit(description).alias("description"),
+        F.lit(json.dumps(plan or {}, default=str)).alias("plan"),
+        "rows_returned",
+        F.array(*map(F.lit, df.columns)).alias("columns"),
     )
-    return path
+    return write_frame(metadata, f"{path.rstrip('/')}_metadata", "json")
 
 
 def write_dictionary(dictionary: DataFrame, path: str) -> str:
