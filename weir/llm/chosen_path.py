@@ -39,6 +39,7 @@ from weir.llm.components import components
 SHINGLE = 5
 PERCENT = 75
 TREES, TOKENS = 16, 128
+# A node is split while more documents than this are outside its main component.
 SMALL_NODE = 512
 LEVELS = 16
 # Members that are sent to one copy of a document to be compared with it.
@@ -134,14 +135,17 @@ def least_agreement(percent: int, errors: float) -> float:
 
 
 def mixed_nodes(rows: DataFrame, level: int) -> DataFrame:
-    """Size of every node whose documents are in several components (node, rep, root, ...)."""
+    """(node, main, others, size) of every node whose documents are in several components.
+
+    ``main`` is the component with most documents in the node and ``others`` the number of
+    documents outside it.
+    """
+    parts = rows.groupBy("node", "root").agg(F.count(F.lit(1)).alias("n"))
     return saved(
-        rows.groupBy("node")
-        .agg(
-            F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")
-        )
-        .where("low < high")
-        .select("node", "size"),
+        parts.groupBy("node")
+        .agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("most"))
+        .where("most.n < size")
+        .select("node", F.col("most.root").alias("main"), (F.col("size") - F.col("most.n")).alias("others"), "size"),
         f"nodes-{level}",
     )
 
@@ -163,53 +167,67 @@ def children(rows: DataFrame) -> DataFrame:
     )
 
 
-def pairs_in_nodes(small: DataFrame, least: float) -> DataFrame:
-    """(a, b) across components in nodes (node, rep, size, root, sketch), compared in blocks."""
-    blocks = F.ceil(F.col("size") / SMALL_NODE).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    # A row meets the rows of its own block and of every other block of its node once.
-    other = F.sequence(F.lit(0), blocks - 1)
-    spread = small.withColumn("own", own).withColumn("other", F.explode(other)).select(
-        "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        "own", "rep", "root", "sketch",
-    )
+def pairs_in_nodes(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b) across components in nodes (node, main, others, size, rep, root, sketch, homes).
+
+    The documents outside a node's main component ask, all of them answer; so a large group
+    costs its size times the few that are not in it. Askers and answerers are cut into blocks,
+    and each pair of blocks is compared by itself. Two documents that meet in several root
+    nodes (``homes``) are compared in the first of them.
+    """
+    chunks = F.ceil(F.col("size") / (4 * SMALL_NODE)).cast("int")
+    parts = F.ceil(F.col("others") / SMALL_NODE).cast("int")
+
+    def place(n: Column) -> Column:
+        return F.pmod(F.xxhash64("rep"), n).cast("int")
+
+    columns = ["node", "i", "j", "asks", "rep", "root", "sketch", "homes"]
+    answers = rows.withColumns({"i": place(chunks), "asks": F.lit(False)})
+    answers = answers.withColumn("j", F.explode(F.sequence(F.lit(0), parts - 1))).select(*columns)
+    asking = rows.where("root <> main").withColumns({"j": place(parts), "asks": F.lit(True)})
+    asking = asking.withColumn("i", F.explode(F.sequence(F.lit(0), chunks - 1))).select(*columns)
+
+    def found_in(block: pd.DataFrame) -> pd.DataFrame:
+        asks = block["asks"].to_numpy(bool)
+        if not asks.any():
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        node = int(block["node"].iloc[0])
+        rep, root = block["rep"].to_numpy(), block["root"].to_numpy()
+        sketch = np.frombuffer(b"".join(block["sketch"]), np.uint8).reshape(-1, TOKENS)
+        homes = [set(x) for x in block["homes"]]
+        answer = np.flatnonzero(~asks)
+        theirs, roots = sketch[answer], root[answer]
+        asking_reps = set(rep[asks].tolist())
+        pairs = []
+        for x in np.flatnonzero(asks):
+            like = (theirs == sketch[x]).mean(1) >= least
+            for y in answer[like & (roots != root[x])].tolist():
+                # Two askers find each other twice, and blocks that meet again do so in order.
+                if rep[y] in asking_reps and rep[y] < rep[x]:
+                    continue
+                if min(homes[x] & homes[y], default=node) == node or node not in homes[x]:
+                    pairs.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
+        return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
-    def compare(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         key = None
-
-        def done(parts: list[pd.DataFrame]) -> pd.DataFrame:
-            frame = pd.concat(parts)
-            sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(-1, TOKENS)
-            rep, root = frame["rep"].to_numpy(), frame["root"].to_numpy()
-            found = []
-            for x in range(len(rep) - 1):
-                like = (sketch[x + 1 :] == sketch[x]).mean(1) >= least
-                y = x + 1 + np.flatnonzero(like & (root[x + 1 :] != root[x]))
-                found += [(min(rep[x], rep[z]), max(rep[x], rep[z])) for z in y]
-            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-        for frame in groups:
-            # Rows come sorted by node; a node may go on in the next batch.
-            cuts = frame["node"].ne(frame["node"].shift()) | frame["i"].ne(frame["i"].shift())
-            cuts |= frame["j"].ne(frame["j"].shift())
-            for _, part in frame.groupby(cuts.cumsum(), sort=False):
+        for frame in frames:
+            # Rows come sorted by block; a block may go on in the next batch.
+            keys = frame[["node", "i", "j"]]
+            cuts = (keys != keys.shift()).any(axis=1).cumsum()
+            for _, part in frame.groupby(cuts, sort=False):
                 name = tuple(part[["node", "i", "j"]].iloc[0])
                 if held and name != key:
-                    yield done(held)
+                    yield found_in(pd.concat(held))
                     held = []
                 key = name
                 held.append(part)
         if held:
-            yield done(held)
+            yield found_in(pd.concat(held))
 
-    mixed = saved(
-        spread.groupBy("node", "i", "j").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-        .where("lo < hi").select("node", "i", "j"),
-        "mixed-nodes",
-    )
-    rows = spread.join(mixed, ["node", "i", "j"]).select("node", "i", "j", "rep", "root", "sketch")
-    ordered = rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
+    spread = answers.unionByName(asking)
+    ordered = spread.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
     return ordered.mapInPandas(compare, "a bigint, b bigint")
 
 
@@ -318,21 +336,23 @@ def near_duplicates(
     level = saved(rooted(level.select("node", "rep"), "rep", "root"), "level-0")
     small = []
     for depth in range(LEVELS):
-        sizes = mixed_nodes(level, depth)
-        level = level.join(sizes, "node")
+        level = level.join(mixed_nodes(level, depth), "node")
         if depth == 0:
             level = level.join(sketches, "rep")
-        level = saved(level.select("node", "rep", "size", "root", "sketch"), f"mixed-{depth}")
-        small.append(level.where(F.col("size") <= SMALL_NODE))
-        large = level.where(F.col("size") > SMALL_NODE)
+        columns = ["node", "main", "others", "size", "rep", "root", "sketch"]
+        level = saved(level.select(*columns), f"mixed-{depth}")
+        few = (F.col("others") <= SMALL_NODE) | F.lit(depth == LEVELS - 1)
+        small.append(level.where(few))
+        large = level.where(~few)
         if large.isEmpty():
             break
         level = children(large)
-        if depth == LEVELS - 1:
-            small.append(large)
+    homes = small[0].groupBy("rep").agg(F.collect_set("node").alias("homes"))
     leaves = small[0]
     for more in small[1:]:
         leaves = leaves.unionByName(more)
+    none = F.array().cast("array<bigint>")
+    leaves = leaves.join(homes, "rep", "left").withColumn("homes", F.coalesce("homes", none))
     across = rooted(rooted(candidates, "rep", "ra"), "pivot", "rb").where("ra <> rb")
     rest = pairs_in_nodes(leaves, least).unionByName(
         across.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
