@@ -370,3 +370,9 @@ def test_null_times_are_a_bucket_at_every_frequency(spark):
     for freq in ("15min", "1h", "1d", "3d", "1w", "1mo"):
         found = rows_of(resample(df, freq, "t", {"v": "sum"}))
         assert sorted((r["t"] is None, r["v"]) for r in found) == [(False, 1), (True, 2)], freq
+
+
+def test_between_dates_on_a_text_column(spark):
+    df = spark.createDataFrame([("2022-01-02",), ("no date",), (None,)], "s string")
+    kept = df.where(predicate("s", "between", ["2022-01-01", "2022-01-31"]))
+    assert [r.s for r in kept.collect()] == ["2022-01-02"]

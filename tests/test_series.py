@@ -271,7 +271,7 @@ def test_clusters(spark):
     assert any("Ramp" in n or "Reversals" in n or "Dependency" in n for n in names)
     again = cluster.cluster_entities(behaviours(spark), k=3, restarts=4)
     assert rows_of(again.entities, "loc_name") == rows_of(result.entities, "loc_name")
-    result.release()
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
 
 
 def test_cluster_names(spark):

@@ -59,7 +59,9 @@ def predicate(column: str, op: str, value: Any = None) -> Column:
     if op == "between":
         low, high = value
         if as_date(low) and as_date(high):
-            low, high = F.lit(as_date(low)), F.lit(as_date(high))
+            # As text: against a date column Spark reads them as dates, while planning, and a
+            # text column is compared as text instead of being cast row by row.
+            low, high = F.lit(as_date(low).isoformat()), F.lit(as_date(high).isoformat())
         return c.between(low, high)
     if op == "is_not_null":
         return c.isNotNull()

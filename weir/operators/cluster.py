@@ -43,7 +43,6 @@ CLUSTER_FEATURES = [
 NAME_THRESHOLD = 0.5
 RESTARTS = 10
 PARALLEL_FITS = 10
-ENTITIES_PER_TASK = 50_000
 
 
 def entity_column(entity_type: str) -> str:
@@ -145,11 +144,7 @@ class Clustering:
     metrics: DataFrame  # one row
     silhouette: float
     model: KMeansModel
-    rows: DataFrame  # the persisted feature vectors behind ``entities``
-
-    def release(self) -> None:
-        """Give the feature vectors back; ``entities`` recomputes them when used again."""
-        self.rows.unpersist()
+    rows: DataFrame  # the feature vectors behind ``entities``, checkpointed
 
 
 def cluster_names(scaled: DataFrame, k: int) -> DataFrame:
@@ -215,14 +210,17 @@ def cluster_entities(
     n_entities = features.count()
     if n_entities < max(k, 1):
         raise ValueError(f"{n_entities} entities with {min_days} days are too few for {k} clusters")
-    rows = assembler.transform(standardized(features)).persist(StorageLevel.MEMORY_AND_DISK)
-    # One task per block of entities; the restarts are independent, so their jobs overlap.
-    vectors = rows.select("features").coalesce(n_entities // ENTITIES_PER_TASK + 1)
-    with ThreadPool(min(restarts, PARALLEL_FITS)) as pool:
-        models = pool.map(
-            lambda i: KMeans(k=k, seed=random_state + i, maxIter=300, tol=1e-4).fit(vectors),
-            range(restarts),
-        )
+    rows = assembler.transform(standardized(features)).checkpoint()
+    # All restarts read one cached copy; they are independent, so their jobs overlap.
+    vectors = rows.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        with ThreadPool(min(restarts, PARALLEL_FITS)) as pool:
+            models = pool.map(
+                lambda i: KMeans(k=k, seed=random_state + i, maxIter=300, tol=1e-4).fit(vectors),
+                range(restarts),
+            )
+    finally:
+        vectors.unpersist()
     model = min(models, key=lambda m: m.summary.trainingCost)
     assigned = model.transform(rows).withColumnRenamed("prediction", "cluster_id")
     sizes = [size for size in model.summary.clusterSizes if size]

@@ -1,8 +1,9 @@
 """Daily rollup over arriving flow files.
 
 The rollup adds up, so the running totals are the only state: one row per day and group.
-A watermark would drop late corrections, which belong to their gas day however late they
-come; it is therefore off unless a lateness is given.
+There is no watermark: it would drop late corrections, which belong to their gas day however
+late they come. The state therefore grows with the days and groups seen. A target belongs to
+one checkpoint; with a new checkpoint use a new target, since versions start again at 0.
 """
 
 from __future__ import annotations
