@@ -65,7 +65,9 @@ def aggregate(
     fns = [ALIASES.get(m["fn"].lower(), m["fn"].lower()) for m in metrics]
     exact = not approximate and any(fn in QUANTILES for fn in fns)
     if exact:
-        df = read_twice(df)
+        # What is read twice may be checkpointed, so only the columns in use go along.
+        used = {*groupby, *(m["col"] for m in metrics)}
+        df = read_twice(df.select(*[c for c in df.columns if c in used]))
     in_one_task = exact and largest_group(df, groupby) <= rows_per_task
     exprs, wanted = [], {}
     for metric, name, fn in zip(metrics, names, fns):
