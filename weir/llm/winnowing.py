@@ -84,8 +84,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(df: DataFrame, id_col: str, columns: list[str], tie: str) -> DataFrame:
-    """Put the columns of the next row, by descending id, next to every row; then the first.
+    """Put columns ``next_...`` of the next row, by descending id, next to every row.
 
+    The row after the last is the first.
     Ids are cut into ranges at values that some rows have. A range takes a copy of the rows
     that begin the next one, so every range is worked on alone and rows move once.
     """
@@ -104,8 +105,9 @@ def with_next(df: DataFrame, id_col: str, columns: list[str], tie: str) -> DataF
     order = Window.partitionBy("__in.slot").orderBy(
         F.expr("__in.copy = 2"), row_id.desc_nulls_last(), F.col(tie)
     )
-    ahead = F.lead(F.struct(*columns)).over(order)
-    return spread.withColumn("next", ahead).where("__in.copy = 0").drop("__in")
+    # Each column by itself: a struct of them would be shuffled as a second copy.
+    ahead = {f"next_{c}": F.lead(c).over(order) for c in columns}
+    return spread.withColumns(ahead).where("__in.copy = 0").drop("__in")
 
 
 def edited_likeness(
@@ -115,19 +117,22 @@ def edited_likeness(
 
     (id, n_chars, edited_text, prints, edited_prints, near_edited, near_next)
     """
-    texts = df.select(
-        F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    ).withColumn("prints", fingerprint(F.col("text"), k, w))
+    texts = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next.text", F.lit(1), third))
-    found = with_next(texts, id_col, ["text", "prints"], "text")
-    return (
-        found.withColumn("edited_text", edited)
-        .withColumn("edited_prints", fingerprint(F.col("edited_text"), k, w))
-        .select(
-            id_col, n.cast("bigint").alias("n_chars"), "edited_text", "prints", "edited_prints",
-            likeness(F.col("prints.hashes"), F.col("edited_prints.hashes")).alias("near_edited"),
-            likeness(F.col("prints.hashes"), F.col("next.prints.hashes")).alias("near_next"),
-        )
+    edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
+    # Only texts move. A fingerprint takes more room than its text, so that of the next text
+    # is worked out again where it is needed.
+    found = with_next(texts, id_col, ["text"], "text").withColumn("edited_text", edited)
+    found = found.withColumns(
+        {
+            "prints": fingerprint(F.col("text"), k, w),
+            "edited_prints": fingerprint(F.col("edited_text"), k, w),
+            "next_prints": fingerprint(F.col("next_text"), k, w),
+        }
+    )
+    return found.select(
+        id_col, n.cast("bigint").alias("n_chars"), "edited_text", "prints", "edited_prints",
+        likeness(F.col("prints.hashes"), F.col("edited_prints.hashes")).alias("near_edited"),
+        likeness(F.col("prints.hashes"), F.col("next_prints.hashes")).alias("near_next"),
     )
