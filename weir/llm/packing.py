@@ -54,43 +54,36 @@ class Words:
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
-            return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        words, known = text.split(), self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            self.learn({w for w in words if w not in known})
-            return b"".join(map(self.known.__getitem__, words))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of several texts; new words of all of them are tokenised in one go."""
+        odd = [bool(_ODD_SPACE.search(text)) for text in texts]
+        words = [[] if x else text.split() for x, text in zip(odd, texts)]
+        used = {w for found in words for w in found}
+        new = used - self.known.keys()
+        if len(self.known) + 2 * len(new) > KEPT_WORDS:
+            self.known.clear()
+            new = used
+        self.learn(new)
+        look = self.known.__getitem__
+        return [
+            self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            if x
+            else b"".join(map(look, found))
+            for x, text, found in zip(odd, texts, words)
+        ]
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) + 2 * len(words) > KEPT_WORDS:
-            # The caller joins all words of its text, the forgotten ones among them.
-            self.known = _Missing(self)
         known = self.known
         # A comma or stop after a letter is a token run of its own.
         cut = {w for w in words if w[-1] in ",." and w[-2:-1].isalpha()}
-        new = list({w[:-1] if w in cut else w for w in words} - known.keys() | {",", "."})
+        new = list({w[:-1] if w in cut else w for w in words} - known.keys())
+        new += [x for x in (",", ".") if x not in known and x not in new]
         for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
             known[w] = self.pack(e.ids)
         for w in cut:
             known[w] = known[w[:-1]] + known[w[-1]]
 
 
-class _Missing(dict):
-    """A fresh memory that still answers for words it has just lost."""
-
-    def __init__(self, words: Words):
-        super().__init__()
-        self.words = words
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.words.tokenizer.encode(word, add_special_tokens=False).ids
-        found = self[word] = self.words.pack(ids)
-        return found
-
-
 def signs(size: int, dimensions: int) -> np.ndarray:
     """A fixed random sign per token and dimension, from a hash of the token."""
     bits = np.array([xxhash.xxh32_intdigest(str(i)) for i in range(size)], np.int64)
@@ -139,8 +132,9 @@ def tokenised(df: DataFrame, id_col: str, text_col: str, path: str, dimensions:
 
         def encode(rows):
             out = []
-            for row_id, text in rows:
-                ids = words.encode(text or "") + end
+            coded = words.encode([text or "" for _, text in rows])
+            for (row_id, text), ids in zip(rows, coded):
+                ids += end
                 found = np.frombuffer(ids, words.kind)
                 at = table[found].sum(0) / math.sqrt(len(found))
                 digest = xxhash.xxh64_intdigest(text or "") - (1 << 63)
