@@ -9,8 +9,9 @@ lift the recall of what one tree may miss. Small nodes are compared exhaustively
 Candidate pairs are those whose tokens agree often enough, 4.5 standard errors below the
 threshold, and each is confirmed on the full sets:
 
-1. each document is confirmed against the most similar pivot (smallest document of a root
-   node) that it met; this links large groups of near copies to one another;
+1. in each of ``PIVOTS`` rounds every root node has a pivot, and each document is confirmed
+   against the most similar pivot of another component that it met; this links large groups
+   of near copies without comparing all of them;
 2. nodes whose documents are in one component are done, the others are split until they are
    small, and compared across components only;
 3. the components of all links are the result.
@@ -42,6 +43,8 @@ TREES, TOKENS = 16, 128
 # A node is split while more documents than this are outside its main component.
 SMALL_NODE = 512
 LEVELS = 16
+# Pivots that the documents of a root node are compared with before all others.
+PIVOTS = 4
 # Members that are sent to one copy of a document to be compared with it.
 MEMBERS = 64
 ERRORS = 4.5
@@ -319,21 +322,39 @@ def near_duplicates(
     its = sketches.select(F.col("rep").alias("pivot"), F.col("sketch").alias("its"))
     measure = F.pandas_udf(agreement, "double")
     least = least_agreement(PERCENT, -ERRORS)
-    met = level.where("rep <> pivot").select("rep", "pivot").distinct()
-    met = met.join(sketches, "rep").join(its, "pivot").withColumn("like", measure("sketch", "its"))
-    candidates = saved(met.where(F.col("like") >= least).select("rep", "pivot", "like"), "candidates")
-    best = candidates.groupBy("rep").agg(F.max_by("pivot", F.struct("like", -F.col("pivot"))).alias("pivot"))
-    first = saved(
-        confirm(best.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), df, id_col, text_col, size),
-        "links-pivots",
-    )
+    roots = saved(level.select("node", "rep"), "root-nodes")
+
+    def linked_to_pivots(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(candidates, links): pairs (rep, pivot) alike by tokens, the best of each confirmed."""
+        like = met.join(sketches, "rep").join(its, "pivot").withColumn("like", measure("sketch", "its"))
+        found = saved(like.where(F.col("like") >= least).select("rep", "pivot", "like"), "candidates")
+        best = found.groupBy("rep").agg(
+            F.max_by("pivot", F.struct("like", -F.col("pivot"))).alias("pivot")
+        )
+        pairs = best.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+        return found, saved(confirm(pairs, df, id_col, text_col, size), "links-pivots")
+
+    candidates, first = linked_to_pivots(level.where("rep <> pivot").select("rep", "pivot").distinct())
     known = components(first).select(F.col("x").alias("rep"), "root")
 
     def rooted(frame: DataFrame, column: str, name: str) -> DataFrame:
         found = known.select(F.col("rep").alias(column), F.col("root").alias(name))
         return frame.join(found, column, "left").withColumn(name, F.coalesce(name, column))
 
-    level = saved(rooted(level.select("node", "rep"), "rep", "root"), "level-0")
+    for again in range(1, PIVOTS):
+        # Another pivot per node, and only the documents of other components meet it.
+        seen = saved(rooted(roots, "rep", "root"), "roots-again")
+        pivots = seen.groupBy("node").agg(
+            F.min_by(F.struct("rep", "root"), F.xxhash64("rep", F.lit(again))).alias("p")
+        )
+        met = seen.join(pivots, "node").where(F.col("root") != F.col("p.root"))
+        met = met.select("rep", F.col("p.rep").alias("pivot")).distinct()
+        more, links = linked_to_pivots(met)
+        candidates = candidates.unionByName(more)
+        first = saved(first.unionByName(links).distinct(), "links-so-far")
+        known = components(first).select(F.col("x").alias("rep"), "root")
+
+    level = saved(rooted(roots, "rep", "root"), "level-0")
     small = []
     for depth in range(LEVELS):
         level = level.join(mixed_nodes(level, depth), "node")
