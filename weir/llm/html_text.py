@@ -1,6 +1,6 @@
 """Main text of web pages by removing what a site repeats.
 
-Each page is read once into blocks of text and a hash per element subtree. Spark counts on
+Each page is read into blocks of text and a hash per element subtree. Spark counts on
 how many pages of its host every subtree occurs; subtrees that recur on many pages are the
 site's template and go. Elements whose tag, class or role says that they are no content
 (menus, adverts, forms, comments ...) go as well, for sites with too few pages to count.
@@ -202,59 +202,62 @@ def extract(
 ) -> DataFrame:
     """(id, url, text, n_chars) of every page."""
     kinds = dict(df.dtypes)
+    key = F.xxhash64(html_col)
 
     def start():
         def parse(rows):
-            out = []
-            for row_id, url, host, html in rows:
-                page = Page(html or "")
-                out.append((row_id, url, host, page.blocks, page.nodes))
-            return out
+            # The hashes of a page, each once; its text is read again when it is wanted.
+            return [
+                (row_id, k, host, sorted({digest for digest, _, _ in Page(html or "").nodes}))
+                for row_id, k, host, html in rows
+            ]
 
         return parse
 
-    pages = saved(
+    pages = df.select(
+        F.col(id_col).alias("__id"), key.alias("__key"), host_of(url_col).alias("__host"), html_col
+    )
+    nodes = saved(
         map_rows(
-            df.select(id_col, url_col, host_of(url_col).alias("__host"), html_col),
-            f"{id_col} {kinds[id_col]}, {url_col} {kinds[url_col]}, __host string,"
-            " __blocks array<struct<text: string, zone: int, off: boolean>>,"
-            " __nodes array<struct<hash: bigint, first: int, end: int>>",
+            pages.where(F.col("__host").isNotNull()),
+            f"__id {kinds[id_col]}, __key bigint, __host string, __hashes array<bigint>",
             start,
-        ).withColumn("__row", F.monotonically_increasing_id()),
-        "pages",
-    )
-    seen = pages.where(F.col("__host").isNotNull()).select(
-        "__row", "__host", F.explode(F.array_distinct(F.col("__nodes.hash"))).alias("hash")
+        ),
+        "page-nodes",
     )
+    seen = nodes.select("__id", "__key", "__host", F.explode("__hashes").alias("hash"))
     # Counts per host merge on the map side; there are fewer of them than pages.
-    sizes = pages.groupBy("__host").agg((F.count(F.lit(1)) * least_share).alias("least"))
+    sizes = nodes.groupBy("__host").agg((F.count(F.lit(1)) * least_share).alias("least"))
     counts = seen.groupBy("__host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    template = (
+    template = saved(
         counts.where(F.col("n") >= least_pages)
         .join(sizes, "__host")
         .where("n >= least")
-        .select("__host", "hash")
+        .select("__host", "hash"),
+        "page-template",
     )
-    hit = seen.join(template, ["__host", "hash"]).groupBy("__row").agg(
+    hit = seen.join(template, ["__host", "hash"]).groupBy("__id", "__key", "__host").agg(
         F.collect_set("hash").alias("__template")
     )
 
     def finish():
         def text(rows):
             out = []
-            for row_id, url, blocks, nodes, template in rows:
-                found = main_text(
-                    [tuple(b.values()) for b in blocks], [tuple(x.values()) for x in nodes],
-                    set(template or ()),
-                )
+            for row_id, url, html, template in rows:
+                page = Page(html or "")
+                found = main_text(page.blocks, page.nodes, set(template or ()))
                 out.append((row_id, url, found, len(found)))
             return out
 
         return text
 
-    joined = pages.join(hit, "__row", "left")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (key == F.col("__key"))
+    same &= host_of(url_col) == F.col("__host")
+    joined = df.select(id_col, url_col, html_col).join(
+        hit.select("__id", "__key", "__host", "__template"), same, "left"
+    )
     return map_rows(
-        joined.select(id_col, url_col, "__blocks", "__nodes", "__template"),
+        joined.select(id_col, url_col, html_col, "__template"),
         f"{id_col} {kinds[id_col]}, {url_col} {kinds[url_col]}, text string, n_chars bigint",
         finish,
     )
