@@ -1,8 +1,10 @@
 """Main text of web pages by removing what a site repeats.
 
-Each page is read into blocks of text and a hash per element subtree. Spark counts on
-how many pages of its host every subtree occurs; subtrees that recur on many pages are the
-site's template and go. Elements whose tag, class or role says that they are no content
+Each page is read into blocks of text and a hash per element subtree. Spark counts in how
+many different elements of its host's pages every subtree occurs; subtrees that recur in many
+are the site's template and go. A page under several urls, or an article with other menus
+around it, has its parts in equal elements, which count once. A subtree that holds the article
+(or main) or most of a page's text never goes, and templates alone leave no page without text. Elements whose tag, class or role says that they are no content
 (menus, adverts, forms, comments ...) go as well, for sites with too few pages to count.
 What is left of the article (or main) element is the text, or all that is left when a page
 has neither. An article's own paragraphs are not counted: they are content on every page.
@@ -10,7 +12,7 @@ has neither. An article's own paragraphs are not counted: they are content on ev
 Definite results: null or empty html gives an empty text; so does a page without text. Pages
 without a host have no site to compare with and keep all but the marked elements. Tags that
 never close end with their parent, a tag or comment cut off at the end is dropped. Repeated
-rows count as pages of their own and keep their rows; other columns are ignored.
+rows keep their rows and count once; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from weir.llm.common import map_rows, saved
 
-# A subtree is template from this many pages of its host on, if they are this share of all.
+# A subtree is template from this many places on its host on, if they are this share of its pages.
 LEAST_PAGES, LEAST_SHARE = 4, 0.02
 
 # Elements of HTML by what they mean here.
@@ -68,54 +70,97 @@ def marked(tag: str, attributes: str) -> bool:
     return tag not in ("html", "body", "article", "main") and not MARKS.isdisjoint(words)
 
 
+class Element:
+    """An element of a page: where its blocks lie and what its hash is made of."""
+
+    __slots__ = ("tag", "parent", "zone", "off", "first", "end", "parts", "digest", "holds", "number")
+
+    def __init__(self, number: int, tag: str, parent: int, zone: int, off: bool, first: int):
+        self.number, self.tag, self.parent = number, tag, parent
+        self.zone, self.off, self.first = zone, off, first
+        self.end, self.digest, self.holds = first, 0, False
+        # Own texts, and the numbers of the elements inside.
+        self.parts: list[str | int] = [tag]
+
+
 class Page:
-    """Blocks of text with their zones, and the hashed subtrees that cover them."""
+    """Blocks of text with their zones, and the hashed subtrees that cover them.
+
+    ``nodes`` has the subtrees that may be template: digest, digest of the element around it,
+    first block and the block after the last. Marked elements take no part in digests.
+    """
 
     def __init__(self, html: str):
         self.blocks: list[tuple[str, int, bool]] = []
-        self.nodes: list[tuple[int, int, int]] = []
-        self.open: list[list] = []
+        self.nodes: list[tuple[int, int, int, int]] = []
+        self.elements: list[Element] = []
+        self.open: list[Element] = []
         self.text: list[str] = []
         self.push("", "")
         self.read(html)
         while self.open:
             self.pop()
+        self.settle()
 
-    # An open element: tag, first block, parts for its hash, zone, marked as no content.
     def push(self, tag: str, attributes: str) -> None:
         self.end_block()
-        zone, off = (self.open[-1][3], self.open[-1][4]) if self.open else (OTHER, False)
+        n, above = len(self.elements), self.open[-1] if self.open else None
+        zone, off = (above.zone, above.off) if above else (OTHER, False)
         if tag == "header":
             off = off or zone == OTHER
         zone = max(zone, {"article": ARTICLE, "main": MAIN}.get(tag, OTHER))
-        self.open.append([tag, len(self.blocks), [tag], zone, off or marked(tag, attributes)])
+        parent = -1
+        if above:
+            parent = above.number
+            above.parts.append(n)
+        new = Element(n, tag, parent, zone, off or marked(tag, attributes), len(self.blocks))
+        self.elements.append(new)
+        self.open.append(new)
 
     def pop(self) -> None:
         self.end_block()
-        tag, first, parts, zone, _ = self.open.pop()
-        digest = xxhash.xxh64_intdigest("\x00".join(parts)) - (1 << 63)
-        if self.open:
-            self.open[-1][2].append(str(digest))
-        if tag and zone != ARTICLE and first < len(self.blocks):
-            self.nodes.append((digest, first, len(self.blocks)))
+        self.open.pop().end = len(self.blocks)
 
     def end_block(self) -> None:
         if self.text:
             found = SPACE.sub(" ", unescape("".join(self.text))).strip()
             self.text.clear()
             if found:
-                _, _, parts, zone, off = self.open[-1]
-                parts.append(found)
-                self.blocks.append((found, zone, off))
+                inner = self.open[-1]
+                inner.parts.append(found)
+                self.blocks.append((found, inner.zone, inner.off))
+
+    def settle(self) -> None:
+        """Hash the elements from the inside out, and list those that may be template."""
+        upto = [0]
+        for text, _, _ in self.blocks:
+            upto.append(upto[-1] + len(text))
+        for e in reversed(self.elements):
+            inside = [self.elements[x] for x in e.parts if isinstance(x, int)]
+            e.holds = any(x.holds for x in inside) or (e.tag in ("article", "main") and e.first < e.end)
+            parts = [x if isinstance(x, str) else str(self.elements[x].digest)
+                     for x in e.parts if isinstance(x, str) or not self.elements[x].off]
+            e.digest = xxhash.xxh64_intdigest("\x00".join(parts)) - (1 << 63)
+        for e in self.elements[1:]:
+            size = upto[e.end] - upto[e.first]
+            if size and not e.off and not e.holds and 2 * size <= upto[-1] and e.zone != ARTICLE:
+                self.nodes.append((e.digest, self.elements[e.parent].digest, e.first, e.end))
+
+    def hashes(self) -> list[tuple[int, int]]:
+        """The digests of ``nodes``, each once, with the least digest of an element around it."""
+        found: dict[int, int] = {}
+        for digest, around, _, _ in self.nodes:
+            found[digest] = min(around, found.get(digest, around))
+        return sorted(found.items())
 
     def close(self, names: set[str], within: set[str]) -> None:
         """Close up to the innermost element of these names, not reaching past ``within``."""
         for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] in names:
+            if self.open[i].tag in names:
                 while len(self.open) > i:
                     self.pop()
                 return
-            if self.open[i][0] in within:
+            if self.open[i].tag in within:
                 return
 
     def read(self, html: str) -> None:
@@ -173,15 +218,16 @@ class Page:
                     self.push(tag, attributes)
 
 
-def main_text(
-    blocks: list[tuple[str, int, bool]], nodes: list[tuple[int, int, int]], template: set[int]
-) -> str:
+def main_text(page: Page, template: set[int]) -> str:
     """The blocks of a page outside template subtrees and marked elements."""
-    gone = [off for _, _, off in blocks]
-    for digest, first, end in nodes:
+    gone = [off for _, _, off in page.blocks]
+    for digest, _, first, end in page.nodes:
         if digest in template:
             gone[first:end] = [True] * (end - first)
-    left = [(text, zone) for (text, zone, _), off in zip(blocks, gone) if not off]
+    if all(gone):
+        # Templates alone leave no page without text.
+        gone = [off for _, _, off in page.blocks]
+    left = [(text, zone) for (text, zone, _), off in zip(page.blocks, gone) if not off]
     best = max((zone for _, zone in left), default=OTHER)
     return "\n".join(text for text, zone in left if zone == best)
 
@@ -208,7 +254,7 @@ def extract(
         def parse(rows):
             # The hashes of a page, each once; its text is read again when it is wanted.
             return [
-                (row_id, k, host, sorted({digest for digest, _, _ in Page(html or "").nodes}))
+                (row_id, k, host, [{"hash": h, "around": a} for h, a in Page(html or "").hashes()])
                 for row_id, k, host, html in rows
             ]
 
@@ -220,15 +266,17 @@ def extract(
     nodes = saved(
         map_rows(
             pages.where(F.col("__host").isNotNull()),
-            f"__id {kinds[id_col]}, __key bigint, __host string, __hashes array<bigint>",
+            f"__id {kinds[id_col]}, __key bigint, __host string, __hashes array<struct<hash:bigint,around:bigint>>",
             start,
         ),
         "page-nodes",
     )
-    seen = nodes.select("__id", "__key", "__host", F.explode("__hashes").alias("hash"))
+    seen = nodes.select("__id", "__key", "__host", F.inline("__hashes"))
     # Counts per host merge on the map side; there are fewer of them than pages.
     sizes = nodes.groupBy("__host").agg((F.count(F.lit(1)) * least_share).alias("least"))
-    counts = seen.groupBy("__host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    # Copies of a page have the same element around a subtree, so they count once.
+    places = seen.select("__host", "hash", "around").distinct()
+    counts = places.groupBy("__host", "hash").agg(F.count(F.lit(1)).alias("n"))
     template = saved(
         counts.where(F.col("n") >= least_pages)
         .join(sizes, "__host")
@@ -244,8 +292,7 @@ def extract(
         def text(rows):
             out = []
             for row_id, url, html, template in rows:
-                page = Page(html or "")
-                found = main_text(page.blocks, page.nodes, set(template or ()))
+                found = main_text(Page(html or ""), set(template or ()))
                 out.append((row_id, url, found, len(found)))
             return out
 
