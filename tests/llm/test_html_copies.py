@@ -27,3 +27,20 @@ def test_equal_articles_between_other_menus(spark):
     bare = "<nav>menu {0}</nav>" + BODY + "<footer>foot {0}</footer>"
     for form in (wrapped, bare):
         assert texts(spark, [form.format(i) for i in range(7)]) == [WANT] * 7
+
+
+def test_boxes_that_recur_inside_articles_go(spark):
+    box = "<div class=x><h3>Letters</h3><p>Get our letters each week</p></div>"
+    page = "<main><article><h1>Head {0}</h1><p>Long text of page {0} and more of it</p>" + box + "<p>End</p></article></main>"
+    want = [f"Head {i}\nLong text of page {i} and more of it\nEnd" for i in range(6)]
+    assert texts(spark, [page.format(i) for i in range(6)]) == want
+    once = texts(spark, [page.format(1)])
+    assert once == ["Head 1\nLong text of page 1 and more of it\nLetters\nGet our letters each week\nEnd"]
+
+
+def test_zone_by_amount_of_text(spark):
+    teaser = "<article>Teaser</article>"
+    inside = f"<main><p>The content of this page, at some length</p>{teaser}</main>"
+    beside = f"<div>The content of this page, at some length</div>{teaser}"
+    found = texts(spark, [inside, beside, "<div>Chrome</div><article>The content</article>"])
+    assert found == ["The content of this page, at some length\nTeaser"] * 2 + ["The content"]

@@ -6,8 +6,10 @@ are the site's template and go. A page under several urls, or an article with ot
 around it, has its parts in equal elements, which count once. A subtree that holds the article
 (or main) or most of a page's text never goes, and templates alone leave no page without text. Elements whose tag, class or role says that they are no content
 (menus, adverts, forms, comments ...) go as well, for sites with too few pages to count.
-What is left of the article (or main) element is the text, or all that is left when a page
-has neither. An article's own paragraphs are not counted: they are content on every page.
+What is left of the article elements is the text if it is at least half of what is left of
+main and articles, else both; and if that is less than a quarter of all that is left, all is.
+Inside articles boxes are counted too (div, section, list ...), but not single paragraphs: they
+are content on every page.
 
 Definite results: null or empty html gives an empty text; so does a page without text. Pages
 without a host have no site to compare with and keep all but the marked elements. Tags that
@@ -60,6 +62,14 @@ LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 CUT_OFF = re.compile(r"<[/!?a-zA-Z][^>]*\Z", re.S)
 SPACE = re.compile(r"[\s\x1c-\x1f]+")
 OTHER, MAIN, ARTICLE = 0, 1, 2
+# Subtrees that are looked at inside an article, where single paragraphs are content.
+BOXES = set(
+    "div section header footer nav aside form fieldset ul ol dl table figure details dialog menu "
+    "center".split()
+)
+# An article is taken for the text from this share of the text of main and articles on, main and
+# articles from that share of all text.
+ARTICLE_SHARE, MAIN_SHARE = 0.5, 0.25
 
 
 def marked(tag: str, attributes: str) -> bool:
@@ -143,7 +153,8 @@ class Page:
             e.digest = xxhash.xxh64_intdigest("\x00".join(parts)) - (1 << 63)
         for e in self.elements[1:]:
             size = upto[e.end] - upto[e.first]
-            if size and not e.off and not e.holds and 2 * size <= upto[-1] and e.zone != ARTICLE:
+            counted = e.zone != ARTICLE or e.tag in BOXES
+            if size and counted and not e.off and not e.holds and 2 * size <= upto[-1]:
                 self.nodes.append((e.digest, self.elements[e.parent].digest, e.first, e.end))
 
     def hashes(self) -> list[tuple[int, int]]:
@@ -228,8 +239,11 @@ def main_text(page: Page, template: set[int]) -> str:
         # Templates alone leave no page without text.
         gone = [off for _, _, off in page.blocks]
     left = [(text, zone) for (text, zone, _), off in zip(page.blocks, gone) if not off]
-    best = max((zone for _, zone in left), default=OTHER)
-    return "\n".join(text for text, zone in left if zone == best)
+    sizes = [sum(len(text) for text, zone in left if zone >= least) for least in (OTHER, MAIN, ARTICLE)]
+    best = ARTICLE if sizes[ARTICLE] and sizes[ARTICLE] >= ARTICLE_SHARE * sizes[MAIN] else MAIN
+    if not sizes[best] or sizes[best] < MAIN_SHARE * sizes[OTHER]:
+        best = OTHER
+    return "\n".join(text for text, zone in left if zone >= best)
 
 
 def host_of(url_col: str):
