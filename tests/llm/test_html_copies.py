@@ -44,3 +44,28 @@ def test_zone_by_amount_of_text(spark):
     beside = f"<div>The content of this page, at some length</div>{teaser}"
     found = texts(spark, [inside, beside, "<div>Chrome</div><article>The content</article>"])
     assert found == ["The content of this page, at some length\nTeaser"] * 2 + ["The content"]
+
+
+def test_marks_do_not_empty_pages(spark):
+    body = "<h1 class='entry-header'>Head</h1><p>Some text of the page</p><section id='related-work'><p>Related</p></section>"
+    want = "Head\nSome text of the page\nRelated"
+    article, plain = f"<article>{body}</article>", f"<div>{body}</div>"
+    names = ["content with-sidebar", "has-comments", "page-header", "search-result", "share-enabled", "no-sidebar", "sidebar", "widget"]
+    pages = [f"<div class='{name}'>{inner}</div><footer>f</footer>" for name in names for inner in (article, plain)]
+    pages += [f"<form action=x>{inner}<div class=sidebar>s</div></form>" for inner in (article, plain)]
+    assert texts(spark, pages) == [want] * len(pages)
+    unclosed = [f"<body><{tag}><a>Home</a>{article}</body>" for tag in ("nav", "aside", "form", "div class=menu")]
+    assert texts(spark, unclosed) == [want] * 4
+    assert texts(spark, [f"<body><div><nav><a>Home</a>{plain}</div>"]) == ["Home\n" + want]
+
+
+def test_marks_that_hold(spark):
+    comments = "<div class=comments><article>First, a long comment on it</article></div>"
+    marked = "<div class='cookie-banner'>c</div><div id=sidebar>s</div><aside>a long aside, longer than the text</aside>"
+    assert texts(spark, [f"{marked}<article>The text</article>{comments}", f"{marked}<p>Nothing else but text, which is the most</p>"]) == [
+        "The text", "Nothing else but text, which is the most",
+    ]
+    inside = "<main><p>The text of it</p><section class=comments><article>{}</article></section></main>"
+    assert texts(spark, [inside.format("A comment"), inside.format("A comment longer than the text")]) == [
+        "The text of it", "The text of it\nA comment longer than the text",
+    ]

@@ -5,7 +5,9 @@ many different elements of its host's pages every subtree occurs; subtrees that
 are the site's template and go. A page under several urls, or an article with other menus
 around it, has its parts in equal elements, which count once. A subtree that holds the article
 (or main) or most of a page's text never goes, and templates alone leave no page without text. Elements whose tag, class or role says that they are no content
-(menus, adverts, forms, comments ...) go as well, for sites with too few pages to count.
+(menus, adverts, forms, comments ...) go as well, for sites with too few pages to count. Such a
+mark does not hold for an element that is never closed, that has the page's only article or main
+inside, or that has most of the page's text and is marked by class, id, role or as a form.
 What is left of the article elements is the text if it is at least half of what is left of
 main and articles, else both; and if that is less than a quarter of all that is left, all is.
 Inside articles boxes are counted too (div, section, list ...), but not single paragraphs: they
@@ -40,6 +42,9 @@ BLOCKS = set(
 RAW = set("script style noscript template textarea title svg math iframe object select head".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 NO_CONTENT = set("nav footer aside form menu dialog button label fieldset".split())
+FORMS = {"form", "fieldset"}
+NEVER_MARKED = set("html body article main h1 h2 h3 h4 h5 h6".split())
+MAY_STAY_OPEN = set("p li dt dd tr td th thead tbody tfoot caption".split())
 PARAGRAPH_ENDS = BLOCKS - {"html", "body"}
 SAME_LEVEL = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -62,6 +67,8 @@ LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 CUT_OFF = re.compile(r"<[/!?a-zA-Z][^>]*\Z", re.S)
 SPACE = re.compile(r"[\s\x1c-\x1f]+")
 OTHER, MAIN, ARTICLE = 0, 1, 2
+ZONES = {"main": MAIN, "article": ARTICLE}
+NOT, BY_WORD, BY_TAG = 0, 1, 2
 # Subtrees that are looked at inside an article, where single paragraphs are content.
 BOXES = set(
     "div section header footer nav aside form fieldset ul ol dl table figure details dialog menu "
@@ -72,23 +79,29 @@ BOXES = set(
 ARTICLE_SHARE, MAIN_SHARE = 0.5, 0.25
 
 
-def marked(tag: str, attributes: str) -> bool:
-    """Whether tag or attributes say that an element is no content."""
+def marked(tag: str, attributes: str) -> int:
+    """How tag or attributes say that an element is no content: BY_TAG, BY_WORD or NOT."""
     if tag in NO_CONTENT:
-        return True
-    words = (w for m in MARKED.finditer(attributes) for w in re.split(r"[\s\"'_-]+", m[1].lower()))
-    return tag not in ("html", "body", "article", "main") and not MARKS.isdisjoint(words)
+        return BY_WORD if tag in FORMS else BY_TAG
+    if tag in NEVER_MARKED:
+        return NOT
+    for found in MARKED.finditer(attributes):
+        for name in found[1].lower().strip("\"'").split():
+            # All words of a name have to be marks: "with-sidebar" says nothing of the element.
+            if MARKS.issuperset(w for w in re.split("[_-]+", name) if w):
+                return BY_WORD
+    return NOT
 
 
 class Element:
     """An element of a page: where its blocks lie and what its hash is made of."""
 
-    __slots__ = ("tag", "parent", "zone", "off", "first", "end", "parts", "digest", "holds", "number")
+    __slots__ = ("number", "tag", "parent", "zone", "mark", "off", "first", "end", "parts", "digest", "holds")
 
-    def __init__(self, number: int, tag: str, parent: int, zone: int, off: bool, first: int):
+    def __init__(self, number: int, tag: str, parent: int, zone: int, mark: int, first: int):
         self.number, self.tag, self.parent = number, tag, parent
-        self.zone, self.off, self.first = zone, off, first
-        self.end, self.digest, self.holds = first, 0, False
+        self.zone, self.mark, self.first = zone, mark, first
+        self.off, self.end, self.digest, self.holds = False, first, 0, OTHER
         # Own texts, and the numbers of the elements inside.
         self.parts: list[str | int] = [tag]
 
@@ -115,21 +128,26 @@ class Page:
     def push(self, tag: str, attributes: str) -> None:
         self.end_block()
         n, above = len(self.elements), self.open[-1] if self.open else None
-        zone, off = (above.zone, above.off) if above else (OTHER, False)
-        if tag == "header":
-            off = off or zone == OTHER
-        zone = max(zone, {"article": ARTICLE, "main": MAIN}.get(tag, OTHER))
+        zone = above.zone if above else OTHER
+        mark = marked(tag, attributes)
+        if tag == "header" and zone == OTHER:
+            mark = BY_WORD
+        zone = max(zone, ZONES.get(tag, OTHER))
         parent = -1
         if above:
             parent = above.number
             above.parts.append(n)
-        new = Element(n, tag, parent, zone, off or marked(tag, attributes), len(self.blocks))
+        new = Element(n, tag, parent, zone, mark, len(self.blocks))
         self.elements.append(new)
         self.open.append(new)
 
-    def pop(self) -> None:
+    def pop(self, closed: bool = False) -> None:
         self.end_block()
-        self.open.pop().end = len(self.blocks)
+        last = self.open.pop()
+        last.end = len(self.blocks)
+        if not closed and last.tag not in MAY_STAY_OPEN:
+            # It has taken in what follows it, so its mark says nothing.
+            last.mark = NOT
 
     def end_block(self) -> None:
         if self.text:
@@ -138,16 +156,32 @@ class Page:
             if found:
                 inner = self.open[-1]
                 inner.parts.append(found)
-                self.blocks.append((found, inner.zone, inner.off))
+                self.blocks.append((found, inner.zone, inner.number))
 
     def settle(self) -> None:
-        """Hash the elements from the inside out, and list those that may be template."""
+        """Settle which marks hold, hash the elements from the inside out, list possible template."""
         upto = [0]
         for text, _, _ in self.blocks:
             upto.append(upto[-1] + len(text))
         for e in reversed(self.elements):
-            inside = [self.elements[x] for x in e.parts if isinstance(x, int)]
-            e.holds = any(x.holds for x in inside) or (e.tag in ("article", "main") and e.first < e.end)
+            inside = (self.elements[x].holds for x in e.parts if isinstance(x, int))
+            e.holds = max(inside, default=OTHER)
+            if e.first < e.end:
+                e.holds = max(e.holds, ZONES.get(e.tag, OTHER))
+        self.spread()
+        zones = [zone for _, zone, _ in self.blocks]
+        alone = all(z == OTHER or self.elements[n].off for z, (_, _, n) in zip(zones, self.blocks))
+        for e in self.elements:
+            if e.mark == BY_WORD and 2 * (upto[e.end] - upto[e.first]) > upto[-1]:
+                e.mark = NOT
+                if e.zone:
+                    # Articles inside are as much content as what is around it, not more.
+                    zones[e.first : e.end] = [min(z, e.zone) for z in zones[e.first : e.end]]
+            elif e.mark and e.holds and alone:
+                e.mark = NOT
+        self.spread()
+        self.blocks = [(text, z, self.elements[n].off) for (text, _, n), z in zip(self.blocks, zones)]
+        for e in reversed(self.elements):
             parts = [x if isinstance(x, str) else str(self.elements[x].digest)
                      for x in e.parts if isinstance(x, str) or not self.elements[x].off]
             e.digest = xxhash.xxh64_intdigest("\x00".join(parts)) - (1 << 63)
@@ -157,6 +191,11 @@ class Page:
             if size and counted and not e.off and not e.holds and 2 * size <= upto[-1]:
                 self.nodes.append((e.digest, self.elements[e.parent].digest, e.first, e.end))
 
+    def spread(self) -> None:
+        """What lies in a marked element is off."""
+        for e in self.elements:
+            e.off = e.mark != NOT or (e.parent >= 0 and self.elements[e.parent].off)
+
     def hashes(self) -> list[tuple[int, int]]:
         """The digests of ``nodes``, each once, with the least digest of an element around it."""
         found: dict[int, int] = {}
@@ -164,12 +203,13 @@ class Page:
             found[digest] = min(around, found.get(digest, around))
         return sorted(found.items())
 
-    def close(self, names: set[str], within: set[str]) -> None:
+    def close(self, names: set[str], within: set[str], closed: bool = False) -> None:
         """Close up to the innermost element of these names, not reaching past ``within``."""
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in names:
-                while len(self.open) > i:
+                while len(self.open) > i + 1:
                     self.pop()
+                self.pop(closed)
                 return
             if self.open[i].tag in within:
                 return
@@ -217,7 +257,7 @@ class Page:
             elif closing:
                 if tag == "p" or tag in BLOCKS | NO_CONTENT:
                     self.end_block()
-                    self.close({tag}, {"article", "body", "td"} - {tag} if tag == "p" else set())
+                    self.close({tag}, {"article", "body", "td"} - {tag} if tag == "p" else set(), True)
             else:
                 if tag in PARAGRAPH_ENDS:
                     self.close({"p"}, {"article", "section", "div", "td", "li", "blockquote"})
