@@ -69,3 +69,11 @@ def test_marks_that_hold(spark):
     assert texts(spark, [inside.format("A comment"), inside.format("A comment longer than the text")]) == [
         "The text of it", "The text of it\nA comment longer than the text",
     ]
+
+
+def test_unrelated_pages_change_nothing(spark):
+    section = ["<div>Notice of this section</div><div>Content of page %d, some more of it</div>" % i for i in range(5)]
+    other = ["<div>Elsewhere %d</div><div>Text number %d of another kind</div>" % (i, i) for i in range(400)]
+    want = ["Content of page %d, some more of it" % i for i in range(5)]
+    assert texts(spark, section) == want
+    assert texts(spark, section + other)[:5] == want

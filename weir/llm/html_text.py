@@ -1,8 +1,8 @@
 """Main text of web pages by removing what a site repeats.
 
 Each page is read into blocks of text and a hash per element subtree. Spark counts in how
-many different elements of its host's pages every subtree occurs; subtrees that recur in many
-are the site's template and go. A page under several urls, or an article with other menus
+many different elements of its host's pages every subtree occurs; subtrees that recur at least
+``LEAST_PAGES`` are the site's template and go, so other pages of a host change no result. A page under several urls, or an article with other menus
 around it, has its parts in equal elements, which count once. A subtree that holds the article
 (or main) or most of a page's text never goes, and templates alone leave no page without text. Elements whose tag, class or role says that they are no content
 (menus, adverts, forms, comments ...) go as well, for sites with too few pages to count. Such a
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from weir.llm.common import map_rows, saved
 
-# A subtree is template from this many places on its host on, if they are this share of its pages.
-LEAST_PAGES, LEAST_SHARE = 4, 0.02
+# A subtree is template from this many places on its host on, however large the host is.
+LEAST_PAGES = 4
 
 # Elements of HTML by what they mean here.
 BLOCKS = set(
@@ -69,6 +69,8 @@ SPACE = re.compile(r"[\s\x1c-\x1f]+")
 OTHER, MAIN, ARTICLE = 0, 1, 2
 ZONES = {"main": MAIN, "article": ARTICLE}
 NOT, BY_WORD, BY_TAG = 0, 1, 2
+# Single values of tables: equal ones say nothing.
+CELLS = {"td", "th", "dd"}
 # Subtrees that are looked at inside an article, where single paragraphs are content.
 BOXES = set(
     "div section header footer nav aside form fieldset ul ol dl table figure details dialog menu "
@@ -187,7 +189,8 @@ class Page:
             e.digest = xxhash.xxh64_intdigest("\x00".join(parts)) - (1 << 63)
         for e in self.elements[1:]:
             size = upto[e.end] - upto[e.first]
-            counted = e.zone != ARTICLE or e.tag in BOXES
+            cell = e.tag in CELLS and e.first + 1 == e.end
+            counted = e.tag in BOXES or (e.zone != ARTICLE and not cell)
             if size and counted and not e.off and not e.holds and 2 * size <= upto[-1]:
                 self.nodes.append((e.digest, self.elements[e.parent].digest, e.first, e.end))
 
@@ -298,7 +301,6 @@ def extract(
     url_col: str = "url",
     html_col: str = "html",
     least_pages: int = LEAST_PAGES,
-    least_share: float = LEAST_SHARE,
 ) -> DataFrame:
     """(id, url, text, n_chars) of every page."""
     kinds = dict(df.dtypes)
@@ -326,18 +328,10 @@ def extract(
         "page-nodes",
     )
     seen = nodes.select("__id", "__key", "__host", F.inline("__hashes"))
-    # Counts per host merge on the map side; there are fewer of them than pages.
-    sizes = nodes.groupBy("__host").agg((F.count(F.lit(1)) * least_share).alias("least"))
     # Copies of a page have the same element around a subtree, so they count once.
     places = seen.select("__host", "hash", "around").distinct()
     counts = places.groupBy("__host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    template = saved(
-        counts.where(F.col("n") >= least_pages)
-        .join(sizes, "__host")
-        .where("n >= least")
-        .select("__host", "hash"),
-        "page-template",
-    )
+    template = saved(counts.where(F.col("n") >= least_pages).select("__host", "hash"), "page-template")
     hit = seen.join(template, ["__host", "hash"]).groupBy("__id", "__key", "__host").agg(
         F.collect_set("hash").alias("__template")
     )
