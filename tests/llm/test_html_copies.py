@@ -77,3 +77,11 @@ def test_unrelated_pages_change_nothing(spark):
     want = ["Content of page %d, some more of it" % i for i in range(5)]
     assert texts(spark, section) == want
     assert texts(spark, section + other)[:5] == want
+
+
+def test_unclosed_raw_elements_cut_nothing(spark):
+    tags = ["svg", "math", "object", "template", "noscript", "iframe", "select><option>a<option"]
+    pages = [f"<body><div><{tag}></div><article>The text</article>" for tag in tags]
+    pages += ["<svg><article>The text</article><svg><title>t</title></svg>", "<svg><svg></svg>in it</svg><article>The text</article>"]
+    assert texts(spark, pages) == ["The text"] * len(pages)
+    assert texts(spark, ["<p>Before<script>x<article>The text</article>"]) == ["Before"]

@@ -15,7 +15,8 @@ are content on every page.
 
 Definite results: null or empty html gives an empty text; so does a page without text. Pages
 without a host have no site to compare with and keep all but the marked elements. Tags that
-never close end with their parent, a tag or comment cut off at the end is dropped. Repeated
+never close end with their parent (svg, object and the like are passed over, a script, style,
+textarea or title takes the rest), a tag or comment cut off at the end is dropped. Repeated
 rows keep their rows and count once; other columns are ignored.
 """
 
@@ -40,6 +41,9 @@ BLOCKS = set(
     "figcaption details summary address hr center dialog menu".split()
 )
 RAW = set("script style noscript template textarea title svg math iframe object select head".split())
+# Those of RAW that swallow all that follows when they are never closed, as in browsers.
+SWALLOWS = {"script", "style", "textarea", "title"}
+OPTIONS = re.compile(r"(?:\s*</?opt(?:ion|group)\b[^>]*>[^<]*)*", re.I)
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 NO_CONTENT = set("nav footer aside form menu dialog button label fieldset".split())
 FORMS = {"form", "fieldset"}
@@ -95,6 +99,18 @@ def marked(tag: str, attributes: str) -> int:
     return NOT
 
 
+def ends_of(tag: str, html: str) -> dict[int, int]:
+    """Where the elements of this tag start and end; those that are never closed are left out."""
+    found, begun = {}, []
+    for m in re.finditer(rf"<(/?){tag}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", html, re.I):
+        if not m[1]:
+            if not m[0].endswith("/>"):
+                begun.append(m.start())
+        elif begun:
+            found[begun.pop()] = m.end()
+    return found
+
+
 class Element:
     """An element of a page: where its blocks lie and what its hash is made of."""
 
@@ -219,6 +235,7 @@ class Page:
 
     def read(self, html: str) -> None:
         at, n = 0, len(html)
+        ends: dict[str, dict[int, int]] = {}
         while at < n:
             start = html.find("<", at)
             if start < 0:
@@ -250,11 +267,20 @@ class Page:
                 self.text.append(" ")
             elif tag in RAW and not closing:
                 if not attributes.endswith("/"):
-                    end = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(html, at)
-                    if end:
-                        at = end.end()
-                    elif tag != "head":
-                        return
+                    if tag in SWALLOWS or tag == "head":
+                        end = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(html, at)
+                        if end:
+                            at = end.end()
+                        elif tag != "head":
+                            return
+                    else:
+                        if tag not in ends:
+                            ends[tag] = ends_of(tag, html)
+                        # Without an end only the tag is skipped, and the options of a select.
+                        if start in ends[tag]:
+                            at = ends[tag][start]
+                        elif tag == "select":
+                            at = OPTIONS.match(html, at).end()
             elif tag in VOID - {"hr"} or tag not in BLOCKS | NO_CONTENT:
                 continue
             elif closing:
