@@ -218,6 +218,13 @@ CHECKS: dict[str, Check] = {
           WHERE eff_gas_day BETWEEN DATE '1999-01-01' AND DATE '1999-02-28')
         {GAPS_SQL.format(source="short")}""",
     ),
+    # The whole table, where locations have about 600 rows each.
+    "rule_gas_day_gaps_all": flow_check(
+        "RUL-6",
+        [*LOCATION, DAY, QUANTITY],
+        lambda df: rules.gas_day_gaps(df, 600),
+        GAPS_SQL.format(source="flows").replace("< 30", "< 600"),
+    ),
     "rule_counts": flow_check(
         "RUL-7",
         ALL,
