@@ -4,6 +4,10 @@ A text is cut into units, runs of up to ``UNIT`` characters other than white spa
 words stay whole and unbroken text still has parts. Every ``k`` consecutive units are hashed,
 and of every ``w`` consecutive hashes the smallest is kept, of equal ones the rightmost, with
 its position. Two texts that share a run of ``k + w - 1`` units therefore share a kept hash.
+Units of an unbroken run are counted from its start, so this does not hold in text without
+ASCII white space (Chinese, Japanese, Thai, base64, long urls): a passage whose offset in its run
+differs modulo ``UNIT`` has other units, and may share no hash. Each hash is the md5 of its units;
+there is no rolling hash.
 
 Everything is built from array functions; intermediate arrays are bound to names by
 ``transform(array(x), ...)``, which works them out once.
