@@ -1,16 +1,18 @@
-"""Exact top-k by inner product with vector-approximation files.
-
-Every vector is stored twice: as integers and as *cells*, one byte per component that names
-an interval of ``CELL`` integers. Cells of a block are scanned first: they bound each inner
-product from above and from below. The k-th best lower bound rules out most vectors; those
-left are read exactly, best upper bound first, until no unread vector can beat the k-th exact
-score. Blocks of rows meet blocks of queries, so a task holds one pair of blocks at a time;
+"""Exact top-k by inner product with bounds from cells.
+
+Vectors are stored once, as integers. In a block each component is rounded down to a multiple of
+``CELL``, its *cell*: cells bound each inner product from above and from below. The k-th best
+lower bound rules out vectors; the scores of those left are worked out exactly, best upper
+bound first, until no other vector can beat the k-th exact score. There is no
+vector-approximation file: cells are made from the whole vectors of the block, so they save
+exact products, but no read and no shuffle. Blocks of rows meet blocks of queries, so a task holds one pair of blocks at a time;
 each pair leaves its k best, and the best k of those per query are the result.
 
 Definite results: rows whose vector is null, has null or non-finite components, or lacks an
 id take no part, and neither do components' counts that differ from the query's. Ties go to
 the smaller id. Rows that share an id count one by one; a query leaves out every row with its
-own id. Other columns are ignored.
+own id, and an id that asks twice gets the partners of both rows in its k ranks, as in the SQL.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from weir.llm.common import saved
 CELL = 8
 # Rows and queries that meet in one task at a time.
 ROWS_PER_BLOCK, QUERIES_PER_BLOCK = 4_096, 1_024
-# Exact vectors are read in portions of this size per query.
+# Exact scores are worked out in portions of this size per query.
 PORTION = 64
 
 
