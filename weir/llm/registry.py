@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import queries_native, queries_tables, queries_text
+from weir.llm import queries_corpus, queries_native, queries_tables, queries_text
 
-MODULES = (queries_native, queries_tables, queries_text)
+MODULES = (queries_native, queries_tables, queries_text, queries_corpus)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in MODULES:
