@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weir.llm import divergence
-from weir.llm.common import table
+from weir.llm import divergence, quality, ranked_search
+from weir.llm.common import in_fold, table
 
 
 def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,5 +56,58 @@ WITH d AS (
 SELECT * FROM z WHERE part = 'pair' OR rank <= 50
 """
 
-QUERIES = {"op11_source_divergence": op11_source_divergence}
-ORACLE_SQL = {"op11_source_divergence": OP11_SQL}
+
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 best documents for every benchmark item."""
+    return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), d AS (
+  SELECT id, doc_id, w, len(w) AS n FROM w WHERE len(w) > 0
+), a AS (
+  SELECT count(*) AS total, sum(n) AS terms FROM d
+), i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), o AS (
+  SELECT id, unnest(w) AS term FROM d
+), p AS (
+  SELECT id, term, count(*) AS tf FROM o WHERE term IN (SELECT term FROM i) GROUP BY id, term
+), k AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(total) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM p, a GROUP BY term
+), m AS (
+  SELECT id, doc_id, CAST(50 + (50::HUGEINT * n * total) // terms AS BIGINT) AS m FROM d, a
+), s AS (
+  SELECT i.item_id, m.id, any_value(m.doc_id) AS doc_id,
+    CAST(sum(k.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * m.m))) AS BIGINT) AS score
+  FROM i JOIN k USING (term) JOIN p USING (term) JOIN m ON m.id = p.id GROUP BY i.item_id, m.id
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+  FROM s WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+
+def op13_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every text, learned from the labels outside the held-out fold."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = in_fold(F.col("doc_id"), 5, 0)
+    model = quality.fit(docs, labels, allowed=F.col("doc_id").isNotNull() & ~held_out)
+    found = quality.score(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+QUERIES = {
+    "op11_source_divergence": op11_source_divergence,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_quality": op13_quality,
+}
+ORACLE_SQL = {"op11_source_divergence": OP11_SQL, "op12_ranked_search": OP12_SQL}
