@@ -198,66 +198,76 @@ def skybands(rows: DataFrame, k: int) -> DataFrame:
     return rows.sortWithinPartitions(*order).mapInArrow(keep, rows.schema)
 
 
+_SUMS = pa.schema(
+    [("lang", pa.string()), ("lo", pa.int64()), ("hi", pa.int64()), ("value", pa.int64())]
+)
+
+
+class PairSums:
+    """Sums per pair of sources in blocks, handed on when a task holds many."""
+
+    def __init__(self) -> None:
+        self.blocks: dict[tuple[str, int, int], np.ndarray] = {}
+
+    def handed_on(self) -> Iterator[pa.RecordBatch]:
+        for (lang, i, j), block in self.blocks.items():
+            a, b = np.nonzero(block)
+            lo, hi = a + i * BLOCK, b + j * BLOCK
+            use = lo < hi
+            values = [pa.array(x[use]) for x in (lo, hi, block[a, b])]
+            langs = pa.repeat(pa.scalar(lang, pa.string()), len(values[0]))
+            yield pa.RecordBatch.from_arrays([langs, *values], schema=_SUMS)
+        self.blocks.clear()
+
+    def add(self, lang: str, place: np.ndarray, p: np.ndarray, base: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Add one term: the sources that hold it, their shares and their shares of count 0."""
+        order = np.argsort(place)
+        place, p, base = place[order], p[order], base[order]
+        # The sources of a block lie together.
+        cuts = [0, *(np.flatnonzero(np.diff(place // BLOCK)) + 1).tolist(), len(place)]
+        sides = [slice(a, b) for a, b in zip(cuts, cuts[1:])]
+        for x, left in enumerate(sides):
+            pa_, ba = p[left, None], base[left, None]
+            for right in sides[x:]:
+                pb, bb = p[None, right], base[None, right]
+                more = np.abs(pa_ - pb) - np.abs(pa_ - bb) - np.abs(ba - pb) + np.abs(ba - bb)
+                at = (lang, int(place[left][0]) // BLOCK, int(place[right][0]) // BLOCK)
+                if at not in self.blocks:
+                    if len(self.blocks) >= HELD_BLOCKS:
+                        yield from self.handed_on()
+                    self.blocks[at] = np.zeros((BLOCK, BLOCK), np.int64)
+                self.blocks[at][np.ix_(place[left] % BLOCK, place[right] % BLOCK)] += more
+
+
+def add_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of pairs for rows (lang, term, place, p, base) in the order of language and term."""
+    sums = PairSums()
+    # The last term of a batch may go on in the next one.
+    held: list[tuple[np.ndarray, ...]] = []
+    key = None
+    for batch in batches:
+        langs, terms = (batch.column(i).to_pylist() for i in (0, 1))
+        values = [batch.column(i).to_numpy() for i in (2, 3, 4)]
+        for start, end in _runs([langs, terms]):
+            if key is not None and key != (langs[start], terms[start]):
+                yield from sums.add(key[0], *map(np.concatenate, zip(*held)))
+                held = []
+            key = (langs[start], terms[start])
+            held.append(tuple(v[start:end] for v in values))
+    if key is not None:
+        yield from sums.add(key[0], *map(np.concatenate, zip(*held)))
+    yield from sums.handed_on()
+
+
 def common_terms(rows: DataFrame) -> DataFrame:
     """(lang, lo, hi, value): what the terms that two sources share change in their distance.
 
     ``rows`` holds (lang, term, place, p, base), ``place`` being the number of a source in its
     language; ``lo`` < ``hi`` are such numbers. Several rows of a pair are parts of one sum.
     """
-    schema = pa.schema(
-        [("lang", pa.string()), ("lo", pa.int64()), ("hi", pa.int64()), ("value", pa.int64())]
-    )
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[tuple[str, int, int], np.ndarray] = {}
-
-        def held() -> Iterator[pa.RecordBatch]:
-            for (lang, i, j), block in blocks.items():
-                a, b = np.nonzero(block)
-                lo, hi = a + i * BLOCK, b + j * BLOCK
-                use = lo < hi
-                lo, hi, values = lo[use], hi[use], block[a[use], b[use]]
-                columns = [pa.repeat(pa.scalar(lang, pa.string()), len(lo)), pa.array(lo), pa.array(hi), pa.array(values)]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
-            blocks.clear()
-
-        def one_term(lang: str, place: np.ndarray, p: np.ndarray, base: np.ndarray) -> Iterator[pa.RecordBatch]:
-            order = np.argsort(place)
-            place, p, base = place[order], p[order], base[order]
-            # The sources of a block lie together.
-            cuts = [0, *(np.flatnonzero(np.diff(place // BLOCK)) + 1).tolist(), len(place)]
-            sides = [slice(a, b) for a, b in zip(cuts, cuts[1:])]
-            for x, left in enumerate(sides):
-                pa_, ba = p[left, None], base[left, None]
-                for right in sides[x:]:
-                    pb, bb = p[None, right], base[None, right]
-                    more = np.abs(pa_ - pb) - np.abs(pa_ - bb) - np.abs(ba - pb) + np.abs(ba - bb)
-                    at = (lang, int(place[left][0]) // BLOCK, int(place[right][0]) // BLOCK)
-                    if at not in blocks:
-                        if len(blocks) >= HELD_BLOCKS:
-                            yield from held()
-                        blocks[at] = np.zeros((BLOCK, BLOCK), np.int64)
-                    blocks[at][np.ix_(place[left] % BLOCK, place[right] % BLOCK)] += more
-
-        left_over: list[tuple] = []
-        key = None
-        for batch in batches:
-            langs, terms = (batch.column(i).to_pylist() for i in (0, 1))
-            values = [batch.column(i).to_numpy() for i in (2, 3, 4)]
-            for start, end in _runs([langs, terms]):
-                if key is not None and key != (langs[start], terms[start]):
-                    if sum(len(x[0]) for x in left_over) > 1:
-                        yield from one_term(key[0], *map(np.concatenate, zip(*left_over)))
-                    left_over = []
-                key = (langs[start], terms[start])
-                left_over.append(tuple(v[start:end] for v in values))
-        if key is not None and sum(len(x[0]) for x in left_over) > 1:
-            yield from one_term(key[0], *map(np.concatenate, zip(*left_over)))
-        yield from held()
-
     rows = rows.select("lang", "term", "place", "p", "base").repartition("lang", "term")
     ordered = rows.sortWithinPartitions("lang", "term")
-    return ordered.mapInArrow(add, "lang string, lo bigint, hi bigint, value bigint")
+    return ordered.mapInArrow(add_common, "lang string, lo bigint, hi bigint, value bigint")
 
 
 def source_pairs(rows: DataFrame, groups: DataFrame) -> DataFrame:

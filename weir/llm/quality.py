@@ -147,13 +147,17 @@ class Grams:
         found: list[np.ndarray] = []
         runs: list[tuple[np.ndarray, np.ndarray]] = []
         for at in range(0, len(tokens), TOKENS_AT_ONCE):
-            # Runs reach into the next portion.
+            # Runs that start in this portion reach two tokens into the next one.
             part = tokens[at : at + TOKENS_AT_ONCE + 2]
             numbers = np.fromiter(map(self.tokens.__getitem__, part), np.int64, len(part))
             words, shapes = self.tokens.words[numbers], self.tokens.shapes[numbers]
             shapes[1:][numbers[1:] == numbers[:-1]] = self.again
-            found.append(self._distinct(np.concatenate([self._runs(words, n, n) for n in (1, 2)]))[0])
-            runs += [self._distinct(self._runs(shapes, n, 10 + n)) for n in (1, 2, 3)]
+            if at and tokens[at - 1] == tokens[at]:
+                shapes[0] = self.again
+            ends = [TOKENS_AT_ONCE + n - 1 for n in (1, 2, 3)]
+            slots = [self._runs(words[:end], n, n) for n, end in zip((1, 2), ends)]
+            found.append(self._distinct(np.concatenate(slots))[0])
+            runs += [self._distinct(self._runs(shapes[:end], n, 10 + n)) for n, end in zip((1, 2, 3), ends)]
         for k in range(3):
             slots, times = map(np.concatenate, zip(*runs[k::3]))
             slots, times = self._distinct(slots, times)
