@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks.common import DAY, LOCATION, QUANTITY, SIGN, Check, flow_check, p_nearest, r6, table_check
 from weir.functions.columns import distinct_with_null
-from weir.functions.order import bucket_quantiles
+from weir.functions.order import group_quantiles
 from weir.operators import aggregate as agg
 from weir.operators.resample import monthly_trend, resample, resample_grouped
 
@@ -145,7 +145,7 @@ CHECKS: dict[str, Check] = {
     "aggregate_p95_by_buckets": table_check(
         "AGG-7",
         "lineitem",
-        lambda df: bucket_quantiles(
+        lambda df: group_quantiles(
             df, ["l_returnflag"], "l_extendedprice", {"p95": 0.95, "p50": "median"}, None, 500
         ),
         f"""SELECT l_returnflag, {r6(p_nearest("l_extendedprice", 0.95))} AS p95,

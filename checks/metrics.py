@@ -24,7 +24,7 @@ SELECT pipeline_name, loc_name,
 CHECKS: dict[str, Check] = {
     "ramp_risk": flow_check("MET-1", [*LOCATION, DAY, QUANTITY], metrics.ramp_risk, RAMP_SQL),
     "ramp_risk_split": flow_check(
-        "MET-1", [*LOCATION, DAY, QUANTITY], metrics.ramp_risk_split, RAMP_SQL
+        "MET-1", [*LOCATION, DAY, QUANTITY], metrics.ramp_risk, RAMP_SQL
     ),
     "reversal_freq": flow_check(
         "MET-2",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import statistics
 
 import pytest
 
@@ -15,12 +16,11 @@ def test_ramp_risk_by_hand(spark):
     df = flows(
         spark, *[{"eff_gas_day": day(i), "scheduled_quantity": q} for i, q in enumerate(quantities)]
     )
-    for run in (metrics.ramp_risk, metrics.ramp_risk_split):
-        row = one(run(df))
-        assert row["p95_abs_delta"] == 20.0
-        assert row["median_flow"] == 100.0
-        assert row["ramp_risk"] == pytest.approx(0.2)
-        assert row["n_days"] == 4
+    row = one(metrics.ramp_risk(df))
+    assert row["p95_abs_delta"] == 20.0
+    assert row["median_flow"] == 100.0
+    assert row["ramp_risk"] == pytest.approx(0.2)
+    assert row["n_days"] == 4
 
 
 def test_ramp_risk_of_a_single_day_is_zero(spark):
@@ -28,7 +28,7 @@ def test_ramp_risk_of_a_single_day_is_zero(spark):
     assert row["ramp_risk"] == 0.0 and row["p95_abs_delta"] is None
 
 
-def test_ramp_risk_both_ways_agree(spark):
+def test_ramp_risk_of_a_hot_location(spark):
     rng = random.Random(5)
     rows = [
         {
@@ -38,10 +38,18 @@ def test_ramp_risk_both_ways_agree(spark):
         }
         for _ in range(600)
     ]
-    df = flows(spark, *rows)
-    plain = rows_of(metrics.ramp_risk(df, rows_per_task=10**6), "loc_name")
-    split = rows_of(metrics.ramp_risk(df, rows_per_task=1), "loc_name")
-    assert plain == split
+    found = {r["loc_name"]: r for r in rows_of(metrics.ramp_risk(flows(spark, *rows)))}
+    assert len(found) == 5
+    for name, r in found.items():
+        own = sorted(
+            (x["eff_gas_day"], -1e9 if x["scheduled_quantity"] is None else x["scheduled_quantity"])
+            for x in rows if x["loc_name"] == name
+        )
+        values = [None if q == -1e9 else q for _, q in own]
+        deltas = sorted(abs(b - a) for a, b in zip(values, values[1:]) if a is not None and b is not None)
+        assert r["n_days"] == len(own)
+        assert r["p95_abs_delta"] == deltas[int((len(deltas) - 1) * 0.95 + 0.5)]
+        assert r["median_flow"] == pytest.approx(statistics.median(q for q in values if q is not None))
 
 
 def test_reversals_by_hand(spark):

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import day, flows
-from weir.functions.order import bucket_quantiles
-from weir.operators import changepoint, cluster, decompose, metrics, rules
+from weir.functions.order import group_quantiles
+from weir.operators import changepoint, cluster, decompose, metrics, profile, rules
 from weir.operators.aggregate import aggregate, most_common
 from weir.plans import named
 from weir.sources.flows import read_flows
@@ -42,21 +42,25 @@ def test_series_need_two_shuffles(table):
 
 def test_one_shuffle_for_plain_metrics(table):
     assert shuffles(metrics.daily_rollup(table)) == 1
-    assert shuffles(metrics.ramp_risk_plain(table)) == 1
     assert shuffles(metrics.pipeline_summary(table)) == 1
-    p95 = [{"col": "scheduled_quantity", "fn": "p95"}, {"col": "scheduled_quantity", "fn": "sum"}]
-    assert shuffles(aggregate(table, ["loc_name"], p95)) == 1
     assert shuffles(rules.zero_quantity_days(table)) == 1
     assert shuffles(rules.missing_geo(table)) == 0
 
 
 def test_quantiles_do_not_shuffle_the_table(table):
-    plan = plan_of(bucket_quantiles(table, ["loc_name"], "scheduled_quantity", {"q": 0.95}))
+    plan = plan_of(group_quantiles(table, ["loc_name"], "scheduled_quantity", {"q": 0.95}))
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     # The table side of the join reads only what it needs.
     assert "ReadSchema: struct<loc_name:string,scheduled_quantity:double>" in plan
 
 
+def test_no_group_is_collected_for_a_quantile(table):
+    both = [{"col": "scheduled_quantity", "fn": fn} for fn in ("p95", "p50", "sum")]
+    numeric = profile.numeric_profile(table)
+    for df in (aggregate(table, ["loc_name"], both), aggregate(table, [], both), metrics.ramp_risk(table), numeric):
+        assert "collect_list" not in plan_of(df) and "percentile" not in plan_of(df)
+
+
 def test_top_values_are_cut_before_the_shuffle(table):
     plan = plan_of(most_common(table, ["loc_name", "state_abb"]))
     assert "row_number(), 3, Partial" in plan
@@ -77,7 +81,7 @@ def test_top_states_keeps_a_running_top(table):
 
 def test_nothing_is_joined_without_a_key(table):
     for df in (
-        metrics.ramp_risk_split(table),
+        metrics.ramp_risk(table),
         rules.violation_counts(table),
         rules.zero_quantity_streaks(table),
         cluster.standardized(cluster.build_features(table)),

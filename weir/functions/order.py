@@ -18,34 +18,33 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weir.session import read_twice, work_dir
+from weir.session import read_twice, written
 
 LARGEST_DOUBLE = 1.7976931348623157e308
 # Bucket widths, each 4096 times finer than the one before. A double has 52 bits after its
 # leading one, so a bucket of the finest width holds at most 2 ** 16 different values.
 STEPS_PER_OCTAVE = (1 << 12, 1 << 24, 1 << 36)
-# Rows of one group that a single task may sort and hold.
-ROWS_PER_TASK = 1_000_000
-# Rows of a small table that may be broadcast; above it Spark joins by shuffle.
-BROADCAST_ROWS = 1_000_000
+# A bucket with more rows than this, and with different values, is split by finer buckets.
+ROWS_PER_BUCKET = 1_000_000
+# A table is broadcast when its counted rows and texts take no more than this.
+BROADCAST_BYTES = 32 << 20
+# Memory of one broadcast row beside its texts.
+ROW_BYTES = 128
 
 
-def order_bucket(c: Column, steps_per_octave: int = STEPS_PER_OCTAVE[0]) -> Column:
+def order_bucket(column: str, steps_per_octave: int = STEPS_PER_OCTAVE[0]) -> Column:
     """Monotone bucket number of a numeric column; null stays null.
 
     Magnitudes are split at powers of two and every octave into equal steps, so the
     number of buckets does not depend on the number of rows.
     """
-    x = c.cast("double")
-    size = F.least(F.abs(x), F.lit(LARGEST_DOUBLE))
-    octave = F.floor(F.log2(size))
-    step = F.floor((size / F.pow(F.lit(2.0), octave) - 1) * steps_per_octave)
-    number = (octave + 1100) * steps_per_octave + step
-    return (
-        F.when(x.isNull(), F.lit(None).cast("bigint"))
-        .when(x == 0, F.lit(0).cast("bigint"))
-        .when(x > 0, number)
-        .otherwise(-number)
+    x = f"cast(`{column}` as double)"
+    size = f"least(abs({x}), {LARGEST_DOUBLE}D)"
+    octave = f"floor(log2({size}))"
+    step = f"floor(({size} / pow(2.0D, {octave}) - 1) * {steps_per_octave}L)"
+    number = f"(({octave} + 1100) * {steps_per_octave}L + {step})"
+    return F.expr(
+        f"case when {x} is null then null when {x} = 0 then 0L when {x} > 0 then {number} else -{number} end"
     )
 
 
@@ -70,12 +69,6 @@ def median_of_list(c: Column) -> Column:
     return F.when(n > 0, low + (high - low) / 2)
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest group; a job of its own that shuffles one count per group."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    return counts.agg(F.max("rows")).first()[0] or 0
-
-
 def median_is_positive(c: Column) -> Column:
     """Whether the interpolated median of a group is above zero, as one plain aggregate.
 
@@ -93,6 +86,12 @@ def median_is_positive(c: Column) -> Column:
     )
 
 
+def broadcast_size(texts: Sequence[str]) -> Column:
+    """Bytes that the rows of a table take when broadcast, with their texts, as an aggregate."""
+    lengths = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in texts]
+    return F.coalesce(F.sum(reduce(lambda a, b: a + b, lengths, F.lit(ROW_BYTES))), F.lit(0))
+
+
 def left_join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join on null-safe keys; the right side adds only its other columns."""
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
@@ -104,56 +103,31 @@ def left_join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) ->
     return left.join(renamed, on, "left").drop(*[f"__r_{k}" for k in keys])
 
 
-def quantile_of_list(c: Column, q: float | str) -> Column:
-    """Quantile as a plain aggregate, for groups counted or known to be small."""
-    return median_of_list(c) if q == "median" else nearest_of_list(c, q)
-
-
 def group_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     wanted: Mapping[str, float | str],
-    rows_per_task: int = ROWS_PER_TASK,
+    weight: str | None = None,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Exact quantiles of ``value`` per group, one row per group with a non-null value.
 
     ``wanted`` maps an output name to a fraction (nearest rank) or to ``"median"`` (mean of
-    the two middle values). A counting job over the key columns finds the largest group:
-    when a task can hold it, each group is sorted in one task (one shuffle), otherwise all
-    groups go through :func:`bucket_quantiles`.
-    """
-    rows = read_twice(df.where(F.col(value).isNotNull()).select(*keys, value))
-    if largest_group(rows, keys) > rows_per_task:
-        return bucket_quantiles(rows, keys, value, wanted)
-    exprs = [quantile_of_list(F.col(value), q).alias(name) for name, q in wanted.items()]
-    return rows.groupBy(*keys).agg(*exprs)
-
-
-def bucket_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    wanted: Mapping[str, float | str],
-    weight: str | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """As :func:`group_quantiles`, for groups of any size.
-
-    ``weight`` names a column of repeat counts.
+    the two middle values); ``weight`` names a column of repeat counts. Groups may have any
+    size: no task holds one.
 
     The first pass runs at once. It shuffles bucket counts only and leaves at most two
     buckets per group and quantile. Buckets that still hold too many different values are
     split by another such pass with finer buckets. The last pass, which is lazy, shuffles
     only the rows of the buckets that are left.
 
-    The bucket table is broadcast when it has ``broadcast_rows`` rows or fewer: Spark would
-    pick the join before it knows this size, and would shuffle every row of the table.
+    The bucket table is broadcast when its counted size is ``broadcast_bytes`` or less: Spark
+    would pick the join before it knows this size, and would shuffle every row of the table.
     Above that it is a shuffle join, in which adaptive execution splits hot partitions.
     """
     keys = list(keys)
-    work_dir(df.sparkSession)
     amount = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     rows = df.where(F.col(value).isNotNull()).select(
         *keys, F.col(value).alias("__v"), amount.alias("__w")
@@ -176,7 +150,7 @@ def bucket_quantiles(
 
     needed: DataFrame | None = None
     for level, steps in enumerate(STEPS_PER_OCTAVE):
-        finer = rows.withColumn("__b", order_bucket(F.col("__v"), steps))
+        finer = rows.withColumn("__b", order_bucket("__v", steps))
         if needed is None:
             inside, base = keys, F.lit(0)
             source = finer
@@ -196,25 +170,25 @@ def bucket_quantiles(
         )
         if needed is None:
             counts = counts.withColumn("__n", F.sum("__in").over(Window.partitionBy(*keys)))
-        found = (
-            counts.where(holds(F.col("__start"), F.col("__in")))
-            .select(
+        found = written(
+            counts.where(holds(F.col("__start"), F.col("__in"))).select(
                 *[F.col(k).alias(f"__r_{k}") for k in keys],
                 F.col("__b").alias("__p"),
                 F.col("__start").alias("__before"),
                 "__n",
                 "__in",
                 "__mixed",
-            )
-            .checkpoint()
+            ),
+            "buckets",
         )
+        most = F.max(F.when(F.col("__mixed"), F.col("__in")))
         size, most = found.agg(
-            F.count(F.lit(1)), F.coalesce(F.max(F.when(F.col("__mixed"), F.col("__in"))), F.lit(0))
+            broadcast_size([f"__r_{k}" for k in keys]), F.coalesce(most, F.lit(0))
         ).first()
         needed = found.drop("__in", "__mixed")
-        if size <= broadcast_rows:
+        if size <= broadcast_bytes:
             needed = F.broadcast(needed)
-        if most <= rows_per_task:
+        if most <= rows_per_bucket:
             break
 
     within = Window.partitionBy(*keys, "__p").orderBy("__v")
@@ -247,7 +221,7 @@ def _rows_of_buckets(
     same = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
     same.append(F.col("__at") == F.col("__p"))
     return (
-        rows.withColumn("__at", order_bucket(F.col("__v"), steps))
+        rows.withColumn("__at", order_bucket("__v", steps))
         .join(needed, reduce(lambda a, b: a & b, same))
         .drop("__at", *[f"__r_{k}" for k in keys])
     )
@@ -257,18 +231,17 @@ def sorted_slots(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """Range-sort the rows and tell each its sorted partition and its place in there.
 
     Adds ``__slot`` and ``__index``; rows of a lower slot come before those of a higher one.
-    The result is checkpointed, so that a lost executor cannot shift a partition boundary
+    The result is written, so that a lost executor cannot shift a partition boundary
     between two readings. The sort samples the data: partitions are even whatever the keys.
     """
-    work_dir(df.sparkSession)
     number = F.monotonically_increasing_id()
-    return (
+    return written(
         df.orderBy(*order)
         .withColumn("__id", number)
         .withColumn("__slot", F.shiftright("__id", 33))
         .withColumn("__index", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("__id")
-        .checkpoint()
+        .drop("__id"),
+        "sorted",
     )
 
 

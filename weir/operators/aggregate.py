@@ -8,13 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weir.functions.columns import total
-from weir.functions.order import (
-    ROWS_PER_TASK,
-    bucket_quantiles,
-    largest_group,
-    left_join_on_keys,
-    quantile_of_list,
-)
+from weir.functions.order import group_quantiles, left_join_on_keys
 from weir.session import read_twice
 
 # Other names for the same function.
@@ -49,13 +43,11 @@ def aggregate(
     groupby: Sequence[str],
     metrics: Sequence[Mapping[str, str]],
     approximate: bool = False,
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """``groupBy(groupby).agg(metrics)``; an empty ``groupby`` gives one row.
 
-    p95 is the nearest-rank value and p50 the interpolated median, both exact. They join
-    the same single aggregation when a task can hold the largest group (a counting job
-    tells); otherwise they come from bucket counts, for which no group has to fit anywhere.
+    p95 is the nearest-rank value and p50 the interpolated median, both exact. They come
+    from bucket counts, for which no group has to fit anywhere, whatever its size.
     ``approximate=True`` uses a sketch instead.
     """
     if not metrics:
@@ -68,7 +60,6 @@ def aggregate(
         # What is read twice may be checkpointed, so only the columns in use go along.
         used = {*groupby, *(m["col"] for m in metrics)}
         df = read_twice(df.select(*[c for c in df.columns if c in used]))
-    in_one_task = exact and largest_group(df, groupby) <= rows_per_task
     exprs, wanted = [], {}
     for metric, name, fn in zip(metrics, names, fns):
         if fn not in QUANTILES:
@@ -76,8 +67,6 @@ def aggregate(
         elif approximate:
             q = 0.5 if fn == "p50" else QUANTILES[fn]
             exprs.append(F.percentile_approx(metric["col"], q, 10000).alias(name))
-        elif in_one_task:
-            exprs.append(quantile_of_list(F.col(metric["col"]), QUANTILES[fn]).alias(name))
         else:
             wanted.setdefault(metric["col"], {})[name] = QUANTILES[fn]
 
@@ -85,7 +74,7 @@ def aggregate(
         exprs.append(F.count(F.lit(1)).alias("__rows"))
     result = df.groupBy(*groupby).agg(*exprs)
     for col, quantiles in wanted.items():
-        result = left_join_on_keys(result, bucket_quantiles(df, groupby, col, quantiles), groupby)
+        result = left_join_on_keys(result, group_quantiles(df, groupby, col, quantiles), groupby)
     return result.select(*groupby, *dict.fromkeys(names))
 
 

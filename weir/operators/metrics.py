@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,15 +15,8 @@ from weir.functions.columns import (
     signed_quantity,
     total,
 )
-from weir.functions.order import (
-    ROWS_PER_TASK,
-    bucket_quantiles,
-    largest_group,
-    left_join_on_keys,
-    median_of_list,
-    nearest_of_list,
-    with_previous_row,
-)
+from weir.functions.order import group_quantiles, left_join_on_keys
+from weir.session import read_twice
 
 ROLLUP_KEYS = ["eff_gas_day", "pipeline_name", "state_abb", "category_short"]
 LOCATION = ["pipeline_name", "loc_name"]
@@ -44,29 +36,27 @@ def daily_rollup(df: DataFrame, keys: Sequence[str] = ROLLUP_KEYS) -> DataFrame:
 
 
 def row_changes(df: DataFrame, keys: Sequence[str] = LOCATION) -> DataFrame:
-    """Absolute change between neighbouring rows of a key, as (keys, abs_delta, times).
+    """Absolute change between neighbouring rows of a key, as (keys, abs_delta).
 
-    Rows are ordered by (day, quantity). Equal rows are merged with a count first; the
-    merged rows are range-sorted over all keys, so a key that holds a large part of the
-    table is spread over many tasks.
+    Rows are ordered by (day, quantity), nulls first. Neighbours on one day meet in a group of
+    that key and day; from day to day the largest quantity of one meets the first of the next,
+    one row per key and day. Both read one shuffle by key and day.
     """
     keys = list(keys)
-    row = [*keys, "eff_gas_day", "scheduled_quantity"]
-    runs = df.groupBy(*row).agg(F.count(F.lit(1)).alias("repeats"))
-    paired = with_previous_row(runs, row, [*keys, "scheduled_quantity"])
-    same_key = reduce(
-        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"previous.{k}")) for k in keys]
-    )
-    quantity = F.col("scheduled_quantity")
-    delta = F.when(same_key, F.abs(quantity - F.col("previous.scheduled_quantity")))
-    step = F.struct(delta.alias("abs_delta"), F.lit(1).cast("bigint").alias("times"))
-    repeats = F.struct(
-        F.when(quantity.isNotNull(), F.lit(0.0)).alias("abs_delta"),
-        (F.col("repeats") - 1).alias("times"),
+    quantity, day = F.col("scheduled_quantity"), "eff_gas_day"
+    rows = df.select(*keys, day, "scheduled_quantity").repartition(*keys, day)
+    in_day = Window.partitionBy(*keys, day).orderBy("scheduled_quantity")
+    on_one_day = rows.select(
+        *keys, F.abs(quantity - F.lag(quantity).over(in_day)).alias("abs_delta")
     )
-    return paired.select(*keys, F.inline(F.array(step, repeats))).where(
-        (F.col("times") > 0) & F.col("abs_delta").isNotNull()
+    days = rows.groupBy(*keys, day).agg(
+        F.when(F.count_if(quantity.isNull()) == 0, F.min(quantity)).alias("first"),
+        F.max(quantity).alias("last"),
     )
+    by_day = Window.partitionBy(*keys).orderBy(day)
+    to_next = F.abs(F.col("first") - F.lag("last").over(by_day))
+    from_day_to_day = days.select(*keys, to_next.alias("abs_delta"))
+    return on_one_day.unionByName(from_day_to_day).where(F.col("abs_delta").isNotNull())
 
 
 def _ramp_ratio(joined: DataFrame) -> DataFrame:
@@ -80,43 +70,24 @@ def _ramp_ratio(joined: DataFrame) -> DataFrame:
     )
 
 
-def ramp_risk_plain(df: DataFrame) -> DataFrame:
-    """Ramp risk with one shuffle: every location is sorted and summarised in one task."""
-    by_day = Window.partitionBy(*LOCATION).orderBy("eff_gas_day", "scheduled_quantity")
-    quantity = F.col("scheduled_quantity")
-    return _ramp_ratio(
-        df.withColumn("abs_delta", F.abs(quantity - F.lag(quantity).over(by_day)))
-        .groupBy(*LOCATION)
-        .agg(
-            F.count(F.lit(1)).alias("n_days"),
-            nearest_of_list(F.col("abs_delta"), 0.95).alias("p95_abs_delta"),
-            median_of_list(quantity).alias("median_flow"),
-        )
-    )
-
-
-def ramp_risk_split(df: DataFrame) -> DataFrame:
-    """Ramp risk for locations of any size: no task holds a whole location."""
-    n_days = df.groupBy(*LOCATION).agg(F.count(F.lit(1)).alias("n_days"))
-    deltas = bucket_quantiles(
-        row_changes(df), LOCATION, "abs_delta", {"p95_abs_delta": 0.95}, weight="times"
-    )
-    flows = bucket_quantiles(df, LOCATION, "scheduled_quantity", {"median_flow": "median"})
-    return _ramp_ratio(
-        left_join_on_keys(left_join_on_keys(n_days, deltas, LOCATION), flows, LOCATION)
-    )
-
-
-def ramp_risk(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def ramp_risk(df: DataFrame) -> DataFrame:
     """p95 of the absolute row-to-row change / max(median flow, 1) per location.
 
-    A location without changes gets risk 0. One counting job over the two key columns
-    finds the largest location; when it has more than ``rows_per_task`` rows, every
-    location goes the split way.
+    A location without changes gets risk 0. Locations may have any size: neighbours meet per
+    day, and quantiles come from bucket counts.
     """
-    if largest_group(df, LOCATION) <= rows_per_task:
-        return ramp_risk_plain(df)
-    return ramp_risk_split(df)
+    rows = read_twice(df.select(*LOCATION, "eff_gas_day", "scheduled_quantity"))
+    n_days = rows.groupBy(*LOCATION).agg(F.count(F.lit(1)).alias("n_days"))
+    # Changes and quantities share the passes over their buckets.
+    changes = row_changes(rows).select(*LOCATION, F.lit(True).alias("change"), "abs_delta")
+    flows = rows.select(*LOCATION, F.lit(False), "scheduled_quantity").toDF(*changes.columns)
+    wanted = {"p95": 0.95, "middle": "median"}
+    found = group_quantiles(changes.unionByName(flows), [*LOCATION, "change"], "abs_delta", wanted)
+    both = found.groupBy(*LOCATION).agg(
+        F.max(F.when(F.col("change"), F.col("p95"))).alias("p95_abs_delta"),
+        F.max(F.when(~F.col("change"), F.col("middle"))).alias("median_flow"),
+    )
+    return _ramp_ratio(left_join_on_keys(n_days, both, LOCATION))
 
 
 def reversal_freq(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weir.functions.order import ROWS_PER_TASK, slot_offsets, sorted_slots, with_row_position
+from weir.functions.order import slot_offsets, sorted_slots, with_row_position
 from weir.operators.aggregate import aggregate, metric_name
 from weir.session import read_twice, work_dir
 
@@ -26,29 +26,17 @@ def _total_order(df: DataFrame, by: Sequence[str], descending: bool) -> list[Col
     return [_directed(c, descending) for c in by] + [F.col(c).asc_nulls_last() for c in rest]
 
 
-def rank_table(
-    df: DataFrame, column: str, descending: bool = False, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
+def rank_table(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
     """(value, below, ties, dense) for every distinct non-null value.
 
-    ``below`` counts the rows that rank ahead of the value. Equal values are merged first.
-    When few are left, one task numbers them and the table is broadcast; otherwise they
-    are range-sorted and every sorted partition is numbered by itself.
+    ``below`` counts the rows that rank ahead of the value. Equal values are merged first and
+    the different ones range-sorted; every sorted partition is numbered by itself.
     """
-    work_dir(df.sparkSession)
     values = (
         df.where(F.col(column).isNotNull())
         .groupBy(F.col(column).alias("__value"))
         .agg(F.count(F.lit(1)).alias("__ties"))
-        .checkpoint()
     )
-    if values.count() <= rows_per_task:
-        order = Window.orderBy(_directed("__value", descending))
-        ahead = F.sum("__ties").over(order.rowsBetween(Window.unboundedPreceding, -1))
-        below, dense = F.coalesce(ahead, F.lit(0)), F.row_number().over(order)
-        return F.broadcast(
-            values.withColumns({"__below": below, "__dense": dense.cast("bigint")})
-        )
     placed = sorted_slots(values, [_directed("__value", descending)])
     offsets = slot_offsets(placed, __rows=F.sum("__ties"), __values=F.count(F.lit(1)))
     in_slot = Window.partitionBy("__slot").orderBy("__index")
@@ -76,25 +64,26 @@ def _rank_value(method: str) -> Column:
 
 
 def with_rank(
-    df: DataFrame,
-    column: str,
-    method: str,
-    descending: bool,
-    name: str,
-    rows_per_task: int = ROWS_PER_TASK,
+    df: DataFrame, column: str, method: str, descending: bool, name: str
 ) -> DataFrame:
-    """Add one rank column; null values get a null rank."""
+    """Add one rank column; null values get a null rank.
+
+    Rows without a value do not join, so they do not meet in one task.
+    """
     if method in ("first", "ordinal"):
         placed = with_row_position(df, _total_order(df, [column], descending), "__p")
         rank = F.when(F.col(column).isNotNull(), F.col("__p") + 1)
         return placed.withColumn(name, rank).drop("__p")
     df = read_twice(df)
-    ranks = rank_table(df, column, descending, rows_per_task)
-    return (
-        df.join(ranks, F.col(column) == F.col("__value"), "left")
+    ranked = (
+        df.where(F.col(column).isNotNull())
+        .join(rank_table(df, column, descending), F.col(column) == F.col("__value"))
         .withColumn(name, _rank_value(method))
         .drop("__value", "__ties", "__below", "__dense")
     )
+    kind = dict(ranked.dtypes)[name]
+    unranked = df.where(F.col(column).isNull()).withColumn(name, F.lit(None).cast(kind))
+    return ranked.unionByName(unranked)
 
 
 def rank_columns(
