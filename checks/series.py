@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.common import DAY, LOCATION, QUANTITY, SIGN, Check, flow_check, p_nearest, r6
 from checks.filters import _year_starts
+from weir.functions.columns import MONTH_NAMES, WEEKDAY_NAMES
 from weir.operators import changepoint, cluster
 from weir.operators.decompose import daily_series, deseasonalize, with_seasonal
+from weir.session import written
 
 SERIES_SQL = """WITH s AS (SELECT pipeline_name, eff_gas_day, sum(scheduled_quantity) AS v
   FROM flows GROUP BY ALL)"""
@@ -191,6 +195,82 @@ def _scaled_sql() -> str:
     return f"{head}, f AS (SELECT e AS{tail}) SELECT loc_name, {z} FROM f"
 
 
+# Clusters by rule in place of KMeans: entities of steep, of gentle and of usual changes.
+K_BY_RULE = 4
+
+
+def _by_rule(df: DataFrame) -> DataFrame:
+    rows = written(cluster.build_features(df), "labelled-features")
+    steep = F.col("ramp_p95")
+    label = F.when(steep > 0.5, 0).when(steep < -0.5, 1).otherwise(2)
+    return cluster.with_vectors(rows).withColumn("cluster_id", label)
+
+
+def _names_by_rule(df: DataFrame) -> DataFrame:
+    return cluster.cluster_names(_by_rule(df), K_BY_RULE)
+
+
+def _summary_by_rule(df: DataFrame) -> DataFrame:
+    rows = _by_rule(df)
+    named = rows.join(cluster.cluster_names(rows, K_BY_RULE), "cluster_id")
+    return cluster.summarize_clusters(named)
+
+
+def _nearest_centres(df: DataFrame) -> DataFrame:
+    """Every entity, and whether no centre is nearer than that of its cluster."""
+    found = cluster.cluster_entities(df)
+    centres = found.model.clusterCenters()
+    own = found.entities.select("loc_name", "cluster_id").join(found.rows, "loc_name")
+    away = F.array(
+        *[
+            reduce(lambda a, b: a + b, [(F.col(f) - F.lit(float(x))) ** 2 for f, x in zip(cluster.CLUSTER_FEATURES, c)])
+            for c in centres
+        ]
+    )
+    nearest = F.element_at(away, F.col("cluster_id") + 1) <= F.array_min(away) + 1e-9
+    return own.select("loc_name", nearest.alias("nearest"))
+
+
+def _falling_costs(df: DataFrame) -> DataFrame:
+    """Whether more clusters cost less, and the squares of all features, their upper bound."""
+    found = [cluster.cluster_entities(df, k=k) for k in (2, 4, 8)]
+    costs = [x.model.summary.trainingCost for x in found]
+    falls = all(a > b for a, b in zip(costs, costs[1:]))
+    squares = F.sum(reduce(lambda a, b: a + b, [F.col(c) ** 2 for c in cluster.CLUSTER_FEATURES]))
+    return found[0].rows.agg(F.count(F.lit(1)).alias("entities"), squares.alias("squares")).select(
+        "entities", F.lit(falls).alias("falls"), (F.col("squares") > costs[0]).alias("bounded"), "squares"
+    )
+
+
+def _all_scaled_sql() -> str:
+    """CTEs up to ``z``: every scaled feature of every location, with the cluster by rule."""
+    features = _features_sql("loc_name", "connecting_entity").replace("1000000.0", "1e12")
+    z = ", ".join(
+        f"""CASE WHEN stddev_pop(coalesce({c}, 0)) OVER () > 1e-11
+          THEN (coalesce({c}, 0) - avg(coalesce({c}, 0)) OVER ()) / stddev_pop(coalesce({c}, 0)) OVER ()
+          ELSE 0 END AS {c}"""
+        for c in cluster.CLUSTER_FEATURES
+    )
+    head, tail = features.rsplit("SELECT e AS", 1)
+    return f"""{head}, f AS (SELECT e AS{tail}), y AS (SELECT loc_name, n_days, mean_flow, {z} FROM f),
+    z AS (SELECT *, CASE WHEN ramp_p95 > 0.5 THEN 0 WHEN ramp_p95 < -0.5 THEN 1 ELSE 2 END AS cluster_id FROM y)"""
+
+
+_LABELS = dict(zip(cluster.SEASON, MONTH_NAMES)) | dict(zip(cluster.WEEKDAY, WEEKDAY_NAMES))
+_LABELS |= dict.fromkeys(("ramp_p95", "ramp_std", "ramp_mean"), "Ramp")
+_LABELS |= {"reversal_freq": "Reversals", "dependency_index": "Dependency"}
+# (cluster, feature number, label, mean) of every cluster and feature, and the names from it.
+_NAMES_SQL = f"""{_all_scaled_sql()}, m AS ({" UNION ALL ".join(
+    f"SELECT cluster_id, {i} AS i, '{_LABELS[c]}' AS label, avg({c}) AS v FROM z GROUP BY cluster_id"
+    for i, c in enumerate(cluster.CLUSTER_FEATURES))}),
+  strong AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY abs(v) DESC, i DESC) AS place FROM m),
+  parts AS (SELECT cluster_id, list(CASE WHEN v > 0 THEN 'High_' ELSE 'Low_' END || label ORDER BY place)
+    FILTER (WHERE place <= 3 AND abs(v) > 0.5) AS p FROM strong GROUP BY cluster_id),
+  named AS (SELECT k.cluster_id, CASE WHEN c.cluster_id IS NULL THEN 'Empty_' || k.cluster_id
+    WHEN p IS NULL THEN 'Cluster_' || k.cluster_id ELSE array_to_string(p[1:2], '_') END AS cluster_name
+    FROM (SELECT unnest(range({K_BY_RULE})) AS cluster_id) k LEFT JOIN parts c ON c.cluster_id = k.cluster_id)"""
+_SQUARES = " + ".join(f"(a.{c} - b.{c}) ** 2" for c in cluster.CLUSTER_FEATURES)
+
 CHECKS: dict[str, Check] = {
     "seasonal_decomposition": flow_check(
         "STL-1",
@@ -308,6 +388,43 @@ CHECKS: dict[str, Check] = {
         _features_sql("connecting_entity", "loc_name"),
     ),
     "cluster_features_scaled": flow_check("CLU-2", FEATURE_COLUMNS, _scaled, _scaled_sql()),
+    "cluster_names_by_rule": flow_check(
+        "CLU-5", FEATURE_COLUMNS, _names_by_rule, f"{_NAMES_SQL} SELECT cluster_id, cluster_name FROM named"
+    ),
+    "cluster_summary_by_rule": flow_check(
+        "CLU-7",
+        FEATURE_COLUMNS,
+        _summary_by_rule,
+        f"""{_NAMES_SQL} SELECT CAST(z.cluster_id AS BIGINT) AS cluster_id, cluster_name, count(*) AS count,
+          {r6("avg(mean_flow)")} AS avg_flow, {r6("stddev_samp(mean_flow)")} AS std_flow,
+          {r6("avg(n_days)")} AS avg_days FROM z JOIN named n ON n.cluster_id = z.cluster_id GROUP BY ALL""",
+    ),
+    "cluster_metrics_by_rule": flow_check(
+        "CLU-4 CLU-6",
+        FEATURE_COLUMNS,
+        lambda df: cluster.cluster_metrics(_by_rule(df), K_BY_RULE),
+        f"""{_all_scaled_sql()}, n AS (SELECT cluster_id, count(*) AS n FROM z GROUP BY ALL),
+        d AS (SELECT a.loc_name, a.cluster_id AS own, b.cluster_id AS other, sum({_SQUARES}) AS d
+          FROM z a CROSS JOIN z b GROUP BY ALL),
+        w AS (SELECT loc_name, any_value(own) AS own,
+          max(d.d / nullif(n.n - 1, 0)) FILTER (WHERE own = other) AS a,
+          min(d.d / n.n) FILTER (WHERE own <> other) AS b
+          FROM d JOIN n ON n.cluster_id = other GROUP BY loc_name)
+        SELECT {r6("avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END)")}
+            AS silhouette_sq_euclidean, count(*) AS n_entities, CAST({K_BY_RULE} AS BIGINT) AS n_clusters,
+          CAST({len(cluster.CLUSTER_FEATURES)} AS BIGINT) AS n_features,
+          (SELECT min(n) FROM n) AS min_cluster_size, (SELECT max(n) FROM n) AS max_cluster_size FROM w""",
+    ),
+    "cluster_nearest_centres": flow_check(
+        "CLU-3", FEATURE_COLUMNS, _nearest_centres, f"{_all_scaled_sql()} SELECT loc_name, true AS nearest FROM z"
+    ),
+    "cluster_falling_costs": flow_check(
+        "CLU-3",
+        FEATURE_COLUMNS,
+        _falling_costs,
+        f"""{_all_scaled_sql()} SELECT count(*) AS entities, true AS falls, true AS bounded,
+          {r6("sum(" + " + ".join(f"{c} ** 2" for c in cluster.CLUSTER_FEATURES) + ")")} AS squares FROM z""",
+    ),
     "cluster_locations": flow_check(
         "CLU-3 CLU-5", FEATURE_COLUMNS, lambda df: cluster.cluster_entities(df).entities
     ),

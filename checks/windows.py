@@ -226,7 +226,11 @@ CHECKS: dict[str, Check] = {
         FROM t QUALIFY place <= 5""",
     ),
     "sample_random": table_check(
-        "SRT-5", "lineitem", lambda df: ranking.sample_rows(df.select(*ROW), 100)
+        "SRT-5",
+        "lineitem",
+        lambda df: ranking.sample_rows(df.select(*ROW), 100),
+        f"""SELECT {", ".join(ROW).replace("l_linenumber", "l_linenumber::BIGINT AS l_linenumber")} FROM lineitem ORDER BY md5(concat_ws('|', '42', {
+            ", ".join(f"coalesce('+' || CAST({c} AS VARCHAR), '-')" for c in ROW)})) LIMIT 100""",
     ),
     "sample_head": table_check(
         "SRT-5",

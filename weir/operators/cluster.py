@@ -22,7 +22,7 @@ from weir.functions.columns import (
 )
 from weir.functions.order import median_of_list, nearest_of_list
 from weir.operators.basic import entities_with_days
-from weir.session import work_dir
+from weir.session import written
 
 ENTITY_COLUMNS = {
     "loc": ("loc_name", "connecting_entity"),
@@ -90,11 +90,10 @@ def build_features(df: DataFrame, entity_type: str = "loc", min_days: int = 30)
             "dow": iso_weekday("eff_gas_day"),
         }
     )
-    base = at_least_one(F.avg(flow))
 
     def slot_ratio(slot: str, at: int) -> Column:
-        ratio = F.avg(F.when(F.col(slot) == at, flow)) / base
-        return F.coalesce(ratio, F.lit(1.0))
+        mean = f"avg(daily_flow) filter (where {slot} = {at})"
+        return F.expr(f"coalesce({mean} / greatest(avg(daily_flow), 1.0D), 1.0D)")
 
     features = rows.groupBy(entity).agg(
         F.count(F.lit(1)).alias("n_days"),
@@ -120,20 +119,16 @@ def build_features(df: DataFrame, entity_type: str = "loc", min_days: int = 30)
 def standardized(features: DataFrame) -> DataFrame:
     """(x - mean) / population std per feature; missing values count as 0, no spread gives 0."""
     filled = features.fillna(0.0, CLUSTER_FEATURES)
-    moments = filled.agg(
-        F.struct(
-            *[F.avg(c).alias(f"m_{c}") for c in CLUSTER_FEATURES],
-            *[F.stddev_pop(c).alias(f"s_{c}") for c in CLUSTER_FEATURES],
-        ).alias("moments")
-    ).scalar()
-    with_moments = filled.withColumn("__m", moments)
-
-    def scaled(c: str) -> Column:
-        spread = F.col(f"__m.s_{c}")
-        z = F.try_divide(F.col(c) - F.col(f"__m.m_{c}"), spread)
-        return F.when(spread > 0, z).otherwise(0.0)
-
-    return with_moments.withColumns({c: scaled(c) for c in CLUSTER_FEATURES}).drop("__m")
+    # Stated as SQL: a column object per feature and step costs more than the query.
+    moments = ", ".join(
+        f"'m_{c}', avg({c}), 's_{c}', stddev_pop({c})" for c in CLUSTER_FEATURES
+    )
+    found = filled.selectExpr(f"named_struct({moments}) as moments")
+    scaled = {
+        c: F.expr(f"case when __m.s_{c} > 0 then try_divide({c} - __m.m_{c}, __m.s_{c}) else 0.0D end")
+        for c in CLUSTER_FEATURES
+    }
+    return filled.withColumn("__m", found.scalar()).withColumns(scaled).drop("__m")
 
 
 @dataclass
@@ -144,7 +139,7 @@ class Clustering:
     metrics: DataFrame  # one row
     silhouette: float
     model: KMeansModel
-    rows: DataFrame  # the feature vectors behind ``entities``, checkpointed
+    rows: DataFrame  # the feature vectors behind ``entities``, written
 
 
 def cluster_names(scaled: DataFrame, k: int) -> DataFrame:
@@ -158,25 +153,18 @@ def cluster_names(scaled: DataFrame, k: int) -> DataFrame:
     labels.update({c: "Ramp" for c in ("ramp_p95", "ramp_std", "ramp_mean")})
     labels.update({"reversal_freq": "Reversals", "dependency_index": "Dependency"})
     # One entry per feature: an array of fixed length, ordered inside the row.
-    entries = F.array(
-        *[
-            F.struct(
-                (-F.abs(F.col(c))).alias("strength"),
-                F.lit(-i).alias("place"),
-                F.concat(
-                    F.when(F.col(c) > 0, "High_").otherwise("Low_"), F.lit(labels[c])
-                ).alias("part"),
-            )
-            for i, c in enumerate(CLUSTER_FEATURES)
-        ]
+    entries = ", ".join(
+        f"named_struct('strength', -abs({c}), 'place', {-i},"
+        f" 'part', concat(if({c} > 0, 'High_', 'Low_'), '{labels[c]}'))"
+        for i, c in enumerate(CLUSTER_FEATURES)
     )
-    strongest = F.slice(F.array_sort(entries), 1, 3)
+    strongest = F.slice(F.array_sort(F.expr(f"array({entries})")), 1, 3)
     parts = F.transform(
         F.filter(strongest, lambda e: e["strength"] < -NAME_THRESHOLD), lambda e: e["part"]
     )
     named = (
         scaled.groupBy("cluster_id")
-        .agg(*[F.avg(c).alias(c) for c in CLUSTER_FEATURES])
+        .agg(*[F.expr(f"avg({c}) as {c}") for c in CLUSTER_FEATURES])
         .select("cluster_id", parts.alias("parts"))
     )
     every = scaled.sparkSession.range(k).select(F.col("id").cast("int").alias("cluster_id"))
@@ -189,6 +177,59 @@ def cluster_names(scaled: DataFrame, k: int) -> DataFrame:
     return every.join(named, "cluster_id", "left").select("cluster_id", name.alias("cluster_name"))
 
 
+def with_vectors(features: DataFrame) -> DataFrame:
+    """The scaled features and their vector in a column ``features``."""
+    assembler = VectorAssembler(inputCols=CLUSTER_FEATURES, outputCol="features")
+    return assembler.transform(standardized(features))
+
+
+def best_model(rows: DataFrame, k: int, random_state: int, restarts: int) -> KMeansModel:
+    """KMeans with the least training cost of several seeds.
+
+    All seeds read one cached copy and run side by side. Each starts from one round of
+    candidates, as the other seeds make up for a poor start.
+    """
+    vectors = rows.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def fitted(i: int) -> KMeansModel:
+        return KMeans(k=k, seed=random_state + i, initSteps=1, maxIter=300, tol=1e-4).fit(vectors)
+
+    try:
+        # The cache is filled once, not by every seed.
+        vectors.count()
+        with ThreadPool(min(restarts, PARALLEL_FITS)) as pool:
+            models = pool.map(fitted, range(restarts))
+    finally:
+        vectors.unpersist()
+    return min(models, key=lambda m: m.summary.trainingCost)
+
+
+def cluster_metrics(labelled: DataFrame, k: int) -> DataFrame:
+    """One row about labelled feature vectors (cluster_id, features).
+
+    The silhouette is Spark's, on squared Euclidean distance: it needs cluster sums only,
+    where the plain Euclidean one would compare every pair of entities. It is 0 unless there
+    are two or more clusters and fewer clusters than entities.
+    """
+    sizes = labelled.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = sizes.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_entities"),
+        F.lit(k).alias("n_clusters"),
+        F.lit(len(CLUSTER_FEATURES)).alias("n_features"),
+        F.min("n").alias("min_cluster_size"),
+        F.max("n").alias("max_cluster_size"),
+        F.count("n").alias("used"),
+    )
+    row = counts.first()
+    silhouette = 0.0
+    if 1 < row["used"] < row["n_entities"]:
+        evaluator = ClusteringEvaluator(predictionCol="cluster_id", featuresCol="features")
+        silhouette = float(evaluator.evaluate(labelled))
+    return counts.select(
+        F.lit(silhouette).alias("silhouette_sq_euclidean"), *[c for c in counts.columns if c != "used"]
+    )
+
+
 def cluster_entities(
     df: DataFrame,
     entity_type: str = "loc",
@@ -197,46 +238,23 @@ def cluster_entities(
     min_days: int = 30,
     restarts: int = RESTARTS,
 ) -> Clustering:
-    """KMeans over the standardised features, best of several seeds by training cost.
-
-    The silhouette is Spark's, on squared Euclidean distance: it needs cluster sums only,
-    where the plain Euclidean one would compare every pair of entities.
-    """
+    """KMeans over the standardised features, best of several seeds by training cost."""
     entity = entity_column(entity_type)
-    assembler = VectorAssembler(inputCols=CLUSTER_FEATURES, outputCol="features")
-    # Saved before scaling, because the moments of all entities are a second reading.
-    work_dir(df.sparkSession)
-    features = build_features(df, entity_type, min_days).checkpoint()
+    # Written before scaling, because the moments of all entities are a second reading.
+    features = written(build_features(df, entity_type, min_days), "cluster-features")
     n_entities = features.count()
     if n_entities < max(k, 1):
         raise ValueError(f"{n_entities} entities with {min_days} days are too few for {k} clusters")
-    rows = assembler.transform(standardized(features)).checkpoint()
-    # All restarts read one cached copy; they are independent, so their jobs overlap.
-    vectors = rows.select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        with ThreadPool(min(restarts, PARALLEL_FITS)) as pool:
-            models = pool.map(
-                lambda i: KMeans(k=k, seed=random_state + i, maxIter=300, tol=1e-4).fit(vectors),
-                range(restarts),
-            )
-    finally:
-        vectors.unpersist()
-    model = min(models, key=lambda m: m.summary.trainingCost)
+    rows = written(with_vectors(features), "cluster-vectors")
+    model = best_model(rows, k, random_state, restarts)
     assigned = model.transform(rows).withColumnRenamed("prediction", "cluster_id")
-    sizes = [size for size in model.summary.clusterSizes if size]
-    silhouette = 0.0
-    if k > 1 and 1 < len(sizes) < n_entities:
-        evaluator = ClusteringEvaluator(predictionCol="cluster_id", featuresCol="features")
-        silhouette = float(evaluator.evaluate(assigned))
+    assigned = written(assigned, "cluster-labels")
     # Names meet the entities on the cluster number: k rows, and k is an argument.
     entities = assigned.join(F.broadcast(cluster_names(assigned, k)), "cluster_id").select(
         entity, "n_days", "mean_flow", "cluster_id", "cluster_name"
     )
-    metrics = df.sparkSession.createDataFrame(
-        [(silhouette, n_entities, k, len(CLUSTER_FEATURES), min(sizes), max(sizes))],
-        "silhouette_sq_euclidean double, n_entities bigint, n_clusters int, n_features int,"
-        " min_cluster_size bigint, max_cluster_size bigint",
-    )
+    metrics = cluster_metrics(assigned, k)
+    silhouette = metrics.first()["silhouette_sq_euclidean"]
     return Clustering(entities, metrics, silhouette, model, rows)
 
 

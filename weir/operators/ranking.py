@@ -218,11 +218,18 @@ def sample_rows(
     order: Sequence[str] | None = None,
     seed: int = 42,
 ) -> DataFrame:
-    """n rows: random with a seed, or the first / last n of an order."""
+    """n rows: random with a seed, or the first / last n of an order.
+
+    The random sample takes the rows with the smallest digests of seed and row, so it is the
+    same whatever the partitions are; equal rows come next to each other.
+    """
     if n < 1:
         raise ValueError("a sample needs at least one row")
     if method == "random":
-        return df.withColumn("__r", F.rand(seed)).orderBy("__r").limit(n).drop("__r")
+        # A null is marked, so that it differs from an empty text.
+        texts = [F.coalesce(F.concat(F.lit("+"), F.col(f"`{c}`").cast("string")), F.lit("-")) for c in df.columns]
+        digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *texts))
+        return df.withColumn("__r", digest).orderBy("__r").limit(n).drop("__r")
     order = list(order) if order else list(df.columns)
     if method == "head":
         return df.orderBy(*[F.col(c).asc_nulls_last() for c in order]).limit(n)
