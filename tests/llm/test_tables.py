@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timezone
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from weir.llm import html_text, queries_tables, revisits, vector_search
@@ -11,15 +12,15 @@ from weir.llm import html_text, queries_tables, revisits, vector_search
 VECTOR = "vec_id bigint, vector array<bigint>, score string, rank string"
 
 
-@pytest.mark.parametrize("width, size", [(3, 2), (8, 6)])
-def test_top_k_as_brute_force(spark, width, size):
+@pytest.mark.parametrize("width, size, cells", [(3, 2, 256), (8, 6, 3), (8, 900, 2), (8, 10**6, 256)])
+def test_top_k_as_brute_force(spark, width, size, cells):
     rnd = np.random.default_rng(width)
     rows = [(int(i), [int(x) for x in rnd.integers(-size, size + 1, width)], "", "") for i in range(300)]
     rows += [(7, rows[7][1], "", ""), (900, None, None, None), (901, [1, None, 2], "", ""), (None, [1] * width, "", "")]
     rows += [(902, [1] * (width + 1), "", ""), (903, [0] * width, "", ""), (904, rows[0][1], None, None)]
     df = spark.createDataFrame(rows, VECTOR)
     asked = df.where("vec_id % 9 = 0 or vec_id = 7")
-    found = vector_search.top_k(df, asked, 5, rows_per_block=40, queries_per_block=7).collect()
+    found = vector_search.top_k(df, asked, 5, rows_per_block=40, queries_per_block=7, cells=cells).collect()
     real = [(i, v) for i, v, *_ in rows if i is not None and v is not None and None not in v]
     asks = [(i, v) for i, v in real if i % 9 == 0 or i == 7]
     want = []
@@ -31,6 +32,37 @@ def test_top_k_as_brute_force(spark, width, size):
     assert sorted(got) == sorted(want)
 
 
+def test_bounds_hold_for_every_pair():
+    rnd = np.random.default_rng(2)
+    rows = [(i, 100 + i, [int(x) for x in rnd.integers(-500, 700, 6)]) for i in range(50)]
+    for cells in (2, 5, 256):
+        kept: list = []
+        with_cells = vector_search.approximated
+
+        class Frame:
+            def select(self, *_):
+                return self
+
+        def taken(_, schema, start):
+            kept.extend(start()(rows))
+
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(vector_search, "map_rows", taken)
+            with_cells(Frame(), cells)
+        table = pd.DataFrame(kept, columns=["row", "id", "size", "cells", "low", "width", "off"])
+        exact = np.array([v for *_, v in rows])
+        assert np.allclose(np.linalg.norm(vector_search.centres(table) - exact, axis=1), table["off"])
+        queries = table.iloc[:9].assign(id=-1)
+        seen = set()
+        for q, r, low, high in vector_search.bounds_in_block(table, queries, 5):
+            scores = (exact[q] * exact[r]).sum(1)
+            assert (low <= scores).all() and (scores <= high).all()
+            seen |= set(zip(q.tolist(), r.tolist()))
+        for q in range(9):
+            best = np.argsort(-(exact @ exact[q]), kind="stable")[:5]
+            assert {(q, int(r)) for r in best} <= seen
+
+
 def test_top_k_of_nothing_and_unusable_vectors(spark):
     df = spark.createDataFrame([], VECTOR)
     assert vector_search.top_k(df, df).collect() == []

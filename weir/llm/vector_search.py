@@ -1,12 +1,19 @@
-"""Exact top-k by inner product with bounds from cells.
+"""Exact top-k by inner product over a vector-approximation file.
 
-Vectors are stored once, as integers. In a block each component is rounded down to a multiple of
-``CELL``, its *cell*: cells bound each inner product from above and from below. The k-th best
-lower bound rules out vectors; the scores of those left are worked out exactly, best upper
-bound first, until no other vector can beat the k-th exact score. There is no
-vector-approximation file: cells are made from the whole vectors of the block, so they save
-exact products, but no read and no shuffle. Blocks of rows meet blocks of queries, so a task holds one pair of blocks at a time;
-each pair leaves its k best, and the best k of those per query are the result.
+The vectors are stored twice. The approximation file holds a byte per component: the number of
+the *cell* it lies in, on a grid of its own for every vector (lowest component and cell width,
+as whole numbers), and the distance of the vector from the centres of its cells. The centres
+give an approximate product, and by Cauchy and Schwarz it is off by no more than the query's
+length times that distance. So every pair has a lower and an upper bound for its score.
+
+1. Blocks of the approximation file meet blocks of queries. Each pair of blocks keeps the rows
+   whose upper bound reaches the k-th best lower bound of the query in it.
+2. Over all blocks, only rows that reach the k-th best lower bound of the query are left.
+3. The exact vectors of the k highest upper bounds are read, and their scores worked out. Of the
+   others only those whose upper bound reaches the k-th exact score are read as well: after
+   them no other row can be among the best, so the result is certain.
+
+Exact vectors are read by a join on the row number, for the rows that are left alone.
 
 Definite results: rows whose vector is null, has null or non-finite components, or lacks an
 id take no part, and neither do components' counts that differ from the query's. Ties go to
@@ -17,18 +24,22 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weir.llm.common import saved
+from weir.llm.common import map_rows, saved
 
-CELL = 8
-# Rows and queries that meet in one task at a time.
-ROWS_PER_BLOCK, QUERIES_PER_BLOCK = 4_096, 1_024
-# Exact scores are worked out in portions of this size per query.
-PORTION = 64
+# Cells per component; a number of a cell is one byte.
+CELLS = 256
+# Rows and queries that meet in one task at a time, and queries whose bounds are held at once.
+ROWS_PER_BLOCK, QUERIES_PER_BLOCK = 8_192, 2_048
+QUERIES_AT_ONCE = 256
+# Rounding of sums of doubles is far below this part of the lengths' product.
+ROUNDING = 1e-9
 
 
 def whole_numbers(vector: Column, scale: int = 64) -> Column:
@@ -44,39 +55,64 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(False))
 
 
-def search_block(
-    ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int
-) -> list[tuple[int, int, int]]:
-    """(query id, row id, score) of the k best rows of a block for each query."""
-    low = np.floor_divide(rows, CELL) * CELL
-    cells = low.astype(np.float64)
-    plus, minus = np.maximum(queries, 0).astype(float), np.minimum(queries, 0).astype(float)
-    # Within a cell a component lies in [low, low + CELL - 1]; sums of integers stay exact.
-    base = queries.astype(float) @ cells.T
-    upper = base + (CELL - 1) * plus.sum(1)[:, None]
-    lower = base + (CELL - 1) * minus.sum(1)[:, None]
-    out = []
-    for q in range(len(queries)):
-        others = np.flatnonzero(ids != query_ids[q])
-        if not len(others):
-            continue
-        high = upper[q, others]
-        if len(others) > k:
-            sure = np.partition(lower[q, others], len(others) - k)[len(others) - k]
-            keep = high >= sure
-            others, high = others[keep], high[keep]
-        order = np.argsort(-high, kind="stable")
-        others, high = others[order], high[order]
-        best: list[tuple[int, int]] = []
-        for at in range(0, len(others), PORTION):
-            if len(best) == k and high[at] < best[-1][0]:
-                break
-            part = others[at : at + PORTION]
-            scores = rows[part] @ queries[q]
-            best += zip(scores.tolist(), ids[part].tolist())
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        out += [(int(query_ids[q]), i, s) for s, i in best]
-    return out
+def approximated(rows: DataFrame, cells: int) -> DataFrame:
+    """The approximation file (row, id, size, cells, low, width, off) of vectors (row, id, vector).
+
+    ``off`` is the distance of the vector from the centres of its cells.
+    """
+
+    def start():
+        def encode(batch):
+            out = []
+            for row, row_id, vector in batch:
+                low, high = min(vector, default=0), max(vector, default=0)
+                width = max(1, -(-(high - low + 1) // cells))
+                # Components are whole numbers of any size; their place on the grid is small.
+                places = [(x - low) // width for x in vector]
+                off = math.sqrt(sum((2 * (x - low - p * width) - width + 1) ** 2 for x, p in zip(vector, places))) / 2
+                out.append((row, row_id, len(vector), bytes(places), low, width, off))
+            return out
+
+        return encode
+
+    schema = "row bigint, id bigint, size int, cells binary, low bigint, width bigint, off double"
+    return map_rows(rows.select("row", "id", "vector"), schema, start)
+
+
+def centres(frame: pd.DataFrame) -> np.ndarray:
+    """Centres of the cells of some rows of the approximation file with equally many components."""
+    cells = np.frombuffer(b"".join(frame["cells"]), np.uint8).reshape(len(frame), -1)
+    low, width = (frame[c].to_numpy(np.float64)[:, None] for c in ("low", "width"))
+    return cells * width + low + (width - 1) / 2
+
+
+def bounds_in_block(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> list[tuple[np.ndarray, ...]]:
+    """(query rows, row numbers, lower, upper) of the rows of a block that may be a query's best."""
+    at, to = centres(rows), centres(queries)
+    off, query_off = rows["off"].to_numpy(), queries["off"].to_numpy()
+    length, query_length = np.linalg.norm(at, axis=1), np.linalg.norm(to, axis=1)
+    row_ids, numbers = rows["id"].to_numpy(), rows["row"].to_numpy()
+    query_ids, query_numbers = queries["id"].to_numpy(), queries["row"].to_numpy()
+    by_id = np.argsort(row_ids, kind="stable")
+    first = np.searchsorted(row_ids[by_id], query_ids, "left")
+    last = np.searchsorted(row_ids[by_id], query_ids, "right")
+    found = []
+    for start in range(0, len(to), QUERIES_AT_ONCE):
+        part = slice(start, start + QUERIES_AT_ONCE)
+        middle = to[part] @ at.T
+        # |x||y| bounds: each factor is its centre, off by no more than its distance from it.
+        slack = query_length[part, None] * off + query_off[part, None] * (length + off)
+        slack += ROUNDING * (query_length[part, None] + query_off[part, None]) * (length + off)
+        lower, upper = middle - slack, middle + slack
+        for q in np.flatnonzero(last[part] > first[part]).tolist():
+            own = by_id[first[start + q] : last[start + q]]
+            lower[q, own] = upper[q, own] = -np.inf
+        least = np.full(len(lower), -np.inf)
+        if len(at) > k:
+            least = np.partition(lower, len(at) - k, axis=1)[:, len(at) - k]
+        q, r = np.nonzero((upper >= least[:, None]) & (upper > -np.inf))
+        found.append((query_numbers[part][q], numbers[r], lower[q, r], upper[q, r]))
+    return found
 
 
 def top_k(
@@ -87,54 +123,79 @@ def top_k(
     vector_col: str = "vector",
     rows_per_block: int = ROWS_PER_BLOCK,
     queries_per_block: int = QUERIES_PER_BLOCK,
+    cells: int = CELLS,
 ) -> DataFrame:
     """(query_id, rank, id, score): the k rows with the highest inner product per query.
 
-    Both frames hold an id and an array of integers. The queries are repeated once per
-    group of rows, so each pair of blocks meets in a keyed group of bounded size.
+    Both frames hold an id and an array of integers.
     """
 
-    def packed(frame: DataFrame, name: str, size: int) -> tuple[DataFrame, int]:
+    def stored(frame: DataFrame, name: str, size: int) -> tuple[DataFrame, DataFrame, int]:
         v = F.col(vector_col)
         rows = frame.where(v.isNotNull() & ~F.exists(v, lambda x: x.isNull()))
         rows = rows.where(F.col(id_col).isNotNull()).select(
-            F.col(id_col).cast("bigint").alias(f"{name}_id"),
-            F.transform(v, lambda x: x.cast("bigint")).alias(name),
-        )
-        rows = saved(rows, f"vectors-{name}")
-        return rows, max(1, -(-rows.count() // size))
+            F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("id"),
+            F.transform(v, lambda x: x.cast("bigint")).alias("vector"),
+        )
+        exact = saved(rows, f"vectors-{name}")
+        near = saved(approximated(exact, cells), f"cells-{name}")
+        return exact, near, max(1, -(-near.count() // size))
 
-    rows, row_blocks = packed(df, "row", rows_per_block)
-    asked, query_blocks = packed(queries, "query", queries_per_block)
+    exact, near, row_blocks = stored(df, "rows", rows_per_block)
+    asked, asking, query_blocks = stored(queries, "queries", queries_per_block)
 
-    def block(c: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    def block(n: int) -> Column:
+        return F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
 
     # Every row goes to each block of queries and every query to each block of rows.
-    left = rows.select(
-        block("row_id", row_blocks).alias("a"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("b"),
-        F.lit(False).alias("asks"), F.col("row_id").alias("id"), F.col("row").alias("vector"),
-    )
-    right = asked.select(
-        F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("a"),
-        block("query_id", query_blocks).alias("b"),
-        F.lit(True).alias("asks"), F.col("query_id").alias("id"), F.col("query").alias("vector"),
-    )
+    left = near.withColumns({"asks": F.lit(False), "a": block(row_blocks)})
+    left = left.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    right = asking.withColumns({"asks": F.lit(True), "b": block(query_blocks)})
+    right = right.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
+    names = ["query", "row", "lower", "upper"]
 
     def meet(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int, int]] = []
-        sizes = frame["vector"].map(len)
-        for _, part in frame.groupby(sizes):
-            vectors = np.stack(part["vector"].to_list()).astype(np.int64)
-            ids, asks = part["id"].to_numpy(), part["asks"].to_numpy(bool)
-            if asks.any() and not asks.all():
-                found += search_block(ids[~asks], vectors[~asks], ids[asks], vectors[asks], k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    near = left.unionAll(right).groupBy("a", "b").applyInPandas(
-        meet, "query_id bigint, vec_id bigint, score bigint"
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
+        asks = frame["asks"].to_numpy(bool)
+        found = []
+        if asks.any() and not asks.all():
+            found = bounds_in_block(frame[~asks], frame[asks], k)
+        columns = [np.concatenate(x) for x in zip(*found)] if found else [[]] * 4
+        return pd.DataFrame(dict(zip(names, columns)))
+
+    candidates = saved(
+        left.unionByName(right).groupBy("size", "a", "b").applyInPandas(
+            meet, "query bigint, row bigint, lower double, upper double"
+        ),
+        "vectors-bounds",
+    )
+
+    def kth(frame: DataFrame, value: str, name: str) -> DataFrame:
+        """(query, the k-th highest value), for queries that have as many."""
+        order = Window.partitionBy("query").orderBy(F.desc(value))
+        top = frame.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k)
+        few = top.groupBy("query").agg(F.min(value).alias(name), F.count(F.lit(1)).alias("__n"))
+        return few.where(F.col("__n") == k).drop("__n")
+
+    def at_least(frame: DataFrame, limits: DataFrame, name: str) -> DataFrame:
+        met = frame.join(limits, "query", "left")
+        return met.where(F.col(name).isNull() | (F.col("upper") >= F.col(name))).drop(name)
+
+    def scored(frame: DataFrame) -> DataFrame:
+        """(query, row, query_id, id, score) of the exact vectors."""
+        mine = asked.select(F.col("row").alias("query"), F.col("id").alias("query_id"), F.col("vector").alias("asked"))
+        product = F.aggregate(
+            F.zip_with("asked", "vector", lambda x, y: x * y), F.lit(0).cast("bigint"), lambda a, x: a + x
+        )
+        return frame.join(mine, "query").join(exact, "row").select(
+            "query", "row", "query_id", "id", product.alias("score")
+        )
+
+    left_over = saved(at_least(candidates, kth(candidates, "lower", "least"), "least"), "vectors-left")
+    best_first = Window.partitionBy("query").orderBy(F.desc("upper"), "row")
+    first = left_over.withColumn("__n", F.row_number().over(best_first)).where(F.col("__n") <= k)
+    sure = saved(scored(first.select("query", "row")), "vectors-first")
+    more = at_least(left_over, kth(sure, "score", "least"), "least").select("query", "row")
+    rest = scored(more.join(sure.select("query", "row"), ["query", "row"], "left_anti"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    ranked = sure.unionByName(rest).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
