@@ -34,11 +34,14 @@ from weir.llm.common import map_rows, saved
 VOCABULARY = "word_bpe_49k.json"
 LENGTH = 4096
 END = 2
+WORD_END = "</w>"
 DIMENSIONS, BITS = 4, 8
 KEPT_WORDS = 500_000
 # Splitting at white space leaves the tokens as they are, unless one of these separators,
 # which the tokenizer treats as signs, is in the text.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+# Signs that never join a letter in one token; an apostrophe may.
+_SIGNS = ",.!?;:*#&%$|@+-/()[]{}<>=_~^\"\\"
 
 
 class Words:
@@ -50,6 +53,9 @@ class Words:
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        # Whether a token is the last of a word.
+        self.last = np.zeros(self.size, bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(WORD_END)]] = True
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
@@ -58,7 +64,7 @@ class Words:
         """The ids of several texts; new words of all of them are tokenised in one go."""
         odd = [bool(_ODD_SPACE.search(text)) for text in texts]
         words = [[] if x else text.split() for x, text in zip(odd, texts)]
-        used = {w for found in words for w in found}
+        used = set().union(*words)
         new = used - self.known.keys()
         if len(self.known) + 2 * len(new) > KEPT_WORDS:
             self.known.clear()
@@ -74,14 +80,43 @@ class Words:
 
     def learn(self, words: set[str]) -> None:
         known = self.known
-        # A comma or stop after a letter is a token run of its own.
-        cut = {w for w in words if w[-1] in ",." and w[-2:-1].isalpha()}
-        new = list({w[:-1] if w in cut else w for w in words} - known.keys())
-        new += [x for x in (",", ".") if x not in known and x not in new]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[w] = self.pack(e.ids)
-        for w in cut:
-            known[w] = known[w[:-1]] + known[w[-1]]
+        # Signs after a run of letters are a token run of their own, and capitals of ASCII
+        # are read as small letters; so fewer different runs are left to tokenise.
+        cut, runs, rest = [], set(), []
+        for w in words:
+            core = w.rstrip(_SIGNS)
+            if not core.isalpha():
+                rest.append(w)
+                continue
+            low = core.lower() if core.isascii() else core
+            tail = w[len(core) :]
+            runs.add(low)
+            if tail and tail not in known:
+                self.learn_each([tail])
+            if low is not w:
+                cut.append((w, low, tail))
+        self.learn_runs(list(runs - known.keys()))
+        self.learn_each(rest)
+        known[""] = b""
+        known.update((w, known[low] + known[tail]) for w, low, tail in cut)
+
+    def learn_each(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            self.known[w] = self.pack(e.ids)
+
+    def learn_runs(self, runs: list[str]) -> None:
+        """Runs of letters: many are one text, whose tokens tell where a run ends."""
+        for at in range(0, len(runs), 1000):
+            part = runs[at : at + 1000]
+            ids = self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids
+            coded = np.array(ids, self.kind)
+            ends = (np.flatnonzero(self.last[coded]) + 1).tolist()
+            if len(ends) != len(part):
+                self.learn_each(part)
+                continue
+            raw, size = coded.tobytes(), self.kind.itemsize
+            for w, start, end in zip(part, [0, *ends], ends):
+                self.known[w] = raw[start * size : end * size]
 
 
 def signs(size: int, dimensions: int) -> np.ndarray:
