@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weir.llm.common import saved
+from weir.llm.common import saved, seldom_collect
 
 LEAST_DOCS = 30
 SMOOTHING = 5
@@ -75,6 +75,7 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     The term '' stands for the group itself.
     """
+    seldom_collect()
     counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
     def held() -> Iterator[pa.RecordBatch]:

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from weir.llm.common import map_rows, saved
+from weir.llm.common import map_rows, saved, seldom_collect
 
 TOP = 50
 # Terms of items that are searched with one reading of the documents.
@@ -92,6 +92,7 @@ def term_counts(df: DataFrame, id_col: str, text_col: str, terms: dict[bytes, in
     shared = df.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seldom_collect()
         number = shared.value.get
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
