@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from weir.llm import chosen_path
@@ -94,3 +95,35 @@ def test_components_of_a_shuffled_chain(spark):
     links = list(zip(order, order[1:])) + [(500, 501), (501, 500), (7, 7)]
     found = components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
     assert {r.root for r in found if r.x < 500} == {0} and len(found) == 202
+
+
+def test_odd_sketches_never_rule_out_a_link():
+    """Sets from far below to above the threshold, small and beyond the size of the sketch."""
+    rng = np.random.default_rng(5)
+    ruled_out = 0
+    for size in (1, 7, 150, 3000):
+        for shared in np.linspace(0, 1, 41):
+            both = int(size * shared)
+            a, b, common = (rng.integers(0, 2**64, n, np.uint64) for n in (size - both, size - both, both))
+            a, b = np.union1d(a, common), np.union1d(b, common)
+            rows = [np.zeros(chosen_path.TOKENS, np.uint64)] * 2
+            x, y = (chosen_path.sketches_of([chosen_path.sketch_of(s, t)]) for s, t in zip((a, b), rows))
+            may = bool(chosen_path.may_link(x, y)[0])
+            linked = 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
+            assert may or not linked
+            ruled_out += not may
+    assert ruled_out > 100
+
+
+def test_large_group_of_copies_around_the_threshold(spark):
+    """Most pairs of the group lie a little below the threshold: few are left to confirm."""
+    rng = random.Random(11)
+    base = [rng.choice("abcdefghij") + str(rng.randrange(10_000)) for _ in range(150)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(150), rng.randrange(10)):
+            words[at] = f"edit{i}x{at}"
+        rows.append((i, " ".join(words), None, ""))
+    found = chosen_path.near_duplicates(spark.createDataFrame(rows, DOC)).collect()
+    assert {r.doc_id: r.component_id for r in found} == brute_force(rows)

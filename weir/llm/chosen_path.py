@@ -7,7 +7,11 @@ stay together along some path with good odds, others part soon. ``TREES`` indepe
 lift the recall of what one tree may miss. Small nodes are compared exhaustively.
 
 Candidate pairs are those whose tokens agree often enough, 4.5 standard errors below the
-threshold, and each is confirmed on the full sets:
+threshold, and whose odd sketches allow it: an odd sketch is a row of bits, each turned over
+once per shingle that falls on it, so two sets differ in at least as many shingles as their
+sketches in bits. That bound is never wrong, and it is sharp where tokens alone leave a large
+group of copies somewhat below the threshold undecided. Each candidate is confirmed on the
+full sets:
 
 1. in each of ``PIVOTS`` rounds every root node has a pivot, and each document is confirmed
    against the most similar pivot of another component that it met; this links large groups
@@ -26,10 +30,11 @@ texts. Repeated rows get equal results; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +53,13 @@ PIVOTS = 4
 # Members that are sent to one copy of a document to be compared with it.
 MEMBERS = 64
 ERRORS = 4.5
+# Bits of the odd sketch; sharp up to about half as many shingles, a valid bound for more.
+ODD_BITS = 2048
+# A sketch: a byte of each token, the odd sketch, and the size of the set.
+_ODD = slice(TOKENS, TOKENS + ODD_BITS // 8)
+_SIZE = slice(_ODD.stop, _ODD.stop + 8)
+# Pairs of a block that are compared at once.
+PAIRS = 2048
 KEPT_WORDS = 400_000
 
 _SEEDS = np.array(
@@ -99,9 +111,36 @@ def minima(found: np.ndarray) -> np.ndarray:
     return best
 
 
+def odd_sketch(found: np.ndarray) -> np.ndarray:
+    """Bits, packed to bytes, that tell on which places an odd number of the set falls."""
+    at = (found >> np.uint64(13)) & np.uint64(ODD_BITS - 1)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=ODD_BITS).astype(np.uint8) & 1)
+
+
+def sketch_of(found: np.ndarray, best: np.ndarray) -> bytes:
+    """The sketch of a set with the token values ``best``."""
+    tokens = ((best * _MIX) >> _TOP).astype(np.uint8)
+    return tokens.tobytes() + odd_sketch(found).tobytes() + len(found).to_bytes(8, "little")
+
+
+def sketches_of(column: Iterable[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, _SIZE.stop)
+
+
+def may_link(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Whether rows of two tables of sketches can reach the threshold.
+
+    With S the sum of both sizes and D the number of different bits the sets share at most
+    (S - D) / 2 shingles; they are not alike enough if that is too few.
+    """
+    apart = np.bitwise_count(a[:, _ODD] ^ b[:, _ODD]).sum(1, dtype=np.int64)
+    total = sum(np.ascontiguousarray(x[:, _SIZE]).view("<i8")[:, 0] for x in (a, b))
+    return (100 - percent) * total >= (100 + percent) * apart
+
+
 def sketched(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(id, n, digest, first, sketch): set size, name of the set, its tokens in full for the
-    roots of the trees, and a byte of each token."""
+    roots of the trees, and its sketch."""
 
     def start():
         shingles = Shingles(size)
@@ -116,7 +155,7 @@ def sketched(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
                 best = minima(found)
                 digest = xxhash.xxh3_128_digest(found.tobytes())
                 first = best[:TREES].astype(np.int64).tolist()
-                out.append((row_id, len(found), digest, first, ((best * _MIX) >> _TOP).astype(np.uint8).tobytes()))
+                out.append((row_id, len(found), digest, first, sketch_of(found, best)))
             return out
 
         return sketch
@@ -126,10 +165,11 @@ def sketched(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
 
 
 def agreement(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Share of tokens that two columns of sketches have in common."""
-    a = np.frombuffer(b"".join(left), np.uint8).reshape(-1, TOKENS)
-    b = np.frombuffer(b"".join(right), np.uint8).reshape(-1, TOKENS)
-    return pd.Series((a == b).mean(1))
+    """Share of tokens that two columns of sketches have in common; 0 for pairs that the odd
+    sketches rule out."""
+    a, b = sketches_of(left), sketches_of(right)
+    same = (a[:, :TOKENS] == b[:, :TOKENS]).mean(1)
+    return pd.Series(np.where(may_link(a, b), same, 0.0))
 
 
 def least_agreement(percent: int, errors: float) -> float:
@@ -190,48 +230,58 @@ def pairs_in_nodes(rows: DataFrame, least: float) -> DataFrame:
     asking = rows.where("root <> main").withColumns({"j": place(parts), "asks": F.lit(True)})
     asking = asking.withColumn("i", F.explode(F.sequence(F.lit(0), chunks - 1))).select(*columns)
 
-    def found_in(block: pd.DataFrame) -> pd.DataFrame:
-        asks = block["asks"].to_numpy(bool)
-        if not asks.any():
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        node = int(block["node"].iloc[0])
-        rep, root = block["rep"].to_numpy(), block["root"].to_numpy()
-        sketch = np.frombuffer(b"".join(block["sketch"]), np.uint8).reshape(-1, TOKENS)
-        homes = [set(x) for x in block["homes"]]
-        answer = np.flatnonzero(~asks)
-        theirs, roots = sketch[answer], root[answer]
-        asking_reps = set(rep[asks].tolist())
-        pairs = []
-        for x in np.flatnonzero(asks):
-            like = (theirs == sketch[x]).mean(1) >= least
-            for y in answer[like & (roots != root[x])].tolist():
+    def pairs_of(node: int, asks, rep, root, sketch, homes) -> Iterator[tuple[int, int]]:
+        asking, answer = np.flatnonzero(asks), np.flatnonzero(~asks)
+        if not len(asking) or not len(answer):
+            return
+        theirs = sketch[answer, :TOKENS]
+        asking_reps = set(rep[asking].tolist())
+        step = max(1, PAIRS // len(answer))
+        for at in range(0, len(asking), step):
+            mine = asking[at : at + step]
+            same = np.count_nonzero(sketch[mine, None, :TOKENS] == theirs, axis=2)
+            i, j = np.nonzero((same >= least * TOKENS) & (root[mine, None] != root[answer]))
+            x, y = mine[i], answer[j]
+            kept = may_link(sketch[x], sketch[y])
+            for one, other in zip(x[kept].tolist(), y[kept].tolist()):
+                a, b = int(rep[one]), int(rep[other])
                 # Two askers find each other twice, and blocks that meet again do so in order.
-                if rep[y] in asking_reps and rep[y] < rep[x]:
+                if b in asking_reps and b < a:
                     continue
-                if min(homes[x] & homes[y], default=node) == node or node not in homes[x]:
-                    pairs.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
-        return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
-
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        key = None
-        for frame in frames:
-            # Rows come sorted by block; a block may go on in the next batch.
-            keys = frame[["node", "i", "j"]]
-            cuts = (keys != keys.shift()).any(axis=1).cumsum()
-            for _, part in frame.groupby(cuts, sort=False):
-                name = tuple(part[["node", "i", "j"]].iloc[0])
-                if held and name != key:
-                    yield found_in(pd.concat(held))
-                    held = []
-                key = name
-                held.append(part)
+                mine_at, theirs_at = homes[one].as_py(), homes[other].as_py()
+                if node not in mine_at or min(set(mine_at) & set(theirs_at), default=node) == node:
+                    yield min(a, b), max(a, b)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found_in(rows: pa.RecordBatch, cuts: list[int]) -> pa.RecordBatch:
+            node, asks, rep, root = (
+                rows.column(c).to_numpy(zero_copy_only=False) for c in ("node", "asks", "rep", "root")
+            )
+            sketch, homes = sketches_of(rows.column("sketch").to_pylist()), rows.column("homes")
+            pairs = []
+            for at, end in zip(cuts, cuts[1:]):
+                part = slice(at, end)
+                pairs += pairs_of(
+                    int(node[at]), asks[part], rep[part], root[part], sketch[part], homes[part]
+                )
+            a, b = zip(*pairs) if pairs else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        # Rows come sorted by block; the last block of a batch may go on in the next one.
+        held: pa.RecordBatch | None = None
+        for batch in batches:
+            rows = pa.concat_batches([held, batch]) if held else batch
+            keys = np.array([rows.column(c).to_numpy() for c in ("node", "i", "j")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist()]
+            if len(cuts) > 1:
+                yield found_in(rows, cuts)
+            held = rows.slice(cuts[-1])
         if held:
-            yield found_in(pd.concat(held))
+            yield found_in(held, [0, held.num_rows])
 
     spread = answers.unionByName(asking)
     ordered = spread.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
-    return ordered.mapInPandas(compare, "a bigint, b bigint")
+    return ordered.mapInArrow(compare, "a bigint, b bigint")
 
 
 def confirm(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
