@@ -17,10 +17,13 @@ packed. Null ids come first. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 import os
 import re
+import unicodedata
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
@@ -34,7 +37,6 @@ from weir.llm.common import map_rows, saved
 VOCABULARY = "word_bpe_49k.json"
 LENGTH = 4096
 END = 2
-WORD_END = "</w>"
 DIMENSIONS, BITS = 4, 8
 KEPT_WORDS = 500_000
 # Splitting at white space leaves the tokens as they are, unless one of these separators,
@@ -44,79 +46,96 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SIGNS = ",.!?;:*#&%$|@+-/()[]{}<>=_~^\"\\"
 
 
+@functools.cache
+def _long_a_letter(char: str) -> bool:
+    """Whether all Unicode tables since 3.2 know the character as a letter."""
+    return unicodedata.ucd_3_2_0.category(char).startswith("L")
+
+
+class _Known(dict):
+    """Token ids by word. A word that is missing is taken from the generation before or else
+    tokenised."""
+
+    def __init__(self, tokenised: Callable[[str, _Known], bytes], before: dict[str, bytes]):
+        super().__init__()
+        self.tokenised, self.before = tokenised, before
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.before.get(word)
+        if found is None:
+            found = self.tokenised(word, self)
+        self[word] = found
+        return found
+
+
 class Words:
-    """Token ids of texts as 16- or 32-bit integers, word by word with a memory."""
+    """Token ids of texts as 16- or 32-bit integers, word by word with a memory.
+
+    The memory has two generations, so common words outlive the many that occur once. Runs of
+    letters go to the tokenizer's merges directly: normalising a run and finding that it is one
+    piece would cost more than its merges.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges, self.normal = self.tokenizer.model, self.tokenizer.normalizer
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-        # Whether a token is the last of a word.
-        self.last = np.zeros(self.size, bool)
-        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(WORD_END)]] = True
+        self.bytes = [i.to_bytes(self.kind.itemsize, "little") for i in range(self.size)]
+        self.letters = {chr(b): letter for b, letter in byte_letters().items()}
+        self.known = _Known(self.of_word, {})
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return b"".join([self.bytes[i] for i in ids])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of several texts; new words of all of them are tokenised in one go."""
-        odd = [bool(_ODD_SPACE.search(text)) for text in texts]
-        words = [[] if x else text.split() for x, text in zip(odd, texts)]
-        used = set().union(*words)
-        new = used - self.known.keys()
-        if len(self.known) + 2 * len(new) > KEPT_WORDS:
-            self.known.clear()
-            new = used
-        self.learn(new)
+        """The ids of several texts."""
+        if len(self.known) > KEPT_WORDS // 2:
+            self.known = _Known(self.of_word, dict(self.known))
         look = self.known.__getitem__
         return [
-            self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            if x
-            else b"".join(map(look, found))
-            for x, text, found in zip(odd, texts, words)
+            self.whole(text) if _ODD_SPACE.search(text) else b"".join(map(look, text.split()))
+            for text in texts
         ]
 
-    def learn(self, words: set[str]) -> None:
-        known = self.known
+    def whole(self, text: str) -> bytes:
+        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def of_word(self, word: str, known: _Known) -> bytes:
+        """The ids of a word that is not known yet."""
         # Signs after a run of letters are a token run of their own, and capitals of ASCII
         # are read as small letters; so fewer different runs are left to tokenise.
-        cut, runs, rest = [], set(), []
-        for w in words:
-            core = w.rstrip(_SIGNS)
-            if not core.isalpha():
-                rest.append(w)
-                continue
-            low = core.lower() if core.isascii() else core
-            tail = w[len(core) :]
-            runs.add(low)
-            if tail and tail not in known:
-                self.learn_each([tail])
-            if low is not w:
-                cut.append((w, low, tail))
-        self.learn_runs(list(runs - known.keys()))
-        self.learn_each(rest)
-        known[""] = b""
-        known.update((w, known[low] + known[tail]) for w, low, tail in cut)
-
-    def learn_each(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[w] = self.pack(e.ids)
-
-    def learn_runs(self, runs: list[str]) -> None:
-        """Runs of letters: many are one text, whose tokens tell where a run ends."""
-        for at in range(0, len(runs), 1000):
-            part = runs[at : at + 1000]
-            ids = self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids
-            coded = np.array(ids, self.kind)
-            ends = (np.flatnonzero(self.last[coded]) + 1).tolist()
-            if len(ends) != len(part):
-                self.learn_each(part)
-                continue
-            raw, size = coded.tobytes(), self.kind.itemsize
-            for w, start, end in zip(part, [0, *ends], ends):
-                self.known[w] = raw[start * size : end * size]
+        core = word.rstrip(_SIGNS)
+        if not core.isalpha():
+            return self.whole(word)
+        low = core.lower() if core.isascii() else core
+        if low != word:
+            tail = word[len(core) :]
+            return known[low] + (known[tail] if tail else b"")
+        return self.of_run(word)
+
+    def of_run(self, run: str) -> bytes:
+        if not run.isascii():
+            normal = self.normal.normalize_str(run)
+            if not all(map(_long_a_letter, normal)):
+                return self.whole(run)
+            run = "".join(map(self.letters.__getitem__, normal.encode().decode("latin-1")))
+        return b"".join([self.bytes[t.id] for t in self.merges.tokenize(run)])
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1
+    characters stand for themselves, the others are numbered from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+@functools.lru_cache(1)
+def words_of(path: str) -> Words:
+    """One memory of words per Python worker, which serves one task after the other."""
+    return Words(path)
 
 
 def signs(size: int, dimensions: int) -> np.ndarray:
@@ -161,7 +180,7 @@ def tokenised(df: DataFrame, id_col: str, text_col: str, path: str, dimensions:
     """(id, __hash, __n, __ids, __at): token ids as bytes and the projected vector."""
 
     def start():
-        words = Words(path)
+        words = words_of(path)
         table = signs(words.size, dimensions)
         end = words.pack([END])
 
