@@ -380,3 +380,25 @@ def test_between_dates_on_a_text_column(spark):
     df = spark.createDataFrame([("2022-01-02",), ("no date",), (None,)], "s string")
     kept = df.where(predicate("s", "between", ["2022-01-01", "2022-01-31"]))
     assert [r.s for r in kept.collect()] == ["2022-01-02"]
+
+
+def test_star_joins_the_names_of_suppliers_last(spark, tmp_path):
+    tables = {
+        "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_quantity double,"
+        " l_discount double, l_tax double, l_returnflag string, l_linestatus string,"
+        " l_shipdate timestamp",
+        "orders": "o_orderkey bigint, o_custkey bigint, o_orderpriority string",
+        "customer": "c_custkey bigint, c_nationkey int",
+        "part": "p_partkey bigint, p_brand string",
+        "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+        "nation": "n_nationkey int, n_name string, n_regionkey int",
+        "region": "r_regionkey int, r_name string",
+    }
+    for name, columns in tables.items():
+        spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    plan = flows_from_star(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    # Outermost first; line items do not travel by customer.
+    assert "l_suppkey" in joins[0]
+    assert not [line for line in joins if "l_" in line and "custkey" in line]
+    assert sum("l_" in line for line in joins) == 3

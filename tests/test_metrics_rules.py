@@ -208,3 +208,30 @@ def test_profile_parts(spark):
     assert scores["uniqueness"]["value"] == pytest.approx(87.5)
     assert scores["charm"]["message"] == "Unknown metric: charm"
     assert parts["sample"].count() == 2
+
+
+def test_rule_counts_read_the_rows_once(spark, tmp_path):
+    path = str(tmp_path / "flows")
+    rule_table(spark).write.parquet(path)
+    counts = rules.violation_counts(spark.read.parquet(path))
+    # All rules are counted from written groups; the table itself is not scanned again.
+    assert not [f for f in counts.inputFiles() if "/flows/" in f]
+    assert {r["rule_id"] for r in rows_of(counts)} == set(rules.RULES)
+
+
+def test_rule_counts_equal_the_rules(spark):
+    df = flows(
+        spark,
+        # Median 0.5 in both states together, and at or below zero in each of most rows.
+        *[{"loc_name": None, "eff_gas_day": day(n), "scheduled_quantity": 0.0} for n in range(8)],
+        *[
+            {"loc_name": None, "state_abb": None, "eff_gas_day": day(n), "scheduled_quantity": 1.0}
+            for n in range(8)
+        ],
+        {"pipeline_name": None, "eff_gas_day": None, "scheduled_quantity": None},
+        {"pipeline_name": None, "rec_del_sign": -1, "scheduled_quantity": 9.0, "latitude": None},
+    )
+    counts = {r["rule_id"]: r["violations"] for r in rows_of(rules.violation_counts(df))}
+    assert counts == {rule_id: rule(df).count() for rule_id, rule in rules.RULES.items()}
+    empty = {r["rule_id"]: r["violations"] for r in rows_of(rules.violation_counts(df.limit(0)))}
+    assert empty == dict.fromkeys(rules.RULES, 0)

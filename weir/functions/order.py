@@ -69,6 +69,26 @@ def median_of_list(c: Column) -> Column:
     return F.when(n > 0, low + (high - low) / 2)
 
 
+def median_parts(c: Column) -> dict[str, Column]:
+    """Aggregates that tell the sign of a median; parts of a group merge by sum, max and min."""
+    return {
+        "n": F.count(c),
+        "low": F.count_if(c <= 0),
+        "below": F.max(F.when(c <= 0, c)),
+        "above": F.min(F.when(c > 0, c)),
+    }
+
+
+def positive_by_parts(n: Column, low: Column, below: Column, above: Column) -> Column:
+    """Whether the interpolated median is above zero, by the aggregates of `median_parts`."""
+    return (
+        F.when(n == 0, False)
+        .when(low <= F.floor((n - 1) / 2), True)
+        .when(low > F.floor(n / 2), False)
+        .otherwise(below + above > 0)
+    )
+
+
 def median_is_positive(c: Column) -> Column:
     """Whether the interpolated median of a group is above zero, as one plain aggregate.
 
@@ -76,14 +96,7 @@ def median_is_positive(c: Column) -> Column:
     on which side each of them lies; only when the middle falls between the two sides do
     the largest value below and the smallest above matter.
     """
-    n, low = F.count(c), F.count_if(c <= 0)
-    split = F.max(F.when(c <= 0, c)) + F.min(F.when(c > 0, c)) > 0
-    return (
-        F.when(n == 0, False)
-        .when(low <= F.floor((n - 1) / 2), True)
-        .when(low > F.floor(n / 2), False)
-        .otherwise(split)
-    )
+    return positive_by_parts(**median_parts(c))
 
 
 def broadcast_size(texts: Sequence[str]) -> Column:

@@ -16,8 +16,9 @@ from weir.functions.columns import (
     receipt_quantity,
     total,
 )
-from weir.functions.order import median_is_positive
+from weir.functions.order import median_is_positive, median_parts, positive_by_parts
 from weir.operators.basic import active_locations, scope
+from weir.session import written
 from weir.sources.flows import FLOW_SCHEMA
 
 # Fixed thresholds and rule texts.
@@ -178,15 +179,16 @@ def pipeline_imbalance(
     keys = ["pipeline_name", "eff_gas_day"]
     if not has_columns(df, *keys, "rec_del_sign", "scheduled_quantity"):
         return _no_rows(df, [*keys, *columns])
-    net = F.col("receipts") - F.col("deliveries")
-    balance = (
-        df.groupBy(*keys)
-        .agg(
-            total(receipt_quantity()).alias("receipts"),
-            total(delivery_quantity()).alias("deliveries"),
-        )
-        .withColumn("net", net)
-        .withColumn("imbalance_ratio", F.abs("net") / (F.col("receipts") + 1.0))
+    daily = df.groupBy(*keys).agg(
+        total(receipt_quantity()).alias("receipts"),
+        total(delivery_quantity()).alias("deliveries"),
+    )
+    return _out_of_balance(daily, threshold, mode)
+
+
+def _out_of_balance(daily: DataFrame, threshold: float, mode: str) -> DataFrame:
+    balance = daily.withColumn("net", F.col("receipts") - F.col("deliveries")).withColumn(
+        "imbalance_ratio", F.abs("net") / (F.col("receipts") + 1.0)
     )
     size = F.abs("net") if mode == "absolute" else F.col("imbalance_ratio") * 100
     return balance.where(size > threshold)
@@ -244,38 +246,71 @@ RULES: dict[str, Callable[[DataFrame], DataFrame]] = {
 def violation_counts(df: DataFrame, pipeline: str | None = None, since: Any = None) -> DataFrame:
     """(rule_id, violations) of all six rules on the scoped rows.
 
-    Rules that read the same rows in the same grouping share one scan: the two row rules,
-    and the two location rules.
+    The rows are read once, into one written row per place (location and state) and one per
+    pipeline and day; every rule is counted from those.
     """
     scoped = scope(df, pipeline, since)
     nothing = F.lit(0).cast("bigint")
+    places = keep_present(scoped, [*LOCATION, "state_abb"])
+    days = ["pipeline_name", "eff_gas_day"]
+    at_locations = has_columns(scoped, *LOCATION, "scheduled_quantity", "eff_gas_day")
+    balanced = has_columns(scoped, *days, "rec_del_sign", "scheduled_quantity")
     has_category = has_columns(scoped, "connecting_pipeline", "category_short")
+
+    found = {
+        "geo": F.count_if(_geo_is_missing(scoped)),
+        "category": F.count_if(_category_is_wrong()) if has_category else F.count_if(F.lit(False)),
+    }
+    if at_locations:
+        zero_day = F.when(F.col("scheduled_quantity") == 0, F.col("eff_gas_day"))
+        found |= median_parts(F.col("scheduled_quantity")) | {
+            "zero_days": F.count(zero_day),
+            "rows": F.count("eff_gas_day"),
+            "quantity": F.sum("scheduled_quantity"),
+        }
+    if balanced:
+        found |= {
+            "receipts": total(receipt_quantity()),
+            "deliveries": total(delivery_quantity()),
+            "of_day": F.grouping("eff_gas_day") == 0,
+        }
+        columns = list(dict.fromkeys([*places, *days]))
+        grouped = scoped.groupingSets([places, days], *columns)
+    else:
+        found["of_day"] = F.max(F.lit(False))
+        grouped = scoped.groupBy(*places)
+    groups = written(grouped.agg(*[c.alias(name) for name, c in found.items()]), "rule-groups")
+    of_place = groups.where(~F.coalesce("of_day", F.lit(False)))
+
     parts = [
-        scoped.agg(
-            F.count_if(_geo_is_missing(scoped)).alias("R-001"),
-            (F.count_if(_category_is_wrong()) if has_category else nothing).alias("R-005"),
-        )
+        of_place.agg(
+            F.coalesce(F.sum("geo"), nothing).alias("R-001"),
+            F.coalesce(F.sum("category"), nothing).alias("R-005"),
+        ),
+        locations_in_many_states(of_place.select(*places)).agg(F.count(F.lit(1)).alias("R-002")),
     ]
-    if has_columns(scoped, *LOCATION, "scheduled_quantity", "eff_gas_day"):
-        locations = scoped.groupBy(*LOCATION).agg(
-            *[c.alias(name) for name, c in _zero_day_columns().items()],
-            F.count("eff_gas_day").alias("rows"),
-            F.sum("scheduled_quantity").alias("quantity"),
+    if at_locations:
+        merged = of_place.groupBy(*LOCATION).agg(
+            *[F.sum(c).alias(c) for c in ("n", "low", "zero_days", "rows", "quantity")],
+            F.max("below").alias("below"),
+            F.min("above").alias("above"),
         )
+        active = positive_by_parts(*[F.col(c) for c in ("n", "low", "below", "above")])
         parts.append(
-            locations.agg(
-                F.count_if(F.col("active") & (F.col("zero_days") >= ZERO_STREAK_DAYS)).alias(
-                    "R-003"
-                ),
+            merged.agg(
+                F.count_if(active & (F.col("zero_days") >= ZERO_STREAK_DAYS)).alias("R-003"),
                 F.count_if((F.col("quantity") > 0) & (F.col("rows") < MIN_COVERED_DAYS)).alias(
                     "R-006"
                 ),
             )
         )
     else:
-        parts.append(scoped.agg(nothing.alias("R-003"), nothing.alias("R-006")))
-    for rule_id in ("R-002", "R-004"):
-        parts.append(RULES[rule_id](scoped).agg(F.count(F.lit(1)).alias(rule_id)))
+        parts.append(of_place.agg(*[F.count_if(F.lit(False)).alias(r) for r in ("R-003", "R-006")]))
+    if balanced:
+        off = _out_of_balance(groups.where("of_day"), IMBALANCE_THRESHOLD, "absolute")
+    else:
+        off = _no_rows(of_place, [])
+    parts.append(off.agg(F.count(F.lit(1)).alias("R-004")))
     long = [part.unpivot([], part.columns, "rule_id", "violations") for part in parts]
     return reduce(DataFrame.unionByName, long)
 

@@ -75,7 +75,9 @@ def flows_from_star(
     """The flow table seen through a retail star schema (line items as daily flows).
 
     Only the dimensions behind the asked columns are joined. Every line item has
-    exactly one match in each dimension, so leaving one out changes no row.
+    exactly one match in each dimension, so leaving one out changes no row. Dimensions are
+    joined with each other first: line items travel once per key of their own, and the names
+    of the supplier, which are the widest, come last.
     """
     wanted = list(columns) if columns is not None else list(_COLUMN_TABLES)
     unknown = [c for c in wanted if c not in _COLUMN_TABLES]
@@ -86,44 +88,61 @@ def flows_from_star(
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
-    df = read("lineitem")
-    if "supplier" in tables:
-        df = df.join(read("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    if "nation" in tables:
-        df = df.join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    if "region" in tables:
-        df = df.join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    # What a line item says by itself; names of other tables are not carried through its shuffles.
+    own = {
+        "connecting_pipeline": (F.col("l_returnflag") == "N").alias("no_brand"),
+        "rec_del_sign": F.when(F.col("l_linestatus") == "O", 1)
+        .otherwise(-1)
+        .cast("tinyint")
+        .alias("rec_del_sign"),
+        "latitude": (F.col("l_tax") == 0).alias("no_latitude"),
+        "longitude": (F.col("l_discount") == 0).alias("no_longitude"),
+        "eff_gas_day": F.col("l_shipdate").cast("date").alias("eff_gas_day"),
+        "scheduled_quantity": F.when(F.col("l_discount") == 0.1, 0.0)
+        .otherwise(F.col("l_quantity"))
+        .alias("scheduled_quantity"),
+    }
+    keys = {"part": "l_partkey", "orders": "l_orderkey", "supplier": "l_suppkey"}
+    df = read("lineitem").select(
+        *[key for name, key in keys.items() if name in tables],
+        *[c for name, c in own.items() if name in wanted],
+    )
     if "part" in tables:
         df = df.join(read("part"), F.col("l_partkey") == F.col("p_partkey"))
     if "orders" in tables:
-        df = df.join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    if "customer" in tables:
-        df = df.join(read("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    if "customer_nation" in tables:
-        buyers = read("nation").select(
-            F.col("n_nationkey").alias("cn_key"), F.col("n_name").alias("cn_name")
-        )
-        df = df.join(buyers, F.col("c_nationkey") == F.col("cn_key"))
-
-    urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
-    medium = F.col("o_orderpriority") == "3-MEDIUM"
+        urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+        medium = F.col("o_orderpriority") == "3-MEDIUM"
+        category = (
+            F.when(urgent, "Interconnect").when(medium, "LDC").otherwise("Industrial")
+        ).alias("category_short")
+        orders = read("orders").select("o_orderkey", "o_custkey", category)
+        if "customer" in tables:
+            orders = orders.join(read("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        if "customer_nation" in tables:
+            buyers = read("nation").select(
+                F.col("n_nationkey").alias("cn_key"), F.col("n_name").alias("cn_name")
+            )
+            orders = orders.join(buyers, F.col("c_nationkey") == F.col("cn_key"))
+        df = df.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    if "supplier" in tables:
+        suppliers = read("supplier")
+        if "nation" in tables:
+            suppliers = suppliers.join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        if "region" in tables:
+            suppliers = suppliers.join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        df = df.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+
     view = {
         "pipeline_name": F.col("r_name"),
         "loc_name": F.col("s_name"),
         "state_abb": F.col("n_name"),
         "connecting_entity": F.col("cn_name"),
-        "connecting_pipeline": F.when(F.col("l_returnflag") == "N", None).otherwise(
-            F.col("p_brand")
-        ),
-        "category_short": F.when(urgent, "Interconnect")
-        .when(medium, "LDC")
-        .otherwise("Industrial"),
-        "rec_del_sign": F.when(F.col("l_linestatus") == "O", 1).otherwise(-1).cast("tinyint"),
-        "latitude": F.when(F.col("l_tax") == 0, None).otherwise(F.col("s_acctbal")),
-        "longitude": F.when(F.col("l_discount") == 0, None).otherwise(F.col("s_acctbal")),
-        "eff_gas_day": F.col("l_shipdate").cast("date"),
-        "scheduled_quantity": F.when(F.col("l_discount") == 0.1, 0.0).otherwise(
-            F.col("l_quantity")
-        ),
+        "connecting_pipeline": F.when(F.col("no_brand"), None).otherwise(F.col("p_brand")),
+        "category_short": F.col("category_short"),
+        "rec_del_sign": F.col("rec_del_sign"),
+        "latitude": F.when(F.col("no_latitude"), None).otherwise(F.col("s_acctbal")),
+        "longitude": F.when(F.col("no_longitude"), None).otherwise(F.col("s_acctbal")),
+        "eff_gas_day": F.col("eff_gas_day"),
+        "scheduled_quantity": F.col("scheduled_quantity"),
     }
     return df.select(*[view[c].alias(c) for c in wanted])
