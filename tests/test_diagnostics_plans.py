@@ -323,3 +323,18 @@ def test_stream_and_batch_rollups_agree(spark, tmp_path):
         batch = daily_rollup(spark.read.parquet(folder))
         found = rows_of(read_rollup(spark, target), *ROLLUP_KEYS)
         assert found == rows_of(batch, *ROLLUP_KEYS), number
+
+
+def test_evidence_reads_the_rows_once(spark, tmp_path):
+    path = str(tmp_path / "flows")
+    table(spark).write.parquet(path)
+    read = spark.read.parquet(path)
+    evidence = dia.flow_evidence(read, "state")
+    # Every part works on written sums; the table itself is not scanned again.
+    assert not [f for f in evidence.inputFiles() if "/flows/" in f]
+    row = one(evidence)
+    assert row["calendar_signals"] == one(dia.weekend_effect(read))
+    assert row["peer_comparison"] == one(dia.peer_contrast(read, "state"))
+    assert row["balance_analysis"] == one(dia.balance_residual(read))
+    assert row["counterparty_analysis"] == one(dia.counterparty_concentration(read))
+    assert row["seasonal_stats"] == one(dia.seasonal_deviation(read))

@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weir.functions.columns import is_weekend, iso_weekday, signed_imbalance_pct, total
+from weir.functions.columns import (
+    delivery_quantity,
+    is_weekend,
+    iso_weekday,
+    receipt_quantity,
+    signed_imbalance_pct,
+    total,
+)
 from weir.functions.order import group_quantiles, nearest_of_list
 from weir.operators.aggregate import correlation_pairs, frequency
 from weir.operators.decompose import daily_series
@@ -19,7 +26,7 @@ from weir.operators.ranking import (
     with_share,
     with_trailing_mean,
 )
-from weir.session import read_twice
+from weir.session import read_twice, written
 
 ROLLING_DAYS = 30
 TREND_DAYS = 7
@@ -34,6 +41,14 @@ CHANGE_COLUMNS = [
     "after_std",
 ]
 
+def _day_counts() -> dict[str, Column]:
+    """What a day contributes to means and counts of rows."""
+    return {
+        "rows": F.count(F.lit(1)),
+        "known": F.count("scheduled_quantity"),
+        "quantity": F.sum("scheduled_quantity"),
+    }
+
 
 def _or(c: Column, default: float | str) -> Column:
     return F.coalesce(c, F.lit(default))
@@ -45,7 +60,11 @@ def daily_z_scores(df: DataFrame, value: str = "scheduled_quantity") -> DataFram
     One row per day, so the windows over the whole frame hold no more rows than the
     calendar. ``age`` is 1 for the last day.
     """
-    daily = daily_series(df, [], value).where(F.col("eff_gas_day").isNotNull())
+    return _z_scores(daily_series(df, [], value), value)
+
+
+def _z_scores(daily: DataFrame, value: str) -> DataFrame:
+    daily = daily.where(F.col("eff_gas_day").isNotNull())
     rolling = with_trailing_mean(daily, [], "eff_gas_day", value, "rolling_mean", ROLLING_DAYS)
     spread = F.stddev_samp(value).over(Window.partitionBy())
     return rolling.select(
@@ -59,6 +78,10 @@ def daily_z_scores(df: DataFrame, value: str = "scheduled_quantity") -> DataFram
 
 def seasonal_deviation(df: DataFrame, value: str = "scheduled_quantity") -> DataFrame:
     """Mean z of the last 30 days, nearest p95 of z, trend of the last 7 days, day count."""
+    return _seasonal_deviation(daily_series(df, [], value), value)
+
+
+def _seasonal_deviation(daily: DataFrame, value: str) -> DataFrame:
     v, age = F.col(value), F.col("age")
     slope = (
         F.max(F.when(age == 1, v)) - F.max(F.when(age == TREND_DAYS, v))
@@ -66,7 +89,7 @@ def seasonal_deviation(df: DataFrame, value: str = "scheduled_quantity") -> Data
     margin = TREND_MARGIN * F.avg(F.when(age <= TREND_DAYS, v))
     trend = F.when(slope > margin, "increasing").when(slope < -margin, "decreasing")
     current = F.avg(F.when(age <= ROLLING_DAYS, F.col("z_score")))
-    return daily_z_scores(df, value).agg(
+    return _z_scores(daily, value).agg(
         _or(F.round(current, 2), 0.0).alias("z_score_current"),
         _or(F.round(nearest_of_list(F.col("z_score"), 0.95), 2), 0.0).alias("z_score_p95"),
         _or(trend, "stable").alias("trend_direction"),
@@ -95,6 +118,10 @@ def peer_contrast(df: DataFrame, scope: str = "state") -> DataFrame:
     Average ranks of m values always have the mean (m + 1) / 2, so counting is enough;
     :func:`peer_table` has the percentile of every peer.
     """
+    return _peer_contrast(_peers(df, scope), scope)
+
+
+def _peer_contrast(peers: DataFrame, scope: str) -> DataFrame:
     n = F.count(F.lit(1))
 
     def mean_percentile(c: str) -> Column:
@@ -102,7 +129,7 @@ def peer_contrast(df: DataFrame, scope: str = "state") -> DataFrame:
         percentile = F.try_divide((ranked + 1) / 2, F.when(ranked > 0, n)) * 100
         return _or(F.round(percentile, 1), 50.0)
 
-    return _peers(df, scope).agg(
+    return peers.agg(
         mean_percentile("total_volume").alias("percentile_total"),
         mean_percentile("avg_volume").alias("percentile_avg"),
         n.alias("peer_count"),
@@ -112,8 +139,11 @@ def peer_contrast(df: DataFrame, scope: str = "state") -> DataFrame:
 
 def balance_residual(df: DataFrame) -> DataFrame:
     """Mean and spread of the signed daily imbalance of the whole table."""
-    daily = daily_balance(df, ["eff_gas_day"]).withColumn("pct", signed_imbalance_pct())
-    return daily.agg(
+    return _balance_residual(daily_balance(df, ["eff_gas_day"]))
+
+
+def _balance_residual(daily: DataFrame) -> DataFrame:
+    return daily.withColumn("pct", signed_imbalance_pct()).agg(
         _or(F.round(F.avg("pct"), 2), 0.0).alias("imbalance_pct_mean"),
         _or(F.round(F.stddev_samp("pct"), 2), 0.0).alias("imbalance_pct_std"),
         F.count(F.lit(1)).alias("days_analyzed"),
@@ -132,7 +162,10 @@ def counterparty_shares(df: DataFrame) -> DataFrame:
 
 def counterparty_concentration(df: DataFrame) -> DataFrame:
     """Sum of squared shares, share of the three largest in percent, counterparty count."""
-    shares = counterparty_shares(df)
+    return _concentration(counterparty_shares(df))
+
+
+def _concentration(shares: DataFrame) -> DataFrame:
     largest = shares.orderBy(F.desc("total_volume"), "connecting_entity").limit(3)
     return shares.agg(
         _or(F.round(F.sum(F.pow("market_share", F.lit(2))), 4), 0.0).alias("hhi"),
@@ -146,15 +179,29 @@ def counterparty_concentration(df: DataFrame) -> DataFrame:
 
 def weekend_effect(df: DataFrame) -> DataFrame:
     """Mean row on weekends against weekdays, their difference in percent, row counts."""
-    weekend, quantity = is_weekend("eff_gas_day"), F.col("scheduled_quantity")
+    per_day = df.groupBy("eff_gas_day").agg(*[c.alias(n) for n, c in _day_counts().items()])
+    return _weekend_effect(per_day)
+
+
+def _weekend_effect(per_day: DataFrame) -> DataFrame:
+    """From one row per day with its row count, its known quantities and their sum."""
+    weekend = is_weekend("eff_gas_day")
     effect = F.when(
         F.col("weekday") > 0, F.try_divide(F.col("weekend") - F.col("weekday"), F.col("weekday"))
     )
-    return df.agg(
-        _or(F.avg(F.when(weekend, quantity)), 0.0).alias("weekend"),
-        _or(F.avg(F.when(~weekend, quantity)), 0.0).alias("weekday"),
-        F.count_if(weekend).alias("weekend_days"),
-        F.count_if(~weekend).alias("weekday_days"),
+
+    def mean(days: Column) -> Column:
+        quantity, known = F.sum(F.when(days, F.col("quantity"))), F.sum(F.when(days, F.col("known")))
+        return _or(F.try_divide(quantity, known), 0.0)
+
+    def rows(days: Column) -> Column:
+        return F.coalesce(F.sum(F.when(days, F.col("rows"))), F.lit(0).cast("bigint"))
+
+    return per_day.agg(
+        mean(weekend).alias("weekend"),
+        mean(~weekend).alias("weekday"),
+        rows(weekend).alias("weekend_days"),
+        rows(~weekend).alias("weekday_days"),
     ).select(
         _or(F.round(effect * 100, 2), 0.0).alias("weekend_effect_pct"),
         F.round("weekend", 2).alias("weekend_avg"),
@@ -164,6 +211,26 @@ def weekend_effect(df: DataFrame) -> DataFrame:
     )
 
 
+def _grouped_once(df: DataFrame, peer: str, value: str) -> DataFrame:
+    """Sums per day, per peer and per counterparty from one reading, written.
+
+    ``set`` tells what a row stands for. There are no more rows than days, peers and
+    counterparties.
+    """
+    sets = {"day": "eff_gas_day", "peer": peer, "counterparty": "connecting_entity"}
+    name = F.lit(None).cast("string")
+    for kind, column in sets.items():
+        name = F.when(F.grouping(column) == 0, kind).otherwise(name)
+    sums = _day_counts() | {
+        "value": total(F.col(value).cast("double")),
+        "receipts": total(receipt_quantity()),
+        "deliveries": total(delivery_quantity()),
+        "set": name,
+    }
+    grouped = df.groupingSets([[c] for c in sets.values()], *sets.values())
+    return written(grouped.agg(*[c.alias(n) for n, c in sums.items()]), "evidence-groups")
+
+
 def _bundle(data_type: str, parts: dict[str, DataFrame]) -> DataFrame:
     """One row; every part becomes a struct column through its own scalar subquery."""
     first, *others = parts.items()
@@ -177,14 +244,28 @@ def _bundle(data_type: str, parts: dict[str, DataFrame]) -> DataFrame:
 def flow_evidence(
     df: DataFrame, scope: str = "pipeline", value: str = "scheduled_quantity"
 ) -> DataFrame:
+    peer = PEER_COLUMNS.get(scope, "state_abb")
+    groups = _grouped_once(df, peer, value)
+    quantity = _or(F.col("quantity"), 0.0).alias("total_volume")
+    days = groups.where(F.col("set") == "day")
+    daily = days.select("eff_gas_day", F.col("value").alias(value))
+    peers = groups.where(F.col("set") == "peer").select(
+        peer, quantity, F.try_divide("quantity", "known").alias("avg_volume")
+    )
+    volumes = groups.where(
+        (F.col("set") == "counterparty") & F.col("connecting_entity").isNotNull()
+    ).select("connecting_entity", quantity)
+    shares = with_share(volumes, "total_volume", "market_share")
     return _bundle(
         "pipeline",
         {
-            "seasonal_stats": seasonal_deviation(df, value),
-            "peer_comparison": peer_contrast(df, scope),
-            "balance_analysis": balance_residual(df),
-            "counterparty_analysis": counterparty_concentration(df),
-            "calendar_signals": weekend_effect(df),
+            "seasonal_stats": _seasonal_deviation(daily, value),
+            "peer_comparison": _peer_contrast(peers, scope),
+            "balance_analysis": _balance_residual(days.select("receipts", "deliveries")),
+            "counterparty_analysis": _concentration(shares),
+            "calendar_signals": _weekend_effect(
+                days.select("eff_gas_day", "rows", "known", "quantity")
+            ),
         },
     )
 
