@@ -1,9 +1,14 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from helpers import day, flows, rows_of
+from weir import session
+from weir.operators.decompose import deseasonalize
 from weir.session import build_session, read_twice, work_dir, work_path
 
 
@@ -38,3 +43,26 @@ def test_frames_that_may_change_are_saved(spark, change):
     saved = read_twice(df)
     assert saved is not df
     assert read_twice(saved) is saved
+
+
+def test_windows_of_series_run_in_tasks_by_input(spark, tmp_path, monkeypatch):
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    path = str(tmp_path / "flows")
+    rows = [
+        {"loc_name": f"L{n % 5}", "eff_gas_day": day(n), "scheduled_quantity": float(n)}
+        for n in range(90)
+    ]
+    flows(spark, *rows).write.parquet(path)
+    read = spark.read.parquet(path)
+    assert session.tasks_by_input(read) is None
+    usual = rows_of(deseasonalize(read, series=["loc_name"]), "loc_name", "eff_gas_day")
+    monkeypatch.setattr(session, "BYTES_PER_TASK", 100)
+    try:
+        tasks = session.tasks_by_input(read)
+        assert tasks > 4
+        found = deseasonalize(read, series=["loc_name"])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert re.search(rf"hashpartitioning\(loc_name#\d+, {tasks}\), REPARTITION_BY_NUM", plan)
+        assert rows_of(found, "loc_name", "eff_gas_day") == usual
+    finally:
+        spark.conf.unset(first)

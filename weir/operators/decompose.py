@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weir.functions.columns import total
+from weir.session import dealt, tasks_by_input
 
 MIN_ROWS = 14
 SEASON_PERIODS = {"weekly": 7, "annual": 365}
@@ -59,7 +60,8 @@ def deseasonalize(
 
     ``value = trend + seasonal_weekly + seasonal_annual + residual`` and
     ``deseasonalized = value - seasonal_weekly - seasonal_annual``. Series of fewer than
-    14 days stay as they are: the trend is the value and the other parts are 0.
+    14 days stay as they are: the trend is the value and the other parts are 0. All windows
+    work on one dealing of the days by series, in tasks whose number grows with the input.
     """
     unknown = [s for s in seasonal if s not in SEASON_PERIODS]
     if unknown:
@@ -71,7 +73,9 @@ def deseasonalize(
     half = trend_window // 2
     around = whole.orderBy(date_col).rowsBetween(-half, half)
 
+    tasks = tasks_by_input(df)
     daily = daily_series(df, series, column, date_col).where(F.col(date_col).isNotNull())
+    daily = dealt(daily, tasks, series)
     parts = daily.withColumns(
         {
             "trend": F.avg(column).over(around),

@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "weir", master: str | None = None, **conf: str) -> SparkSession:
@@ -68,6 +70,35 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Bytes of input files for each task of a shuffle whose rows are sorted or held.
+BYTES_PER_TASK = 4 << 20
+
+
+def tasks_by_input(df: DataFrame) -> int | None:
+    """How many shuffle tasks the files behind a frame ask for; None: no more than the session's.
+
+    A fixed number of tasks would hold ever more rows each when the input grows. Shuffles that
+    adaptive execution lays out start with the larger number too; small ones are joined by it.
+    """
+    spark, files = df.sparkSession, df.inputFiles()
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not files:
+        return None
+    sizes = spark.read.format("binaryFile").load(files).agg(F.sum("length"))
+    tasks = (sizes.first()[0] or 0) // BYTES_PER_TASK
+    if tasks <= usual:
+        return None
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    if int(spark.conf.get(first, None) or usual) < tasks:
+        spark.conf.set(first, tasks)
+    return tasks
+
+
+def dealt(df: DataFrame, tasks: int | None, keys: Sequence[str]) -> DataFrame:
+    """The rows dealt by their keys over that many tasks; as they are without a number or keys."""
+    return df.repartition(tasks, *keys) if tasks and keys else df
+
+
 # Plan nodes and calls whose second run may differ from the first, if only in the last
 # digit of a sum whose parts arrived in another order.
 _UNSTEADY = re.compile(
