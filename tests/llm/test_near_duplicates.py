@@ -127,3 +127,22 @@ def test_large_group_of_copies_around_the_threshold(spark):
         rows.append((i, " ".join(words), None, ""))
     found = chosen_path.near_duplicates(spark.createDataFrame(rows, DOC)).collect()
     assert {r.doc_id: r.component_id for r in found} == brute_force(rows)
+
+
+def test_children_of_a_level_are_made_once(spark, monkeypatch):
+    """Both readers of a level read what was written, neither splits the nodes above again."""
+    plans = []
+    counted = chosen_path.mixed_nodes
+
+    def watched(rows, level):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return counted(rows, level)
+
+    monkeypatch.setattr(chosen_path, "SMALL_NODE", 3)
+    monkeypatch.setattr(chosen_path, "mixed_nodes", watched)
+    rows = corpus(1)
+    found = chosen_path.near_duplicates(spark.createDataFrame(rows, DOC)).collect()
+    expected = brute_force(rows)
+    assert {r.doc_id: r.component_id for r in found if r.doc_id is not None} == expected
+    assert len(plans) > 1
+    assert not any("Generate" in plan for plan in plans)

@@ -417,7 +417,8 @@ def near_duplicates(
         large = level.where(~few)
         if large.isEmpty():
             break
-        level = children(large)
+        # Counting its nodes and joining them are two readings; the children are made once.
+        level = saved(children(large), f"level-{depth + 1}")
     homes = small[0].groupBy("rep").agg(F.collect_set("node").alias("homes"))
     leaves = small[0]
     for more in small[1:]:
