@@ -77,6 +77,34 @@ def test_divergence_as_by_hand(spark, seed, top):
     assert none.collect() == [] and dict(none.dtypes)["rank"] == "int" and dict(none.dtypes)["value"] == "bigint"
 
 
+def test_skybands_meet_no_term_below_its_language(spark, monkeypatch):
+    rows = [doc(i, text, source="ab"[i % 2]) for i, text in enumerate(texts(3, 60, WORDS))]
+    met = []
+    kept = divergence.skybands
+
+    def watched(terms, k):
+        met.append(terms.collect())
+        return kept(terms, k)
+
+    monkeypatch.setattr(divergence, "skybands", watched)
+    found = divergence.audit(spark.createDataFrame(rows, DOC), least_docs=4, top=2).collect()
+    assert sorted(map(tuple, found)) == divergence_by_hand(rows, 4, 2)
+    counts, docs = {"a": collections.Counter(), "b": collections.Counter()}, collections.Counter()
+    for _, text, _, source, *_ in rows:
+        words = [w.decode() for w in divergence.terms_of(text)]
+        counts[source].update(words)
+        docs.update(set(words))
+    v = [t for t in docs if docs[t] >= 4]
+    total = {s: sum(c[t] for t in v) + 5 * len(v) for s, c in counts.items()}
+    whole = sum(total.values()) - 5 * len(v)
+    above = {
+        (s, t) for s, c in counts.items() for t in v
+        if c[t] and (c[t] + 5) * whole >= (counts["a"][t] + counts["b"][t] + 5) * total[s]
+    }
+    assert {(r.source, r.term) for r in met[0]} == above
+    assert len(above) < sum(t in c for c in counts.values() for t in v)
+
+
 def test_shares_of_counts_beyond_64_bits(spark):
     df = spark.createDataFrame([(10**17, 10**18, 10**6)], "n bigint, total bigint, terms bigint")
     found = df.select(divergence.share(df["n"], df["total"], df["terms"])).first()[0]

@@ -7,12 +7,13 @@ and its total over kept terms; ``q`` is the same for the whole language. Two res
 * ``pair``: the sum of ``|p - p'|`` over all kept terms for every two sources of a language;
 * ``term``: per group the ``top`` terms with the largest ``p - q`` above 0 that occur in it.
 
-**Terms by a dominance skyband.** In a group ``p - q`` cannot fall when the group's count rises
+**Terms by a dominance skyband.** Rows whose share is surely not above the language's go
+first, as they mark no source. In a group ``p - q`` cannot fall when the group's count rises
 or the language's count falls, and ties go to the earlier term in UTF-8. So a term that ``top``
 others *dominate* (no smaller group count, no larger language count, earlier in UTF-8) is none
-of the best, whatever the totals are. Each partition of the counts keeps the terms dominated by
+of the best. Each partition of the counts keeps the terms dominated by
 fewer than ``top`` others, reading them in order of group count; the skybands of all partitions
-are merged by the same rule, and only what is left meets the totals and is ranked exactly.
+are merged by the same rule, and only what is left is given exact shares and ranked.
 
 **Pairs from what occurs.** A term that neither source holds adds ``|base - base'|``, the
 difference of the shares of count 0. Terms of one source depend on the other through its base
@@ -46,6 +47,8 @@ LEAST_DOCS = 30
 SMOOTHING = 5
 WHOLE = 1_000_000_000
 TOP = 50
+# Relative leeway of shares that are compared as doubles.
+LEEWAY = 1e-9
 # Different (group, term) counts that a task holds before it sends them on.
 HELD_COUNTS = 300_000
 # Sources per side of a matrix of pairs, and matrices that a task holds at once.
@@ -199,6 +202,21 @@ def skybands(rows: DataFrame, k: int) -> DataFrame:
     return rows.sortWithinPartitions(*order).mapInArrow(keep, rows.schema)
 
 
+def may_mark(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows whose share in the group may be above the one in the language.
+
+    Rounding down keeps the order of shares, so the fractions tell; in doubles, with more
+    leeway than these can be wrong by. The exact shares of what is left are compared later.
+    """
+    totals = groups.select("lang", "source", "total", "terms", "lang_total")
+    n, lang_n, total, terms, lang_total = (
+        F.col(c).cast("double") for c in ("n", "lang_n", "total", "terms", "lang_total")
+    )
+    own = (n + SMOOTHING) * (lang_total + SMOOTHING * terms)
+    whole = (lang_n + SMOOTHING) * (total + SMOOTHING * terms)
+    return rows.join(totals, ["lang", "source"]).where(own * (1 + LEEWAY) >= whole).select(*rows.columns)
+
+
 _SUMS = pa.schema(
     [("lang", pa.string()), ("lo", pa.int64()), ("hi", pa.int64()), ("value", pa.int64())]
 )
@@ -362,7 +380,7 @@ def audit(
         "divergence-groups",
     )
 
-    merged = skybands(skybands(rows, top).repartition("lang", "source"), top)
+    merged = skybands(skybands(may_mark(rows, groups), top).repartition("lang", "source"), top)
     p = share(F.col("n"), F.col("total"), F.col("terms"))
     q = share(F.col("lang_n"), F.col("lang_total"), F.col("terms"))
     over = merged.join(groups, ["lang", "source"]).select(
