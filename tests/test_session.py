@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from helpers import day, flows, rows_of
 from weir import session
+from weir.operators import metrics
 from weir.operators.decompose import deseasonalize
 from weir.session import build_session, read_twice, work_dir, work_path
 
@@ -66,3 +67,27 @@ def test_windows_of_series_run_in_tasks_by_input(spark, tmp_path, monkeypatch):
         assert rows_of(found, "loc_name", "eff_gas_day") == usual
     finally:
         spark.conf.unset(first)
+
+
+def test_changes_between_rows_are_found_in_tasks_by_input(spark, tmp_path, monkeypatch):
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    path = str(tmp_path / "flows of [1] day")
+    rows = [
+        {"loc_name": f"L{n % 5}", "eff_gas_day": day(n // 7), "scheduled_quantity": n * 31.5 % 17}
+        for n in range(90)
+    ]
+    flows(spark, *rows).write.parquet(path)
+    read = spark.read.parquet(path.replace("[", "\\[").replace("]", "\\]"))
+    usual = rows_of(metrics.ramp_risk(read), "loc_name")
+    monkeypatch.setattr(session, "BYTES_PER_TASK", 100)
+    try:
+        tasks = session.tasks_by_input(read)
+        assert tasks > 4
+        plan = metrics.row_changes(read)._jdf.queryExecution().executedPlan().toString()
+        # Rows by key and day, and the days by key, each in as many tasks as the input asks for.
+        dealt = re.findall(rf"hashpartitioning\(([^)]*), {tasks}\), REPARTITION_BY_NUM", plan)
+        assert any("eff_gas_day" in keys for keys in dealt)
+        assert any("eff_gas_day" not in keys for keys in dealt)
+        assert rows_of(metrics.ramp_risk(read), "loc_name") == usual
+    finally:
+        spark.conf.unset(first)

@@ -16,7 +16,7 @@ from weir.functions.columns import (
     total,
 )
 from weir.functions.order import group_quantiles, left_join_on_keys
-from weir.session import read_twice
+from weir.session import dealt, read_twice, tasks_by_input
 
 ROLLUP_KEYS = ["eff_gas_day", "pipeline_name", "state_abb", "category_short"]
 LOCATION = ["pipeline_name", "loc_name"]
@@ -40,11 +40,14 @@ def row_changes(df: DataFrame, keys: Sequence[str] = LOCATION) -> DataFrame:
 
     Rows are ordered by (day, quantity), nulls first. Neighbours on one day meet in a group of
     that key and day; from day to day the largest quantity of one meets the first of the next,
-    one row per key and day. Both read one shuffle by key and day.
+    one row per key and day. Both read one shuffle by key and day, dealt to tasks by the size of
+    the input: a task sorts its rows and holds its days.
     """
     keys = list(keys)
     quantity, day = F.col("scheduled_quantity"), "eff_gas_day"
-    rows = df.select(*keys, day, "scheduled_quantity").repartition(*keys, day)
+    tasks = tasks_by_input(df)
+    number = [tasks] if tasks else []
+    rows = df.select(*keys, day, "scheduled_quantity").repartition(*number, *keys, day)
     in_day = Window.partitionBy(*keys, day).orderBy("scheduled_quantity")
     on_one_day = rows.select(
         *keys, F.abs(quantity - F.lag(quantity).over(in_day)).alias("abs_delta")
@@ -55,7 +58,7 @@ def row_changes(df: DataFrame, keys: Sequence[str] = LOCATION) -> DataFrame:
     )
     by_day = Window.partitionBy(*keys).orderBy(day)
     to_next = F.abs(F.col("first") - F.lag("last").over(by_day))
-    from_day_to_day = days.select(*keys, to_next.alias("abs_delta"))
+    from_day_to_day = dealt(days, tasks, keys).select(*keys, to_next.alias("abs_delta"))
     return on_one_day.unionByName(from_day_to_day).where(F.col("abs_delta").isNotNull())
 
 

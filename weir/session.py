@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,7 +81,9 @@ def tasks_by_input(df: DataFrame) -> int | None:
     A fixed number of tasks would hold ever more rows each when the input grows. Shuffles that
     adaptive execution lays out start with the larger number too; small ones are joined by it.
     """
-    spark, files = df.sparkSession, df.inputFiles()
+    # Names come encoded as in a URL, and are read as patterns.
+    spark = df.sparkSession
+    files = [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(name)) for name in df.inputFiles()]
     usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if not files:
         return None
