@@ -1,13 +1,16 @@
 from __future__ import annotations
 
+import gc
 import itertools
 import random
+import weakref
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from weir.llm import language, toxicity
+from weir.llm import common, language, toxicity
 
 DOC = "doc_id bigint, text string, lang string, source string, score string"
 WORDS = {
@@ -113,3 +116,35 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in found.values()) and found[2000].predicted == 0
     kept = toxicity.drop_toxic(df, model)
     assert kept.columns == df.columns and kept.where("doc_id = 1").count() == 1
+
+
+def test_a_worker_holds_one_operators_memory_at_a_time():
+    """Spark hands Python workers from stage to stage."""
+    made = []
+
+    def words():
+        return common.kept_by_worker("words", lambda: made.append(1) or {"a": 1})
+
+    assert words() is words() and len(made) == 1
+
+    def start():
+        assert not common._kept
+        return lambda texts: [(len(text or ""),) for text in texts]
+
+    work = common.text_function("n int", start).func
+    found = list(work(iter([pd.Series(["ab", None]), pd.Series(["c"])])))
+    assert [n for part in found for n in part["n"]] == [2, 0, 1]
+    assert words() == {"a": 1} and len(made) == 2
+    common.clear_worker()
+
+
+def test_codes_of_tokens_go_with_their_reader():
+    gc.disable()
+    try:
+        reader = toxicity.Reader({"bad": 5.0})
+        reader.features("a bad b@d word")
+        codes = weakref.ref(reader.codes)
+        del reader
+        assert codes() is None
+    finally:
+        gc.enable()

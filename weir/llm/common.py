@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 import pyarrow as pa
@@ -46,6 +48,40 @@ def seldom_collect() -> None:
     gc.set_threshold(100_000, 50, 100)
 
 
+# What an operator keeps in a Python worker for its next tasks, by name.
+_kept: dict[str, Any] = {}
+
+
+def kept_by_worker(name: str, make: Callable[[], Any]) -> Any:
+    """A thing that this Python worker makes once and keeps for the tasks to come.
+
+    It goes when the worker turns to a :func:`text_function`, as a later stage of a session does.
+    """
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def return_memory() -> None:
+    """Give freed memory back to the system; Python and Arrow would keep it for themselves."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def clear_worker() -> None:
+    """Drop what operators before kept in this Python worker.
+
+    Spark hands its workers from stage to stage, and an executor's limit holds for all that they
+    have at a time.
+    """
+    if _kept:
+        _kept.clear()
+        gc.collect()
+    return_memory()
+
+
 def fold(row_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(row_id.cast("string").cast("binary")) % folds
@@ -92,13 +128,15 @@ def text_function(
     """A column function of texts whose values are structs of ``schema``.
 
     ``start`` is called once per task and returns a function from a list of texts (or nulls)
-    to a list of tuples.
+    to a list of tuples. A worker holds no more than this function's memory while it runs, and
+    none of it afterwards.
     """
     kind = _parse_datatype_string(schema)
     names = kind.fieldNames()
 
     def work(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         seldom_collect()
+        clear_worker()
         rows_of = start()
         for texts in batches:
             found = []
@@ -106,6 +144,8 @@ def text_function(
                 part = texts.iloc[at : at + at_once]
                 found += rows_of([x if isinstance(x, str) else None for x in part])
             yield pd.DataFrame(found, columns=names)
+        rows_of = texts = part = found = None
+        return_memory()
 
     return F.pandas_udf(work, kind, F.PandasUDFType.SCALAR_ITER)
 

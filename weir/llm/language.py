@@ -253,19 +253,23 @@ def labeller(df: DataFrame, model: Model | None, with_spans: bool = False):
 
         def label(batch):
             texts = [lowered(text or "") if scorer else "" for text in batch]
-            words = [WORD.findall(text) for text in texts]
-            some = [i for i, found in enumerate(words) if found]
-            # Rows of the score table are taken at once: it may start anew with the next text.
-            scores = [scorer.all[scorer.numbers(words[i])] for i in some]
+            # Words go as soon as their lengths and scores are known, which take less room. Rows of
+            # the score table are taken at once: it may start anew with the next text.
+            sizes, scores = [], []
+            for text in texts:
+                words = WORD.findall(text)
+                sizes.append(np.fromiter(map(len, words), np.int32, len(words)))
+                if words:
+                    scores.append(scorer.all[scorer.numbers(words)])
+            some = [i for i, found in enumerate(sizes) if len(found)]
             labels = dict(zip(some, viterbi(scores)))
             out = []
             for i, text in enumerate(texts):
-                if not words[i]:
+                if not len(sizes[i]):
                     out.append((UNKNOWN, 0.0, 0, *([[]] if with_spans else [])))
                     continue
                 got = labels[i]
-                letters = np.fromiter(map(len, words[i]), np.int64, len(got))
-                held = np.bincount(got, letters, len(scorer.model.languages))
+                held = np.bincount(got, sizes[i], len(scorer.model.languages))
                 first = np.flatnonzero(np.diff(got.astype(np.int16), prepend=-1))
                 winner = int(held.argmax())
                 row = [scorer.model.languages[winner], float(held[winner] / held.sum()), len(first)]

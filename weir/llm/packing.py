@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weir.llm.common import map_rows, saved
+from weir.llm.common import kept_by_worker, map_rows, saved
 
 VOCABULARY = "word_bpe_49k.json"
 LENGTH = 4096
@@ -132,10 +132,9 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-@functools.lru_cache(1)
 def words_of(path: str) -> Words:
     """One memory of words per Python worker, which serves one task after the other."""
-    return Words(path)
+    return kept_by_worker(f"words of {path}", lambda: Words(path))
 
 
 def signs(size: int, dimensions: int) -> np.ndarray:

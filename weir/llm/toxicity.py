@@ -73,19 +73,7 @@ class Reader:
     """Turns texts into feature rows under a lexicon of term -> log odds."""
 
     def __init__(self, lexicon: dict[str, float]):
-        self.lexicon = lexicon
-        self.codes: dict[str, int] = _Codes(self)
-
-    def code(self, token: str) -> int:
-        word, hidden = plain_word(token)
-        odds = max((self.lexicon.get(t, 0.0) for t in terms_of(word)), default=0.0)
-        return (
-            STRONG * (odds >= STRONG_ODDS)
-            + WEAK * (0 < odds < STRONG_ODDS)
-            + SECOND * (word in SECOND_PERSON)
-            + CAPITAL * (len(word) > 1 and token.isupper())
-            + HIDDEN * hidden
-        )
+        self.codes: dict[str, int] = _Codes(lexicon)
 
     def features(self, text: str | None) -> list[float]:
         text = text or ""
@@ -116,14 +104,28 @@ class Reader:
 
 
 class _Codes(dict):
-    def __init__(self, reader: Reader):
+    """Codes of tokens, remembered while memory allows. Without a cycle of references, so that
+    they go with their reader."""
+
+    def __init__(self, lexicon: dict[str, float]):
         super().__init__()
-        self.reader = reader
+        self.lexicon = lexicon
+
+    def code(self, token: str) -> int:
+        word, hidden = plain_word(token)
+        odds = max((self.lexicon.get(t, 0.0) for t in terms_of(word)), default=0.0)
+        return (
+            STRONG * (odds >= STRONG_ODDS)
+            + WEAK * (0 < odds < STRONG_ODDS)
+            + SECOND * (word in SECOND_PERSON)
+            + CAPITAL * (len(word) > 1 and token.isupper())
+            + HIDDEN * hidden
+        )
 
     def __missing__(self, token: str) -> int:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        code = self[token] = self.reader.code(token)
+        code = self[token] = self.code(token)
         return code
 
 
