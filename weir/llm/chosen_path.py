@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.common import map_rows, saved
+from weir.llm.common import map_rows, return_memory, saved
 from weir.llm.components import components
 
 SHINGLE = 5
@@ -278,6 +278,8 @@ def pairs_in_nodes(rows: DataFrame, least: float) -> DataFrame:
             held = rows.slice(cuts[-1])
         if held:
             yield found_in(held, [0, held.num_rows])
+        held = rows = batch = None
+        return_memory()
 
     spread = answers.unionByName(asking)
     ordered = spread.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")

@@ -101,7 +101,8 @@ def map_rows(
     """Pass the rows through Python, some hundred at a time, in the partitions they are in.
 
     ``start`` is called once per task and returns a function from a list of row tuples to a
-    list of row tuples of ``schema``; batches are small, so a task holds few rows at once.
+    list of row tuples of ``schema``; batches are small, so a task holds few rows at once. What
+    a task has freed goes back to the system at its end, as its worker may wait idle.
     """
     kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     out = to_arrow_schema(kind)
@@ -116,6 +117,8 @@ def map_rows(
                 if found:
                     columns = [pa.array(c, f.type) for c, f in zip(zip(*found), out)]
                     yield pa.RecordBatch.from_arrays(columns, schema=out)
+        rows_of = batch = part = found = columns = None
+        return_memory()
 
     return df.mapInArrow(work, kind)
 
