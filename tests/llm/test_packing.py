@@ -72,6 +72,56 @@ def test_memory_of_words_may_run_full(monkeypatch):
         assert np.frombuffer(words.encode([text])[0], words.kind).tolist() == want
 
 
+def ids_of(words, texts):
+    return [np.frombuffer(ids, words.kind).tolist() for ids in words.encode(texts)]
+
+
+def test_merges_of_many_words_follow_the_tokenizer():
+    path = public_tokenizers.path(packing.VOCABULARY)
+    words, library = packing.Words(path), Tokenizer.from_file(path)
+    rnd = random.Random(5)
+    runs = ["a" * n for n in range(1, 63)]
+    runs += ["".join(rnd.choices(letters, k=rnd.randint(1, 31))) for letters in ("ab", "étè", "thein", "qzxjk") for _ in range(900)]
+    texts = [" ".join(runs[i::7]) for i in range(7)]
+    assert ids_of(words, texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_new_runs_of_letters_are_merged_together(monkeypatch):
+    calls = []
+
+    class Counting:
+        def __init__(self, real):
+            self.real = real
+
+        def __getattr__(self, name):
+            value = getattr(self.real, name)
+            if not callable(value):
+                return Counting(value) if name in ("model", "normalizer") else value
+            return lambda *a, **k: calls.append(name) or value(*a, **k)
+
+    class Read:
+        from_file = staticmethod(lambda path: Counting(Tokenizer.from_file(path)))
+
+    path, library = public_tokenizers.path(packing.VOCABULARY), Tokenizer
+    text = " ".join("".join("aeioutnäß"[int(d)] for d in f"{i:o}") + ".,"[i % 2] for i in range(8, 3008))
+    want = library.from_file(path).encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(packing, "Tokenizer", Read)
+    words = packing.Words(path)
+    calls.clear()
+    assert ids_of(words, [text]) == [want]
+    assert len(calls) < 20
+
+
+def test_texts_in_several_groups(monkeypatch):
+    monkeypatch.setattr(packing, "CHARS_AT_ONCE", 40)
+    path = public_tokenizers.path(packing.VOCABULARY)
+    words, library = packing.Words(path), Tokenizer.from_file(path)
+    texts = ["", "  ", ", a,", "x\x1cy z", "b" * 63 + "!", "Ж" * 31 + " " + "ж" * 32 + ",", "\u1c89a a\u1c8a. \U0001e030",
+             "don't DON'T İI. Ǆ, ﬁ 한글! e\u0301 \u2126", "1a a1 a-b, 'tis it's. 日本語、", "tab\tand\u2028line\u3000end ", "\ufffd\x00a \u200b"]
+    assert ids_of(words, texts * 3) == [library.encode(t, add_special_tokens=False).ids for t in texts * 3]
+    assert words.encode([]) == []
+
+
 def test_hilbert_numbers_are_a_path_through_all_cells():
     for n, bits in ((2, 4), (3, 3), (4, 2)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * n), -1).reshape(-1, n)
